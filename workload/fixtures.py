@@ -100,10 +100,6 @@ FIXTURES = {
     "history": """
         SELECT concat('case_', CAST(user_id AS STRING)) AS testcase_name,
                CASE WHEN event_type='error' THEN 'Failed' ELSE 'Passed' END AS test_result,
-               CASE WHEN event_id%29=0 THEN ''
-                    ELSE concat(CAST(CAST(floor(value/60) AS INT) AS STRING), ':',
-                                lpad(CAST(CAST(floor(value) AS INT)%60 AS STRING), 2, '0'), ':',
-                                lpad(CAST(CAST(event_id%60 AS INT) AS STRING), 2, '0')) END AS runtime_long,
                CASE WHEN event_id%29=0 THEN ''
                     ELSE concat('0:', lpad(CAST(CAST(floor(value/60) AS INT) AS STRING), 2, '0'), ':',
                                 lpad(CAST(CAST(floor(value) AS INT)%60 AS STRING), 2, '0')) END AS runtime,
