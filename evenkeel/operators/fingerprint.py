@@ -208,8 +208,8 @@ def symmetric_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
     Both directions come from one counted shuffle; a row with many surplus copies is one output row with ``copies``.
     """
-    counts = key_counts(a, b, a.columns, b.columns)
-    s, t = F.col("src_rows"), F.col("tgt_rows")
+    counts = key_counts(a, b, a.columns, b.columns, ("__ns", "__nt"))
+    s, t = F.col("__ns"), F.col("__nt")
     return counts.where(s != t).select(
         *[col(c) for c in a.columns], F.when(s > t, "source").otherwise("target").alias("side"),
         F.abs(s - t).alias("copies"),
@@ -218,7 +218,7 @@ def symmetric_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows of either side that the other side lacks, with the side they are on."""
-    counts = key_counts(a, b, a.columns, b.columns)
-    return counts.where((F.col("src_rows") == 0) | (F.col("tgt_rows") == 0)).select(
-        *[col(c) for c in a.columns], F.when(F.col("tgt_rows") == 0, "source").otherwise("target").alias("side")
+    counts = key_counts(a, b, a.columns, b.columns, ("__ns", "__nt"))
+    return counts.where((F.col("__ns") == 0) | (F.col("__nt") == 0)).select(
+        *[col(c) for c in a.columns], F.when(F.col("__nt") == 0, "source").otherwise("target").alias("side")
     )

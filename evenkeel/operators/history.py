@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..frames import stack_rows
 from ..functions.values import col
-from .ordinal import HOT_ROWS, largest_group, numbered_pairs, positions
+from .ordinal import HOT_ROWS, largest_group, numbered_pairs, occurrence, positions
 from .reconcile import Pair, counts, reconcile
 
 
@@ -98,33 +98,31 @@ def rank_check(
     Returned as distinct (partition, order, stored, expected) with their number of rows.
     """
     by = [*partition, *order]
-    counted = df.groupBy(*[col(c) for c in by], col(stored)).agg(F.count(F.lit(1)).alias("rows"))
     largest = largest_group(df, partition)
+    needed = df.select(*[col(c) for c in dict.fromkeys([*by, stored])])
+    # Ties of a row number are ordered by the stored value, so any consistent numbering of equal rows is accepted.
+    sort_by = [*order, stored] if function == "row_number" else order
+    placed = positions(needed, partition, sort_by, hot_rows, largest)
+    expected = (F.col("__steps") if function == "dense_rank" else F.col("__before")) + F.lit(first).cast("bigint")
     if function == "row_number":
-        # Ties are ordered by the stored value, so any consistent numbering of equal rows is accepted.
-        order = [*order, stored]
-    placed = positions(df.select(*[col(c) for c in dict.fromkeys([*by, stored])]), partition, order, hot_rows, largest)
-    shift = F.lit(first).cast("bigint")
-    expected = (F.col("steps") if function == "dense_rank" else F.col("before")) + shift
-    if function == "row_number":
-        out = placed.withColumnRenamed("n", "rows")
+        out = placed
     else:
-        on = [col(c).eqNullSafe(F.col(f"__o{i}")) for i, c in enumerate(by)]
-        slim = placed.select(*[col(c).alias(f"__o{i}") for i, c in enumerate(by)], "before", "steps")
-        out = counted.join(slim, on)
+        counted = needed.groupBy(*needed.columns).agg(F.count(F.lit(1)).alias("__n"))
+        slim = placed.select(*[col(c).alias(f"__o{i}") for i, c in enumerate(by)], "__before", "__steps")
+        out = counted.join(slim, [col(c).eqNullSafe(F.col(f"__o{i}")) for i, c in enumerate(by)])
     fine = col(stored).cast("bigint").eqNullSafe(expected)
     if function == "row_number":
         # Copies of one (order, stored) row cannot share a number: one of them may be right, the rest are not.
-        fine = fine & (F.col("rows") == 1)
-    return out.where(~fine).select(*[col(c) for c in by], col(stored), expected.alias("expected"), "rows")
+        fine = fine & (F.col("__n") == 1)
+    return out.where(~fine).select(
+        *[col(c) for c in by], col(stored), expected.alias("expected"), F.col("__n").alias("rows")
+    )
 
 
 def sequence(
     df: DataFrame, partition: Sequence[str], order: Sequence[str], name: str = "row_id", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """A sequence 1, 2, 3… per partition (one input file, say), exact however large a partition is."""
-    from .ordinal import occurrence
-
     return occurrence(df, partition, order, name, hot_rows)
 
 
@@ -132,6 +130,6 @@ def ranked(df: DataFrame, partition: Sequence[str], order: Sequence[str], hot_ro
     """Distinct (partition, order) with row count, ``rank`` and ``dense_rank``."""
     placed = positions(df, partition, order, hot_rows)
     return placed.select(
-        *[col(c) for c in [*partition, *order]], F.col("n").alias("rows"),
-        (F.col("before") + 1).alias("rank"), (F.col("steps") + 1).alias("dense_rank"),
+        *[col(c) for c in [*partition, *order]], F.col("__n").alias("rows"),
+        (F.col("__before") + 1).alias("rank"), (F.col("__steps") + 1).alias("dense_rank"),
     )

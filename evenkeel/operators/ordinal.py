@@ -27,29 +27,27 @@ _EXPAND = 100_000
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the largest group (runs one job that shuffles counts of keys only)."""
-    sizes = df.groupBy(*[col(k) for k in keys]).count()
-    return sizes.agg(F.max("count")).first()[0] or 0
+    sizes = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.agg(F.max("__n")).first()[0] or 0
 
 
 def positions(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS, largest: int | None = None
 ) -> DataFrame:
-    """One row per distinct (keys, order): copies ``n``, rows ``before`` it in its group, distinct ``steps`` before it.
+    """One row per distinct (keys, order): copies ``__n``, rows ``__before`` it in its group, distinct ``__steps`` before it.
 
-    ``before + 1`` is the rank and ``steps + 1`` the dense rank; NULLs sort first.
+    ``__before + 1`` is the rank and ``__steps + 1`` the dense rank; NULLs sort first.
     """
-    by = [*keys, *order]
-    counted = df.groupBy(*[col(c) for c in by]).agg(F.count(F.lit(1)).alias("n"))
-    largest = largest_group(df, keys) if largest is None else largest
     key_cols, order_cols = [col(k) for k in keys], [col(c) for c in order]
+    counted = df.groupBy(*key_cols, *order_cols).agg(F.count(F.lit(1)).alias("__n"))
+    largest = largest_group(df, keys) if largest is None else largest
     earlier = (Window.unboundedPreceding, -1)
 
     def running(frame: DataFrame, partition: list) -> DataFrame:
         w = Window.partitionBy(*partition).orderBy(*(order_cols or [F.lit(0)])).rowsBetween(*earlier)
-        return (
-            frame.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-            .withColumn("steps", F.count(F.lit(1)).over(w))
-        )
+        return frame.withColumns({
+            "__before": F.coalesce(F.sum("__n").over(w), F.lit(0)), "__steps": F.count(F.lit(1)).over(w),
+        })
 
     if largest <= hot_rows:
         return running(counted, key_cols)
@@ -58,15 +56,14 @@ def positions(
         counted.repartitionByRange(*key_cols, *order_cols).withColumn("__chunk", F.spark_partition_id())
     )
     totals = chunked.groupBy(*key_cols, "__chunk").agg(
-        F.sum("n").alias("__rows"), F.count(F.lit(1)).alias("__steps")
+        F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__distinct")
     )
     before = Window.partitionBy(*key_cols).orderBy("__chunk").rowsBetween(*earlier)
     starts = (
-        totals.withColumn("__before", F.sum("__rows").over(before))
-        .withColumn("__steps_before", F.sum("__steps").over(before))
-        .where(F.col("__before").isNotNull())
+        totals.withColumns({"__rows_before": F.sum("__rows").over(before), "__steps_before": F.sum("__distinct").over(before)})
+        .where(F.col("__rows_before").isNotNull())
         .select(
-            F.col("__chunk").alias("__start_chunk"), "__before", "__steps_before",
+            F.col("__chunk").alias("__start_chunk"), "__rows_before", "__steps_before",
             *[col(k).alias(f"__start_{i}") for i, k in enumerate(keys)],
         )
     )
@@ -76,9 +73,9 @@ def positions(
         on = on & col(k).eqNullSafe(F.col(f"__start_{i}"))
     numbered = running(chunked, [*key_cols, F.col("__chunk")]).join(F.broadcast(starts), on, "left")
     return numbered.select(
-        *key_cols, *order_cols, "n",
-        (F.col("before") + F.coalesce("__before", F.lit(0))).alias("before"),
-        (F.col("steps") + F.coalesce("__steps_before", F.lit(0))).alias("steps"),
+        *key_cols, *order_cols, "__n",
+        (F.col("__before") + F.coalesce("__rows_before", F.lit(0))).alias("__before"),
+        (F.col("__steps") + F.coalesce("__steps_before", F.lit(0))).alias("__steps"),
     )
 
 
@@ -103,12 +100,12 @@ def occurrence(
 
     placed = positions(df, keys, rest, hot_rows, largest)
     # Copies of one row are written back in blocks, so a row with billions of copies is spread over tasks.
-    blocks = placed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _EXPAND))))
+    blocks = placed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / _EXPAND))))
     blocks = blocks.repartition(*[col(c) for c in [*keys, *rest]], F.col("__block"))
-    left = F.least(F.lit(_EXPAND), F.col("n") - F.col("__block") * _EXPAND)
+    left = F.least(F.lit(_EXPAND), F.col("__n") - F.col("__block") * _EXPAND)
     return (
         blocks.withColumn("__step", F.explode(F.sequence(F.lit(1), left)))
-        .withColumn(name, (F.col("before") + F.col("__block") * _EXPAND + F.col("__step")).cast("bigint"))
+        .withColumn(name, (F.col("__before") + F.col("__block") * _EXPAND + F.col("__step")).cast("bigint"))
         .select(*[col(c) for c in df.columns], name)
     )
 

@@ -15,6 +15,8 @@ from .ordinal import HOT_ROWS, occurrence
 
 BOTH, ONLY_SOURCE, ONLY_TARGET = "both", "source_only", "target_only"
 _OCC = "occurrence"
+# Up to this many repeated keys are broadcast to split their rows off; the exact number is counted first.
+SPLIT_KEYS = 100_000
 
 
 @dataclass(frozen=True)
@@ -60,39 +62,31 @@ def _key_type(pair: Pair, key: str, other: str) -> str | None:
     return "string" if a != b and T.StringType() in (a, b) else None
 
 
-def _sides(pair: Pair) -> tuple[DataFrame, DataFrame, list[str], bool]:
-    """Both sides with plain internal names: keys ``k0…``, values ``v0…``, and the row's occurrence number.
-
-    The last item says whether a key repeats on either side; only then are rows numbered.
-    """
+def _sides(pair: Pair) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with plain internal names: keys ``k0…`` and values ``v0…``."""
     names = pair.target_names()
-    values = pair.compared()
-    src_keys, tgt_keys, src_vals, tgt_vals = [], [], [], []
+    src_cols, tgt_cols = [], []
     for i, key in enumerate(pair.keys):
         as_type = _key_type(pair, key, names[key])
         pick = lambda c: c.cast(as_type) if as_type else c
-        src_keys.append(pick(col(key)).alias(f"k{i}"))
-        tgt_keys.append(pick(col(names[key])).alias(f"k{i}"))
-    for i, value in enumerate(values):
-        src_vals.append(col(value).alias(f"v{i}"))
-        tgt_vals.append(col(names[value]).alias(f"v{i}"))
-    src = pair.source.select(*src_keys, *src_vals)
-    tgt = pair.target.select(*tgt_keys, *tgt_vals)
-    ks = [f"k{i}" for i in range(len(pair.keys))]
-
-    shape = key_shape(key_counts(src, tgt, ks)).select("src_largest", "tgt_largest").first()
-    repeated = max(shape) > 1
-    if repeated:
-        order = [f"v{i}" for i in range(len(values))]
-        if any(src.schema[v].dataType != tgt.schema[v].dataType for v in order):
-            # Number the source in the target's order of values, but keep its own values.
-            extra = [f"o{i}" for i in range(len(order))]
-            src = src.select("*", *[_as_target(src, tgt, v).alias(o) for v, o in zip(order, extra)])
-            src = occurrence(src, ks, extra, _OCC, pair.hot_rows, shape[0]).drop(*extra)
-        else:
-            src = occurrence(src, ks, order, _OCC, pair.hot_rows, shape[0])
-        tgt = occurrence(tgt, ks, order, _OCC, pair.hot_rows, shape[1])
-    return src, tgt, ks, repeated
+        src_cols.append(pick(col(key)).alias(f"k{i}"))
+        tgt_cols.append(pick(col(names[key])).alias(f"k{i}"))
+    for i, value in enumerate(pair.compared()):
+        src_cols.append(col(value).alias(f"v{i}"))
+        tgt_cols.append(col(names[value]).alias(f"v{i}"))
+    return pair.source.select(*src_cols), pair.target.select(*tgt_cols), [f"k{i}" for i in range(len(pair.keys))]
+
+
+def _numbered(pair: Pair, src: DataFrame, tgt: DataFrame, ks: list[str], shape) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the occurrence number of each row in its key, in the target's order of values."""
+    order = [c for c in src.columns if c not in ks]
+    tgt = occurrence(tgt, ks, order, _OCC, pair.hot_rows, shape.tgt_largest)
+    if all(src.schema[v].dataType == tgt.schema[v].dataType for v in order):
+        return occurrence(src, ks, order, _OCC, pair.hot_rows, shape.src_largest), tgt
+    # The source keeps its own values but is sorted by what they become in the target's types.
+    extra = [f"o{i}" for i in range(len(order))]
+    src = src.select("*", *[_as_target(src, tgt, v).alias(o) for v, o in zip(order, extra)])
+    return occurrence(src, ks, extra, _OCC, pair.hot_rows, shape.src_largest).drop(*extra), tgt
 
 
 def _as_target(src: DataFrame, tgt: DataFrame, name: str) -> Column:
@@ -111,22 +105,50 @@ def _equal(pair: Pair, src: DataFrame, tgt: DataFrame, name: str, left: Column,
 
 
 def _join(pair: Pair, how: str):
-    src, tgt, ks, repeated = _sides(pair)
-    rename = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns], F.lit(True).alias(side))
-    on = reduce(lambda a, b: a & b, [F.col(f"s_{k}").eqNullSafe(F.col(f"t_{k}")) for k in ks])
-    if repeated:
-        on = on & (F.col(f"s_{_OCC}") == F.col(f"t_{_OCC}"))
-    return src, tgt, rename(src, "s").join(rename(tgt, "t"), on, how), repeated
+    """The joined sides, columns ``s_*`` and ``t_*`` with side markers ``s`` and ``t``.
 
+    One job over the key columns alone tells how often keys repeat. Then:
 
-def _row_columns(pair: Pair, src, tgt, repeated: bool, have_src=True, have_tgt=True) -> tuple[list, list[Column]]:
+    * no key repeats: one join on the key, one shuffle per side;
+    * few keys repeat: their rows are split off by a broadcast of those keys (their number is known), numbered and
+      joined on key and number; all other rows still take the one-shuffle join;
+    * many keys repeat: all rows are numbered and joined on key and number.
+    """
+    src, tgt, ks = _sides(pair)
+    counted = key_counts(src, tgt, ks)
+    shape = key_shape(counted).select("repeated", "src_largest", "tgt_largest").first()
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns], F.lit(True).alias(p))
+
+    def joined(a: DataFrame, b: DataFrame, numbered: bool) -> DataFrame:
+        on = reduce(lambda x, y: x & y, [F.col(f"s_{k}").eqNullSafe(F.col(f"t_{k}")) for k in ks])
+        if numbered:
+            on = on & (F.col(f"s_{_OCC}") == F.col(f"t_{_OCC}"))
+        return side(a, "s").join(side(b, "t"), on, how)
+
+    def plain(a: DataFrame, b: DataFrame) -> DataFrame:
+        one = F.lit(1).cast("bigint").alias(_OCC)
+        return joined(a.select("*", one), b.select("*", one), False)
+
+    if shape.repeated == 0:
+        return src, tgt, plain(src, tgt)
+    if shape.repeated > SPLIT_KEYS:
+        return src, tgt, joined(*_numbered(pair, src, tgt, ks, shape), True)
+    often = counted.where(F.greatest("src_rows", "tgt_rows") > 1).select(*[F.col(k).alias(f"__{k}") for k in ks])
+    on_key = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in ks])
+    split = lambda df, kind: df.join(F.broadcast(often), on_key, kind)
+    once = plain(split(src, "left_anti"), split(tgt, "left_anti"))
+    again = joined(*_numbered(pair, split(src, "left_semi"), split(tgt, "left_semi"), ks, shape), True)
+    return src, tgt, once.unionByName(again)
+
+
+def _row_columns(pair: Pair, src, tgt, have_tgt=True) -> tuple[list, list[Column]]:
     def either(name):
-        sides = [F.col(f"{p}_{name}") for p, have in (("s", have_src), ("t", have_tgt)) if have]
-        return F.coalesce(*sides) if len(sides) > 1 else sides[0]
+        return F.coalesce(F.col(f"s_{name}"), F.col(f"t_{name}")) if have_tgt else F.col(f"s_{name}")
 
     keys = [either(f"k{i}").alias(k) for i, k in enumerate(pair.keys)]
-    occ = either(_OCC) if repeated else F.lit(1).cast("bigint")
-    return [*keys, occ.alias(_OCC)], [
+    return [*keys, either(_OCC).alias(_OCC)], [
         _equal(pair, src, tgt, f"v{i}", F.col(f"s_v{i}"), F.col(f"t_v{i}")) for i in range(len(pair.compared()))
     ]
 
@@ -148,8 +170,8 @@ def reconcile(pair: Pair) -> DataFrame:
     Rows pair up on NULL-safe keys; repeated keys pair first with first, second with second and so on,
     which also spreads a hot key over all join partitions.
     """
-    src, tgt, joined, repeated = _join(pair, "full_outer")
-    keys, equals = _row_columns(pair, src, tgt, repeated)
+    src, tgt, joined = _join(pair, "full_outer")
+    keys, equals = _row_columns(pair, src, tgt)
     status = F.when(F.col("t").isNull(), ONLY_SOURCE).when(F.col("s").isNull(), ONLY_TARGET).otherwise(BOTH)
     matched = (F.col("s").isNotNull() & F.col("t").isNotNull() & _all(equals)).alias("matched")
     return joined.select(*keys, status.alias("status"), matched, *_value_columns(pair, equals))
@@ -157,8 +179,8 @@ def reconcile(pair: Pair) -> DataFrame:
 
 def common_rows(pair: Pair) -> DataFrame:
     """Rows whose key is on both sides, as in :func:`reconcile`; an inner join, so hot keys can be split by AQE."""
-    src, tgt, joined, repeated = _join(pair, "inner")
-    keys, equals = _row_columns(pair, src, tgt, repeated)
+    src, tgt, joined = _join(pair, "inner")
+    keys, equals = _row_columns(pair, src, tgt)
     return joined.select(*keys, _all(equals).alias("matched"), *_value_columns(pair, equals))
 
 
@@ -172,8 +194,8 @@ def matched_rows(pair: Pair) -> DataFrame:
 
 def only_source(pair: Pair) -> DataFrame:
     """Source rows without a partner, under the source's names."""
-    src, tgt, joined, repeated = _join(pair, "left_anti")
-    keys, _ = _row_columns(pair, src, tgt, repeated, have_tgt=False)
+    src, tgt, joined = _join(pair, "left_anti")
+    keys, _ = _row_columns(pair, src, tgt, have_tgt=False)
     return joined.select(*keys, *[F.col(f"s_v{i}").alias(c) for i, c in enumerate(pair.compared())])
 
 

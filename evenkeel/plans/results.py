@@ -44,20 +44,19 @@ def outcome_counts(history: DataFrame, run: str | None = None) -> DataFrame:
 
 
 def runtime_seconds(runtime: Column) -> Column:
-    """Seconds of ``H:MM:SS``; NULL for blank text."""
+    """Seconds of ``H:MM:SS`` text."""
     parts = F.split(F.trim(runtime), ":")
-    whole = (F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))
-    h, m, s = (p.try_cast("int") for p in whole)
+    h, m, s = (F.get(parts, F.lit(i)).try_cast("int") for i in range(3))
     return h * 3600 + m * 60 + s
 
 
 def runtime_bucket(runtime: Column) -> Column:
+    """The bucket of a well-formed runtime."""
     seconds = runtime_seconds(runtime)
-    out = None
-    for name, below in BUCKETS:
-        if below is None:
-            return out.when(seconds.isNotNull(), name)
-        out = F.when(seconds < below, name) if out is None else out.when(seconds < below, name)
+    (first, below), *rest = BUCKETS
+    out = F.when(seconds < below, first)
+    for name, below in rest:
+        out = out.otherwise(name) if below is None else out.when(seconds < below, name)
     return out
 
 
@@ -69,7 +68,9 @@ def runtime_buckets(history: DataFrame) -> DataFrame:
 
 def runtime_members(history: DataFrame) -> DataFrame:
     """The cases of each bucket, one row per case instead of one growing list per bucket."""
-    rows = history.withColumn("bucket", runtime_bucket(F.col("runtime"))).where(F.col("bucket").isNotNull())
+    # The filter looks at the text, so that it does not evaluate the bucket expression a second time.
+    timed = history.where(F.col("runtime").rlike("^\\s*[0-9]+:[0-9]+:[0-9]+\\s*$"))
+    rows = timed.withColumn("bucket", runtime_bucket(F.col("runtime")))
     return rows.groupBy("bucket", "testcase_name").agg(F.count(F.lit(1)).alias("runs"))
 
 

@@ -149,12 +149,16 @@ def _reads(sql: str) -> list[str]:
     return [n for n in dict.fromkeys(found) if n in known]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table or a fixture over the test tables."""
-    if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = FIXTURES[name]
-    return manual_query(spark, sql, **{n: table(spark, sf_dir, n) for n in _reads(sql)})
+def table(spark: SparkSession, sf_dir: str, name: str, built: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A test table or a fixture over the test tables; ``built`` keeps frames that are already planned."""
+    built = {} if built is None else built
+    if name not in built:
+        if name in TABLES:
+            built[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            sql = FIXTURES[name]
+            built[name] = manual_query(spark, sql, **{n: table(spark, sf_dir, n, built) for n in _reads(sql)})
+    return built[name]
 
 
 def with_fixtures(body: str, also: str = "") -> str:

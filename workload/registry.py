@@ -16,10 +16,10 @@ class Tables:
     """Tables and fixtures of one scale by name: ``t.orders_src``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.built = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        return table(self.spark, self.sf_dir, name, self.built)
 
 
 def portable(df: DataFrame) -> DataFrame:
