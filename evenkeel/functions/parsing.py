@@ -10,12 +10,15 @@ from decimal import Decimal
 _RANGE = re.compile(r"^\s*(-?\d+(?:\.\d+)?)\s*-\s*(-?\d+(?:\.\d+)?)\s*$")
 
 
-def as_list(value) -> list[str]:
-    """A list cell: a real list, JSON, a Python literal, or one (quoted) scalar."""
+def as_list(value, raw: bool = False) -> list[str]:
+    """A list cell: a real list, JSON, a Python literal, or one (quoted) scalar.
+
+    ``raw`` takes the items between quotes as they stand, so that backslashes of regular expressions survive.
+    """
     if isinstance(value, (list, tuple, set)):
         return [str(v) for v in value]
     text = str(value).strip()
-    for decode in (json.loads, ast.literal_eval):
+    for decode in (json.loads,) if raw else (json.loads, ast.literal_eval):
         try:
             decoded = decode(text)
         except (ValueError, SyntaxError):
@@ -23,7 +26,6 @@ def as_list(value) -> list[str]:
         if isinstance(decoded, (list, tuple, set)):
             return [str(v) for v in decoded]
         return [str(decoded)]
-    # Regular expressions inside a quoted list may hold escapes no decoder accepts.
     if text.startswith("[") and text.endswith("]"):
         return [_unquote(part) for part in re.findall(r"'(?:[^']*)'|\"(?:[^\"]*)\"", text)]
     return [_unquote(text)]

@@ -58,7 +58,7 @@ def _violation(rule: Rule) -> Column | None:
     if rule.name == "regexp":
         return ~text.rlike(as_scalar(rule.value))
     if rule.name == "regexplist":
-        return ~reduce(lambda a, b: a | b, [text.rlike(p) for p in as_list(rule.value)])
+        return ~reduce(lambda a, b: a | b, [text.rlike(p) for p in as_list(rule.value, raw=True)])
     return None
 
 
