@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..frames import stack_rows
+from ..frames import durable, stack_rows
 from ..functions.values import col, key_text, same
 from .keys import key_counts, key_shape
 from .ordinal import HOT_ROWS, occurrence
@@ -136,6 +136,7 @@ def _join(pair: Pair, how: str):
     if shape.repeated > SPLIT_KEYS:
         return src, tgt, joined(*_numbered(pair, src, tgt, ks, shape), True)
     often = counted.where(F.greatest("src_rows", "tgt_rows") > 1).select(*[F.col(k).alias(f"__{k}") for k in ks])
+    often = durable(often)  # at most SPLIT_KEYS rows, used once per side and part
     on_key = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in ks])
     split = lambda df, kind: df.join(F.broadcast(often), on_key, kind)
     once = plain(split(src, "left_anti"), split(tgt, "left_anti"))
@@ -153,8 +154,17 @@ def _row_columns(pair: Pair, src, tgt, have_tgt=True) -> tuple[list, list[Column
     ]
 
 
-def _all(equals: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, equals, F.lit(True))
+def _matched(equals: list[Column]) -> Column:
+    """Whether all flags hold.
+
+    The last term is always true. Being non-deterministic it keeps Catalyst from moving a filter on ``matched``
+    below the projection, where it would mention every column and be rewritten for every alias, 2^columns times.
+    """
+    if len(equals) > 64:
+        flags = ~F.array_contains(F.array(*equals), False)
+    else:
+        flags = reduce(lambda a, b: a & b, equals, F.lit(True))
+    return flags & (F.spark_partition_id() >= 0)
 
 
 def _value_columns(pair: Pair, equals: list[Column]) -> list[Column]:
@@ -173,7 +183,7 @@ def reconcile(pair: Pair) -> DataFrame:
     src, tgt, joined = _join(pair, "full_outer")
     keys, equals = _row_columns(pair, src, tgt)
     status = F.when(F.col("t").isNull(), ONLY_SOURCE).when(F.col("s").isNull(), ONLY_TARGET).otherwise(BOTH)
-    matched = (F.col("s").isNotNull() & F.col("t").isNotNull() & _all(equals)).alias("matched")
+    matched = (F.col("s").isNotNull() & F.col("t").isNotNull() & _matched(equals)).alias("matched")
     return joined.select(*keys, status.alias("status"), matched, *_value_columns(pair, equals))
 
 
@@ -181,7 +191,7 @@ def common_rows(pair: Pair) -> DataFrame:
     """Rows whose key is on both sides, as in :func:`reconcile`; an inner join, so hot keys can be split by AQE."""
     src, tgt, joined = _join(pair, "inner")
     keys, equals = _row_columns(pair, src, tgt)
-    return joined.select(*keys, _all(equals).alias("matched"), *_value_columns(pair, equals))
+    return joined.select(*keys, _matched(equals).alias("matched"), *_value_columns(pair, equals))
 
 
 def mismatched_rows(pair: Pair) -> DataFrame:
@@ -252,20 +262,16 @@ def column_details(rows: DataFrame, keys: Sequence[str], limit: int | None = 10)
     """
     cols = compared_columns(rows)
     both = rows.where(F.col("status") == BOTH) if "status" in rows.columns else rows
-    cells = F.filter(
-        F.array(*[
-            F.struct(
-                F.lit(c).alias("column"), col(f"src_{c}").cast("string").alias("source_value"),
-                col(f"tgt_{c}").cast("string").alias("target_value"), col(f"eq_{c}").alias("eq"),
-            )
-            for c in cols
-        ]),
-        lambda cell: ~cell["eq"],
-    )
+    places = F.array_compact(F.array(*[F.when(~col(f"eq_{c}"), F.lit(i)) for i, c in enumerate(cols)]))
+    values = lambda p: F.array(*[col(f"{p}_{c}").cast("string") for c in cols])
     found = (
         both.where(~F.col("matched"))
-        .select(key_text(keys).alias("key_columns"), F.inline(cells))
-        .drop("eq")
+        .select(key_text(keys).alias("key_columns"), values("src").alias("__src"), values("tgt").alias("__tgt"),
+                F.explode(places).alias("__at"))
+        .select(
+            F.get(F.lit(cols), F.col("__at")).alias("column"), "key_columns",
+            F.get("__src", F.col("__at")).alias("source_value"), F.get("__tgt", F.col("__at")).alias("target_value"),
+        )
         .distinct()
     )
     if limit is None:
