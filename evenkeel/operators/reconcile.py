@@ -77,6 +77,12 @@ def _sides(pair: Pair) -> tuple[DataFrame, DataFrame, list[str]]:
     return pair.source.select(*src_cols), pair.target.select(*tgt_cols), [f"k{i}" for i in range(len(pair.keys))]
 
 
+def key_frames(pair: Pair) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The key columns of both sides under common names, ready to be counted."""
+    src, tgt, ks = _sides(pair)
+    return src.select(*ks), tgt.select(*ks), ks
+
+
 def _numbered(pair: Pair, src: DataFrame, tgt: DataFrame, ks: list[str], shape) -> tuple[DataFrame, DataFrame]:
     """Both sides with the occurrence number of each row in its key, in the target's order of values."""
     order = [c for c in src.columns if c not in ks]

@@ -75,6 +75,10 @@ def runtime_members(history: DataFrame) -> DataFrame:
 
 
 def failed_first(results: DataFrame) -> DataFrame:
-    """Results with errored and failed cases before passed ones, by reason and name."""
+    """Results with errored and failed cases before passed ones, by reason and name.
+
+    The remaining columns break ties, so that the sort can cut a common reason into many tasks.
+    """
     place = F.when(_is("Passed"), 1).otherwise(0)
-    return results.orderBy(place, "reason", "testcase_name")
+    rest = [c for c in results.columns if c not in ("reason", "testcase_name")]
+    return results.orderBy(place, "reason", "testcase_name", *rest)

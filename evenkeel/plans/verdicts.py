@@ -54,7 +54,11 @@ def test_null(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
 def test_content(pair: Pair) -> DataFrame:
     """Passes when every row has a partner and all compared columns agree; 14 measures from one join and one aggregate."""
-    row = counts(reconcile(pair))
+    return content_verdict(pair, counts(reconcile(pair)))
+
+
+def content_verdict(pair: Pair, row: DataFrame) -> DataFrame:
+    """The verdict over one row of reconciliation counts."""
     shared = len(pair.target_names())
     n = lambda v: F.lit(v).cast("bigint")
     row = row.withColumns({

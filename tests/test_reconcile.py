@@ -160,6 +160,19 @@ def test_persisted_rows_give_all_reports(spark):
     assert as_set(ek.column_summary(stored)) == as_set(ek.column_summary(fresh))
 
 
+def test_content_report_agrees_with_the_parts(spark):
+    pair = Pair(table(spark, SF_TINY, "orders_src"), table(spark, SF_TINY, "orders_dup"), ["o_orderkey"])
+    report = ek.content_report(pair, 3)
+    assert report.verdict.collect() == ek.test_content(pair).collect()
+    rows = ek.reconcile(pair)
+    assert as_set(report.columns) == as_set(ek.column_summary(rows))
+    assert as_set(report.cells) == as_set(ek.column_details(rows, ["o_orderkey"], 3))
+    assert as_set(report.mismatched_keys) == as_set(ek.sample_keys(ek.mismatched_rows(pair), ["o_orderkey"], 3))
+    assert report.differences.where("matched").count() == 0
+    same = ek.content_report(Pair(pair.source, pair.source, ["o_orderkey"]))
+    assert same.verdict.first().result == "Passed" and same.columns.count() == same.only_source_keys.count() == 0
+
+
 def test_summary_can_show_all_columns(rows):
     src, tgt = rows(SCHEMA, (1, "a", 1)), rows(SCHEMA, (1, "b", 1))
     full = ek.column_summary(ek.reconcile(Pair(src, tgt, ["k"])), only_differing=False)

@@ -262,6 +262,30 @@ def _(t):
     return ek.test_content(Pair(t.orders_src, t.orders_src, KEY))
 
 
+# The reports of a content case, all from one stored set of differing rows
+@register("report_verdict", content_sql("orders_src", "orders_dup"), also="orders_src orders_dup")
+def _(t):
+    return ek.content_report(Pair(t.orders_src, t.orders_dup, KEY)).verdict
+
+
+@register("report_columns", f"SELECT * FROM ({SUMMARY}) x WHERE rows_mismatched > 0", also="orders_src orders_tgt")
+def _(t):
+    return ek.content_report(orders(t)).columns
+
+
+KEYS_OF = lambda side, other: f"""SELECT 'o_orderkey=' || CAST(o_orderkey AS VARCHAR) AS key_columns FROM (
+    SELECT o_orderkey FROM {side} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {other}) ORDER BY 1 LIMIT 10) x"""
+
+
+@register("report_one_sided_keys", f"""
+    SELECT 'source' AS side, * FROM ({KEYS_OF('orders_src', 'orders_tgt')}) a
+    UNION ALL SELECT 'target', * FROM ({KEYS_OF('orders_tgt', 'orders_src')}) b""", also="orders_src orders_tgt")
+def _(t):
+    report = ek.content_report(orders(t))
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "key_columns")
+    return side(report.only_source_keys, "source").unionByName(side(report.only_target_keys, "target"))
+
+
 # Fingerprint: one row per KPI
 HASH = "md5(concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in ALL) + "))"
 ROWS = f"{N('orders_src')} AS src_rows, {N('orders_tgt')} AS tgt_rows"
