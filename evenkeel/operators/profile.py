@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..frames import stack_rows
 from ..functions.values import col, text_mask
 from .fingerprint import value_counts
+from .ordinal import HOT_ROWS, positions
 
 QUANTILES = (0.25, 0.5, 0.75)
 
@@ -17,10 +18,38 @@ def _typed(df: DataFrame, kind) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, kind)]
 
 
-def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int = 10_000) -> DataFrame:
+def quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUANTILES, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Exact quantiles as (column, metric, value): the smallest value that at least that share of the rows does not exceed.
+
+    Values are counted first and placed by :func:`positions`, so no task holds the values of a whole column.
+    """
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in columns
+    ]))).where(F.col("value").isNotNull())
+    placed = positions(cells, ["column"], ["value"], hot_rows, df.count())
+    totals = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    wanted = stack_rows(totals, [
+        {
+            "__column": F.lit(c), "metric": F.lit(f"q{p * 100:g}"),
+            "__rank": F.greatest(F.ceil(F.lit(p) * F.col(f"c{i}")), F.lit(1)),
+        }
+        for i, c in enumerate(columns) for p in probabilities
+    ])
+    # One row per column and probability: small whatever the data size.
+    inside = (F.col("__rank") > F.col("__before")) & (F.col("__rank") <= F.col("__before") + F.col("__n"))
+    found = placed.join(F.broadcast(wanted), (F.col("column") == F.col("__column")) & inside)
+    return found.select("column", "metric", "value")
+
+
+def profile_numeric(
+    df: DataFrame, columns: Sequence[str] | None = None, accuracy: int = 10_000, exact: bool = False
+) -> DataFrame:
     """count, nulls, min, max, mean, sd and quartiles of every numeric column, from one aggregate.
 
-    Quartiles are ``percentile_approx``: rank error at most 1/accuracy of the rows, memory bounded by the accuracy.
+    Quartiles are ``percentile_approx`` (rank error at most 1/accuracy of the rows, memory bounded by the accuracy),
+    or with ``exact`` come from :func:`quantiles`.
     """
     columns = list(columns or _typed(df, T.NumericType))
     parts, rows = [F.count(F.lit(1)).alias("__rows")], []
@@ -28,8 +57,9 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, accurac
         v = col(c)
         measures = {
             "count": F.count(v), "mean": F.avg(v), "min": F.min(v), "max": F.max(v), "sd": F.stddev_samp(v),
-            "quantiles": F.percentile_approx(v, list(QUANTILES), accuracy),
         }
+        if not exact:
+            measures["quantiles"] = F.percentile_approx(v, list(QUANTILES), accuracy)
         parts += [m.alias(f"{name}{i}") for name, m in measures.items()]
         show = lambda metric, value, c=c: {
             "column": F.lit(c), "metric": F.lit(metric), "value": value.cast("double")
@@ -39,8 +69,10 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, accurac
             show("min", F.col(f"min{i}")), show("max", F.col(f"max{i}")), show("mean", F.col(f"mean{i}")),
             show("sd", F.col(f"sd{i}")),
         ]
-        rows += [show(f"q{int(q * 100)}", F.col(f"quantiles{i}")[j]) for j, q in enumerate(QUANTILES)]
-    return stack_rows(df.agg(*parts), rows)
+        if not exact:
+            rows += [show(f"q{q * 100:g}", F.col(f"quantiles{i}")[j]) for j, q in enumerate(QUANTILES)]
+    out = stack_rows(df.agg(*parts), rows)
+    return out.unionByName(quantiles(df, columns)) if exact else out
 
 
 def profile_string(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

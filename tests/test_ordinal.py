@@ -73,3 +73,16 @@ def test_hot_date_chain_equals_window(rows):
     df = rows("k int, s string, e string", *data).select("k", F.to_date("s").alias("s"), F.to_date("e").alias("e"))
     run = lambda hot: sorted(map(str, ek.date_chain(df, ["k"], "s", "e", hot_rows=hot).collect()))
     assert run(4) == run(10**6)
+
+
+@pytest.mark.parametrize("hot_rows", [10, 10**6])
+def test_exact_quantiles(rows, hot_rows):
+    from evenkeel.operators.profile import quantiles
+
+    rng = random.Random(9)
+    data = [(rng.randint(0, 20) if i % 5 else None, i) for i in range(200)]
+    got = {(r["column"], r["metric"]): r["value"] for r in quantiles(rows("a int, b int", *data), ["a", "b"], (0, 0.25, 0.5, 1), hot_rows).collect()}
+    for name, values in (("a", sorted(v for v, _ in data if v is not None)), ("b", list(range(200)))):
+        for p in (0, 0.25, 0.5, 1):
+            assert got[name, f"q{p * 100:g}"] == values[max(int(-(-p * len(values) // 1)), 1) - 1]
+    assert quantiles(rows("a int"), ["a"]).count() == 0

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import evenkeel as ek
 from evenkeel.functions import debit_credit
+from evenkeel.operators.profile import quantiles
 from evenkeel.operators.quality import Rule
-from evenkeel.operators.reconcile import Pair
 
 from .registry import register
 
@@ -372,10 +372,19 @@ def numeric_sql(table: str, cols) -> str:
 
 @register("profile_numeric", numeric_sql("lineitem", NUMERIC["lineitem"]))
 def _(t):
-    rows = ek.profile_numeric(t.lineitem, NUMERIC["lineitem"], accuracy=10_000_000)
+    rows = ek.profile_numeric(t.lineitem, NUMERIC["lineitem"], exact=True)
     return rows.withColumn("value", F.round("value", 4) + 0.0)  # one sign of zero in both engines
 
 
+@register("profile_quantiles_hot", """
+    SELECT 'l_extendedprice' AS "column", 'q' || p AS metric, v AS value FROM (
+      SELECT unnest(['1', '10', '50', '90', '99']) AS p,
+             unnest(quantile_disc(l_extendedprice, [0.01, 0.1, 0.5, 0.9, 0.99])) AS v FROM lineitem) x""")
+def _(t):
+    """Exact quantiles by the distributed sort."""
+    return quantiles(t.lineitem, ["l_extendedprice"], (0.01, 0.1, 0.5, 0.9, 0.99), hot_rows=1_000)
+
+
 def string_sql(table: str, cols) -> str:
     metrics = {"count": "count({c})", "nulls": "count(*) - count({c})", "blanks": "count(CASE WHEN trim({c}) = '' THEN 1 END)",
                "min_length": "min(length({c}))", "max_length": "max(length({c}))", "min": "min({c})", "max": "max({c})"}

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import evenkeel as ek
-from evenkeel.operators import fingerprint as fp
 from evenkeel.operators.reconcile import Pair
 
 from .registry import register
