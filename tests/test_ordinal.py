@@ -44,6 +44,12 @@ def test_rows_that_are_all_key(rows):
         assert sorted(map(tuple, ordinal.occurrence(df, ["k"], hot_rows=hot).collect())) == [(1, 1), (1, 2), (1, 3), (2, 1)]
 
 
+def test_one_sequence_over_a_whole_table(rows):
+    df = rows("v int", *[(i % 17,) for i in range(100)])
+    out = ordinal.occurrence(df, [], hot_rows=5).orderBy("occurrence").collect()
+    assert [r.occurrence for r in out] == list(range(1, 101)) and [r.v for r in out] == sorted(i % 17 for i in range(100))
+
+
 def test_hot_positions_equal_rank_functions(rows):
     df = skewed(rows)
     w = Window.partitionBy("k").orderBy("v")
