@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from time import monotonic
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.parsing import names as name_list
+from ..operators.mapping import SOURCE_TO_TARGET, MappingRow, apply_mapping, target_select
 from ..operators.reconcile import Pair
 from ..sources.readers import SourceSpec, read_source
+from ..sources.sheets import load_mapping
 from .verdicts import test_content, test_count, test_duplicate, test_fingerprint, test_null, test_schema
 
 DEFAULT_LIMIT = 10
@@ -38,7 +40,11 @@ _RENAMED = {"checks": "kpis", "checks_passed": "kpis_passed", "checks_failed": "
 
 @dataclass(frozen=True)
 class Case:
-    """One case: either two frames or two source descriptions."""
+    """One case: either two frames or two source descriptions.
+
+    With a ``mapping`` the source is compared as the mapping turns it into the target; ``where``, ``target_where``
+    and ``exclude`` then apply to the mapped sides.
+    """
 
     name: str
     keys: Sequence[str] | str
@@ -47,10 +53,21 @@ class Case:
     execute: str | bool = "Y"
     limit: int | str | None = None
     columns: Mapping[str, str] | None = None
+    mapping: Sequence[MappingRow] | None = None
+    hop: str = SOURCE_TO_TARGET
+    lookups: Mapping[str, DataFrame] = field(default_factory=dict)
+    where: str = ""
+    target_where: str = ""
+    exclude: Sequence[str] | str = ()
+    trim: bool = False
 
     def pair(self, spark: SparkSession) -> Pair:
         read = lambda side: side if isinstance(side, DataFrame) else read_source(spark, side)
-        return Pair(read(self.source), read(self.target), name_list(self.keys), self.columns)
+        src, tgt = read(self.source), read(self.target)
+        if self.mapping is not None:
+            src = apply_mapping(src, self.mapping, self.hop, self.lookups, self.where, self.exclude, self.trim)
+            tgt = target_select(tgt, self.mapping, self.target_where, self.exclude)
+        return Pair(src, tgt, name_list(self.keys), self.columns)
 
     def sample_limit(self) -> int:
         """Samples to keep per report; blank means the default."""
@@ -65,27 +82,47 @@ def selected(cases: Iterable[Case], names: Sequence[str] | None = None) -> list[
     return [c for c in cases if c.name.lower() in wanted]
 
 
-def cases_from_rows(rows: Iterable[dict]) -> list[Case]:
-    """Cases from the rows of a suite sheet (one dict per row; sheets are configuration)."""
+def cases_from_rows(rows: Iterable[dict], spark: SparkSession | None = None) -> list[Case]:
+    """Cases from the rows of a suite sheet (one dict per row; sheets are configuration).
+
+    Like-object cases read both sides with their filters or manual queries. Mapped cases (``s2tcompare`` in mode
+    ``Auto``) take their mapping from the folder in ``s2tpath`` and need the session to read it.
+    """
+    text = lambda row, name: str(row.get(name) or "").strip()
+
     def side(row: dict, p: str) -> SourceSpec:
-        cell = lambda name: str(row.get(p + name) or "").strip()
+        cell = lambda name: text(row, p + name)
         path = "/".join(x for x in (cell("filepath").rstrip("/"), cell("filename")) if x)
-        fmt = cell("fileformat")
         query = "/".join(x for x in (cell("querysqlpath").rstrip("/"), cell("querysqlfilename")) if x)
-        manual = str(row.get("testquerygenerationmode") or "").strip().lower() == "manual"
+        manual = text(row, "testquerygenerationmode").lower() == "manual"
+        fmt = cell("fileformat")
         return SourceSpec(
             connection=cell("connectiontype"), format=fmt, path=path, table=cell("filename") if fmt == "table" else "",
             alias=cell("aliasname") or p, query=query if manual else "", exclude=cell("excludecolumnlist"),
             where=cell("filter"), delimiter=cell("filedelimiter") or ",",
         )
 
-    return [
-        Case(
-            name=str(r["test_case_name"]).strip(), keys=str(r.get("primarykey") or ""), source=side(r, "source"),
-            target=side(r, "target"), execute=r.get("execute") or "N", limit=r.get("samplelimit"),
+    def case(row: dict) -> Case:
+        src, tgt = side(row, "source"), side(row, "target")
+        plain = Case(
+            name=text(row, "test_case_name"), keys=text(row, "primarykey"), source=src, target=tgt,
+            execute=row.get("execute") or "N", limit=row.get("samplelimit"),
+        )
+        if text(row, "comparetype").lower() != "s2tcompare" or src.query:
+            return plain
+        hop = text(row, "s2tmappingsheet") or SOURCE_TO_TARGET
+        sheets = load_mapping(spark, text(row, "s2tpath"), hop)
+        # Only text formats need the declared schema; the others bring their own.
+        declare = lambda spec, ddl: replace(
+            spec, exclude="", where="", schema=ddl if spec.format in ("delimited", "json") else None
         )
-        for r in rows
-    ]
+        return replace(
+            plain, keys=plain.keys or sheets.keys, source=declare(src, sheets.source_schema),
+            target=declare(tgt, sheets.target_schema), mapping=sheets.rows, hop=hop, where=src.where,
+            target_where=tgt.where, exclude=src.exclude, trim=text(row, "trimwhitespaces").upper() == "Y",
+        )
+
+    return [case(r) for r in rows]
 
 
 def run_suite(spark: SparkSession, cases: Iterable[Case], test_type: str, names: Sequence[str] | None = None) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.mapping import (
+    HOPS, SOURCE_TO_STAGE, STAGE_TO_TARGET, MappingRow, mapping_rows, spark_type, with_schemas,
+)
+
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A sheet with its header; every CSV cell is text, blank cells are NULL. A byte-order mark is dropped."""
@@ -26,3 +32,36 @@ def load_suite(spark: SparkSession, path: str) -> DataFrame:
     df = read_sheet(spark, path)
     number = F.col("`Sno.`").cast("string")
     return df.where(F.trim(number) != "")
+
+
+@dataclass(frozen=True)
+class MappingSheets:
+    """A mapping workbook for one hop: its rows, the declared schema of both layers, the key of the target."""
+
+    rows: list[MappingRow]
+    source_schema: str
+    target_schema: str
+    keys: list[str]
+
+
+def declared_ddl(schema: DataFrame, layer: str) -> str:
+    """The declared columns of a layer as a Spark DDL string; unknown type names fail when Spark parses it."""
+    rows = schema.where(F.lower("tabletype") == layer).select("columnname", "datatype").collect()
+    return ", ".join(f"`{r.columnname}` {spark_type(r.datatype)}" for r in rows)
+
+
+def load_mapping(spark: SparkSession, folder: str, hop: str) -> MappingSheets:
+    """Read ``schema.csv`` and ``target_mapping.csv`` (or ``stage_mapping.csv``) from a folder, for one hop."""
+    if hop not in HOPS:
+        raise ValueError(f"unknown hop: {hop!r}")
+    before = "stage" if hop == STAGE_TO_TARGET else "source"
+    after = "stage" if hop == SOURCE_TO_STAGE else "target"
+    schema = read_sheet(spark, f"{folder}/schema.csv")
+    sheet = read_sheet(spark, f"{folder}/{after}_mapping.csv")
+    layer = lambda name: schema.where(F.lower("tabletype") == name)
+    keys = layer(after).where(F.upper("primarykey") == "Y").select("columnname").collect()
+    return MappingSheets(
+        rows=mapping_rows(with_schemas(sheet, layer(after), layer(before))),
+        source_schema=declared_ddl(schema, before), target_schema=declared_ddl(schema, after),
+        keys=[r.columnname for r in keys],
+    )

@@ -116,6 +116,35 @@ def test_suite_sheet(spark, tmp_path):
     assert [(r.testcase_name, r.test_result, r.src_rows) for r in out] == [("same", "Passed", 25)]
 
 
+def test_mapped_case_from_sheets(spark, rows, tmp_path):
+    """A delimited source, a mapping folder and a parquet target, end to end."""
+    (tmp_path / "map").mkdir()
+    (tmp_path / "map" / "schema.csv").write_text(
+        "tabletype,columnname,datatype,length,scale,primarykey\nsource,id,integer,,,Y\nsource,day,string,,,\n"
+        "source,amount,string,,,\ntarget,order_id,integer,,,Y\ntarget,order_day,datetime,,,\ntarget,amount,double,,,\n"
+        "target,load,string,,,\n")
+    (tmp_path / "map" / "target_mapping.csv").write_text(
+        "tgtcolumnname,srccolumnname,transformationtype,filteroutnulls,selectsqlexpression,filtersqlexpression,"
+        "lookuptablename,lookupjoincolumnname,lookupreturnexpression\norder_id,id,directmapped,,,,,,\n"
+        "order_day,day,directmapped,Y,,,,,\namount,amount,directmapped,,,,,,\nload,-,hardcoded,,'daily',,,,\n")
+    (tmp_path / "src.csv").write_text("id|day|amount\n1|2024-01-02|1.50\n2||2.00\n3|2024-01-04|3.25\n9|2024-01-05|1\n")
+    rows("order_id int, order_day string, amount double, load string", (1, "2024-01-02", 1.5, "daily"), (3, "2024-01-04", 9.0, "daily")
+         ).selectExpr("order_id", "to_date(order_day) AS order_day", "amount", "load").write.parquet(str(tmp_path / "tgt"))
+    row = {
+        "test_case_name": "mapped", "execute": "Y", "comparetype": "s2tcompare", "testquerygenerationmode": "Auto",
+        "s2tpath": str(tmp_path / "map"), "s2tmappingsheet": "source_to_target",
+        "sourceconnectiontype": "local", "sourcefilepath": str(tmp_path), "sourcefilename": "src.csv",
+        "sourcefileformat": "delimited", "sourcefiledelimiter": "|", "sourcefilter": "id < 9",
+        "targetconnectiontype": "local", "targetfilepath": str(tmp_path), "targetfilename": "tgt", "targetfileformat": "parquet",
+    }
+    cases = ek.cases_from_rows([row], spark)
+    assert cases[0].keys == ["order_id"]
+    out = ek.run_suite(spark, cases, "content").first()
+    assert (out.test_result, out.src_rows, out.tgt_rows, out.matched, out.mismatched) == ("Failed", 2, 2, 1, 1)
+    cells = ek.column_details(ek.reconcile(cases[0].pair(spark)), ["order_id"], 5)
+    assert as_set(cells) == {("amount", "order_id=3", "3.25", "9.0")}
+
+
 def test_history_appends_and_prunes(spark, rows, tmp_path):
     path = str(tmp_path / "history")
     for kind in ("count", "null"):

@@ -281,6 +281,25 @@ def _(t):
     return ek.dup_keys(t.orders_dup, ["o_orderkey"])
 
 
+PAIRED = "s.status_code = t.status_code AND s.cust_id = t.cust_id AND s.price = t.price AND s.order_date = t.order_date AND s.priority = t.priority"
+
+
+@register("suite_mapped", f"""
+    SELECT 'stage to publish' AS testcase_name, 'content' AS testcase_type,
+           CASE WHEN matched = common AND common = src_rows AND common = tgt_rows THEN 'Passed' ELSE 'Failed' END AS test_result,
+           src_rows, tgt_rows, matched, common - matched AS mismatched, src_rows - common AS only_source, tgt_rows - common AS only_target
+    FROM (SELECT count(s.order_id) AS src_rows, count(t.order_id) AS tgt_rows, count(CASE WHEN s.order_id = t.order_id THEN 1 END) AS common,
+                 count(CASE WHEN s.order_id = t.order_id AND {PAIRED} THEN 1 END) AS matched
+          FROM ({PUBLISH_SQL}) s FULL JOIN orders_publish t ON s.order_id = t.order_id) x""", also="orders_stage orders_publish")
+def _(t):
+    """A suite case whose source is compared as its mapping turns it into the target."""
+    case = ek.Case("stage to publish", "order_id", t.orders_stage, t.orders_publish, mapping=PUBLISH_ROWS,
+                   hop=STAGE_TO_TARGET, trim=True)
+    return ek.run_suite(t.spark, [case], "content").select(
+        "testcase_name", "testcase_type", "test_result", "src_rows", "tgt_rows", "matched", "mismatched", "only_source",
+        "only_target")
+
+
 # Lookups and joins
 @register("lookup_join", """
     SELECT o_orderkey, n.n_name AS nation, c.c_name AS customer, concat(c.c_mktsegment, '!') AS segment
