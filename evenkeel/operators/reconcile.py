@@ -40,17 +40,19 @@ class Pair:
         theirs = {c.lower(): c for c in self.target.columns}
         ours = {c.lower(): c for c in self.source.columns}
         given = dict(self.columns) if isinstance(self.columns, Mapping) else {}
-        keys = {k: given.get(k, theirs.get(k.lower())) for k in self.keys}
+        keys = {k: theirs.get(given.get(k, k).lower()) for k in self.keys}
         missing = [k for k, t in keys.items() if t is None or k.lower() not in ours]
         if missing:
             raise ValueError(f"key columns not on both sides: {missing}")
         wanted = self.columns if self.columns is not None else self.source.columns
-        pairs = {}
-        for name in wanted:
-            other = given.get(name, theirs.get(name.lower()))
-            if name not in keys and other is not None:
-                pairs[name] = other
-        return {**keys, **pairs}
+        key_names = {k.lower() for k in keys}
+        pairs = {
+            name: theirs.get(given.get(name, name).lower()) for name in wanted if name.lower() not in key_names
+        }
+        lost = [n for n, other in pairs.items() if other is None or n.lower() not in ours]
+        if lost and self.columns is not None:
+            raise ValueError(f"columns to compare not on both sides: {lost}")
+        return {**keys, **{n: other for n, other in pairs.items() if n not in lost}}
 
     def compared(self) -> list[str]:
         return [c for c in self.target_names() if c not in set(self.keys)]

@@ -107,3 +107,14 @@ def test_reference_check_counts_keys_before_the_join(spark):
     li, orders = table(spark, SF_TINY, "li_orphan"), table(spark, SF_TINY, "orders")
     text = plan(ek.ref_integrity(li, [ek.Reference("order", "l_orderkey", orders, "o_orderkey")]))
     assert "LeftAnti" in text and "partial_count(1)" in text.split("LeftAnti")[1] + text.split("FileScan")[0]
+
+
+def test_high_water_mark_reaches_the_scan(spark):
+    changed = ek.changed_since(table(spark, SF_TINY, "events"), "ts", table(spark, SF_TINY, "events_loaded"))
+    assert "GreaterThan(ts,ScalarSubquery" in plan(changed)
+
+
+def test_many_aggregates_plan_quickly(spark):
+    aggs = {f"a{i}": f"sum(p_size + {i})" for i in range(30)}
+    out = ek.agg_compare(part(spark), part(spark), ["p_brand"], aggs).where("status <> 'match'")
+    assert out.select("p_brand", *[f"diff_a{i}" for i in range(30)]).where("diff_a3 > 0").count() == 0

@@ -72,6 +72,13 @@ def test_column_mapping_and_case(rows):
 def test_missing_key_raises(rows):
     with pytest.raises(ValueError, match="nope"):
         ek.reconcile(Pair(rows(SCHEMA, (1, "a", 1)), rows(SCHEMA, (1, "a", 1)), ["nope"]))
+    with pytest.raises(ValueError, match="to compare.*a"):
+        ek.reconcile(Pair(rows(SCHEMA, (1, "a", 1)), rows(SCHEMA, (1, "a", 1)), ["k"], {"a": "zip"}))
+
+
+def test_key_names_match_without_case(rows):
+    src, tgt = rows("Id int, V int", (1, 1), (2, 2)), rows("ID int, v int", (1, 1), (2, 3))
+    assert as_set(ek.reconcile(Pair(src, tgt, ["id"])), "id", "matched") == {(1, True), (2, False)}
 
 
 def test_tolerance(rows):
