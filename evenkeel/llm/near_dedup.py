@@ -84,43 +84,65 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
         return most + 1
     if not len(a) or not len(b):
         return max(len(a), len(b))
-    band = max(8, abs(len(a) - len(b)))
+    if len(a) < len(b):
+        a, b = b, a
+    masks: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        masks[word] = masks.get(word, 0) | 1 << i
+    band = max(8, len(a) - len(b))
     while True:
-        band = min(band, most)
-        d = _banded(a, b, band)
-        if d <= band or band == most:
+        band = min(band, most, len(a))
+        d = _banded(masks, len(a), b.tolist(), band)
+        if d <= band or band >= min(most, len(a)):
             return min(d, most + 1)
         band *= 4
 
 
-def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Rows of the alignment table, diagonals -band to band; over ``band`` when the distance is."""
-    far = 1 << 28
-    step = np.arange(2 * band + 1, dtype=np.int32)
-    row = np.where(step >= band, step - band, far).astype(np.int32)
-    after = band + 1 + max(0, len(a) - len(b))
-    padded = np.concatenate([np.zeros(band + 1, b.dtype), b, np.zeros(after, b.dtype)])
-    inside = np.concatenate([np.zeros(band + 1, bool), np.ones(len(b), bool), np.zeros(after, bool)])
-    for i in range(1, len(a) + 1):
-        at = slice(i, i + 2 * band + 1)  # b's word for column j = i - band .. i + band, at padded[j + band]
-        new = np.where(inside[at], row + (padded[at] != a[i - 1]), far)
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
-        if i <= band:
-            new[band - i] = i
-        new[(step + i - band < 0) | (step + i - band > len(b))] = far
-        row = np.minimum.accumulate(new - step) + step
-        row[(step + i - band < 0) | (step + i - band > len(b))] = far
-        if row.min() > band:
-            return band + 1
-    return int(row[len(b) - len(a) + band]) if abs(len(b) - len(a)) <= band else band + 1
+def _banded(masks: dict[int, int], n: int, b: list[int], k: int) -> int:
+    """Edit distance inside the band of k diagonals on either side, one column of differences as the bits of a number.
+
+    ``masks`` holds the places of each word in the longer sequence of n words. Bit t of column j is row j - k + t, so the
+    band slides down by one row a column. A result over k only says that the distance is over k.
+    """
+    width = (1 << 2 * k + 1) - 1
+    up, down = width ^ ((1 << k) - 1), 0  # where the next row is one more or one less than this one
+    bottom, score, turn = 1 << 2 * k, k, n - k
+    for j, word in enumerate(b, 1):
+        at = j - k - 1
+        mask = masks.get(word, 0)
+        same = (mask >> at if at >= 0 else mask << -at) & width
+        free = ((((same & up) + up) ^ up) | same | down) & width  # cells equal to the one up left
+        more, less = down | (width & ~(free | up)), free & up
+        if j <= turn:  # along the lowest diagonal, then along the last row
+            score += not free & bottom
+        else:
+            row = 1 << n - j + k
+            score += bool(more & row) - bool(less & row)
+        free >>= 1
+        up, down = less | (width & ~(free | more)), free & more
+    return score
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - edits / longer length reaches the similarity."""
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    for q in (1, 2):  # an edit touches at most q of the q-grams, so fewer common ones rule the pair out
+        x, y = (a, b) if q == 1 else (mix(a[:-1]) + a[1:], mix(b[:-1]) + b[1:])
+        if max(len(a), len(b)) - q + 1 - q * most > _common(x, y):
+            return False
     return edits(a, b, most) <= most
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection, counting repeats."""
+    a, b = np.sort(a), np.sort(b)
+    n = np.searchsorted(b, a, "right") - np.searchsorted(b, a, "left")
+    nth = np.arange(len(a)) - np.searchsorted(a, a, "left")
+    return int((nth < n).sum())
+
+
 def buckets(texts: DataFrame, sketches: int = SKETCHES) -> DataFrame:
     """(key, item) for every sketch of every text (item, text) that has words."""
     def run(batch: pa.RecordBatch):
