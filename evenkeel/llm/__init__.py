@@ -1,6 +1,9 @@
 """Operators for training data. Nothing else in the library imports this subpackage."""
 
-from . import decontaminate, language_id, line_dedup, near_dedup, packing
+from . import decontaminate, fingerprint, html_text, language_id, licenses, line_dedup, near_dedup, packing, preference, token_counts
 from .common import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "decontaminate", "language_id", "line_dedup", "near_dedup", "packing"]
+__all__ = [
+    "ORACLE", "QUERIES", "decontaminate", "fingerprint", "html_text", "language_id", "licenses", "line_dedup", "near_dedup", "packing",
+    "preference", "token_counts",
+]

@@ -6,15 +6,17 @@ aligned word by word within a band, and are linked when at most a fifth of the l
 (similarity 0.8 or more). Classes are the connected components of the links.
 
 Two copies with a share J of common 5-grams meet in a bucket with probability 1-(1-J*J)**32: over 0.9999 from J = 0.5 on, which a
-pair of similarity 0.95 reaches. In a bucket, everything is aligned with a few hubs first; what matched no hub meets the next hubs,
-four times as many a round, until nothing is left: no partner is capped, and a bucket of copies costs one alignment a member.
+pair of similarity 0.95 reaches. In a bucket every member is aligned with its hub, so a bucket of copies costs one alignment a member,
+not all pairs. Members that matched no hub meet again in finer buckets, one for every two of their buckets that agree, where a line or
+passage that many texts share no longer decides. Copies share eight buckets or more and so have as many hubs to match, most of their
+own class; ``tests/llm`` compares the classes with all pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import forget, map_batches, register, stored, table
 from .components import classes
@@ -155,63 +157,76 @@ def buckets(texts: DataFrame, sketches: int = SKETCHES) -> DataFrame:
     return map_batches(texts, run, "key long, item binary")
 
 
-def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are alike. A hub's text is copied once for every ``PER_HUB`` of its partners, so no task holds all."""
+def word_rows(texts: DataFrame) -> DataFrame:
+    """(item, words): 32 bits of every word's hash, a third of the text to move and nothing to parse again."""
+    def run(batch: pa.RecordBatch):
+        items = batch.column("item")
+        for at, part in blocks(batch.column("text").to_pylist()):
+            found = scan(part)
+            low = (found.hash >> np.uint64(32)).astype("<u4")
+            data = [low[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
+            yield {"item": items.slice(at, len(part)), "words": data}
+
+    return map_batches(texts, run, "item binary, words binary")
+
+
+def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose words are alike. Words of an item are copied once for every ``PER_HUB`` of its partners, so no task holds all."""
     share = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     copies = F.greatest(F.lit(1), F.ceil(F.col("n") / PER_HUB)).cast("int")
     salted = pairs.join(share, "a").withColumn("salt", F.pmod(F.xxhash64("b"), copies).cast("int")).select("a", "b", "salt")
-    hubs = texts.join(share, texts["item"] == share["a"]).select(
-        "a", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), F.col("text").alias("text_a")
+    hubs = words.join(share, words["item"] == share["a"]).select(
+        "a", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), F.col("words").alias("words_a")
     )
-    members = salted.join(texts.select(F.col("item").alias("b"), F.col("text").alias("text_b")), "b")
+    members = salted.join(words.select(F.col("item").alias("b"), F.col("words").alias("words_b")), "b")
 
     def run(batch: pa.RecordBatch):
         a, b = batch.column("a"), batch.column("b")
-        left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-        keep, known = [], {}
-        for i, (x, y) in enumerate(zip(left, right)):
-            if x not in known:
-                known = {x: scan([x]).hash}
-            if alike(known[x], scan([y]).hash, similarity):
-                keep.append(i)
-        keep = pa.array(keep, pa.int64())
+        read = lambda x: np.frombuffer(x, "<u4").astype(np.uint64)
+        both = zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist())
+        keep = pa.array([i for i, (x, y) in enumerate(both) if alike(read(x), read(y), similarity)], pa.int64())
         yield {"a": a.take(keep), "b": b.take(keep)}
 
-    return map_batches(members.join(hubs, ["a", "salt"]).select("a", "b", "text_a", "text_b"), run, "a binary, b binary")
+    return map_batches(members.join(hubs, ["a", "salt"]).select("a", "b", "words_a", "words_b"), run, "a binary, b binary")
+
+
+def _meet(rows: DataFrame, words: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links of every bucket's members to its hub, and the rows (key, item) of buckets where two or more members matched no hub."""
+    # Four orders of hubs: a document meets several members of its class, but not another one in every bucket.
+    order = F.struct(F.xxhash64("item", F.pmod("key", F.lit(4))), "item")
+    hubs = rows.groupBy("key").agg(F.min(order).alias("least")).select("key", F.col("least.item").alias("hub"))
+    met = rows.join(hubs, "key").where("item <> hub").select(
+        "key", "item", F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")
+    )
+    pairs, path = stored(met.select("a", "b").distinct(), "pairs")
+    good, _ = stored(_aligned(pairs, words, similarity), "links")
+    forget(rows.sparkSession, path)
+    left = met.join(good, ["a", "b"], "left_anti").select("key", "item")
+    return good, _shared(left)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key")
 
 
 def links(docs: DataFrame, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between the different texts of ``docs`` (item, text); rows of one item have the same text."""
     spark = docs.sparkSession
-    found = spark.createDataFrame([], "a binary, b binary")
     all_rows, all_path = stored(buckets(docs, sketches).distinct(), "buckets")
-    shared = all_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    rows, path = stored(all_rows.join(shared, "key"), "buckets")
+    rows, path = stored(_shared(all_rows), "buckets")
     forget(spark, all_path)
     # Copies are dropped before they travel; only texts that share a bucket are kept for the alignments.
     texts = docs.dropDuplicates(["item"]).join(rows.select("item").distinct(), "item", "left_semi")
-    texts, texts_path = stored(texts, "texts")
-    hubs = 1
-    while not rows.isEmpty():
-        # Four orders of hubs: a document meets several members of its class, but not another one in every bucket.
-        order = F.xxhash64("item", F.pmod("key", F.lit(4)))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(order, "item"))
-        picked = rows.withColumn("rank", rank).where(F.col("rank") <= hubs).select("key", F.col("item").alias("hub"))
-        met = rows.join(picked, "key").where("item <> hub").select(
-            "key", "item", F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")
-        )
-        pairs, pairs_path = stored(met.select("a", "b").distinct(), "pairs")
-        good, _ = stored(_aligned(pairs, texts, similarity), "links")
-        found = found.unionByName(good)
-        settled = met.join(good, ["a", "b"], "left_semi").select("key", "item")
-        settled = settled.unionByName(picked.select("key", F.col("hub").alias("item"))).distinct()
-        left = rows.join(settled, ["key", "item"], "left_anti")
-        again = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        rows, new = stored(left.join(again, "key"), "buckets")
-        forget(spark, path, pairs_path)
-        path, hubs = new, hubs * 4
-    forget(spark, path, texts_path)
-    return found
+    words, words_path = stored(word_rows(texts), "words")
+    found, left = _meet(rows, words, similarity)
+    # What matched no hub, say for a line that many texts share, meets again where two of its buckets agree.
+    own = left.groupBy("item").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    two = own.select("item", F.posexplode("keys").alias("i", "first"), "keys")
+    two = two.select("item", "first", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("second"))
+    finer, finer_path = stored(_shared(two.select(F.xxhash64("first", "second").alias("key"), "item")), "buckets")
+    again, _ = _meet(finer, words, similarity)
+    forget(spark, path, finer_path, words_path)
+    return found.unionByName(again)
 
 
 def near_classes(docs: DataFrame, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
