@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches, register, table
-from .words import blocks, mix, scan
+from .words import FAR, anchors, blocks, mix, scan
 
 EDITS, BITS, SAMPLES, WALKS = 0.2, 4, 12, 2
 #: Shorter items are common phrases; they match only without an edit (a fifth of fewer than 5 words is none).
@@ -31,8 +31,6 @@ BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 ANCHOR = 8
 _SLICE = 1 << 15
 _GATE = 18
-#: The sign behind the end of a text.
-FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def step_bits(hashes: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
@@ -67,7 +65,7 @@ class Items:
             size = max(1, least // 2)
             windows = []
             for n, i in todo[:last]:
-                starts = anchors(self.words[i], inside=True)
+                starts = anchors(self.words[i], ANCHOR, inside=True)
                 windows += [(i, int(at)) for at in starts[starts <= n - size]] or [(i, 0)]
             self.groups.append((size, windows))
             todo = todo[last:]
@@ -76,33 +74,6 @@ class Items:
         return max((size for size, _ in self.groups), default=0)
 
 
-def anchors(hashes: np.ndarray, span: int = ANCHOR, inside: bool = False) -> np.ndarray:
-    """Places of words that are the smallest of some ``span`` consecutive ones; ``inside``: of such that end in the array.
-
-    Both a text and the item inside it choose the same places, at least one in every ``span`` words.
-    """
-    if inside and len(hashes) < span:
-        return np.arange(len(hashes))
-    edge = np.full(span - 1, FAR)
-    x = hashes if inside else np.concatenate([edge, hashes, edge])
-    low = np.lib.stride_tricks.sliding_window_view(x, span).min(axis=1) if len(x) < 4096 else _rolling(x, span, np.minimum)
-    pad = np.zeros(span - 1, np.uint64)
-    high = _rolling(np.concatenate([pad, low, pad]), span, np.maximum)  # for each word the greatest minimum around it
-    high = high[: len(x)]
-    places = np.flatnonzero(high == x)
-    return places if inside else places[(places >= span - 1) & (places < span - 1 + len(hashes))] - (span - 1)
-
-
-def _rolling(x: np.ndarray, span: int, least) -> np.ndarray:
-    """Minimum or maximum of every ``span`` consecutive numbers, by doubling."""
-    out, width = x, 1
-    while width < span:
-        step = min(width, span - width)
-        out = least(out[:-step], out[step:])
-        width += step
-    return out
-
-
 def embed(hashes: np.ndarray, starts: np.ndarray, wanted: list[list[int]], bits: list[np.ndarray], out: list[np.ndarray]) -> None:
     """Walk from all starts; at step j fold the word under the pointer into the keys ``out[r]`` of the repetitions ``wanted[j]``."""
     at = starts.copy()
@@ -208,7 +179,7 @@ class Search:
             hashes[moved] = words.hash
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             by_text: dict[tuple[int, int], list[int]] = {}
-            starts = anchors(hashes)
+            starts = anchors(hashes, ANCHOR)
             starts = starts[hashes[starts] != FAR]
             start, item, at = self.candidates(hashes, starts).T
             doc = np.searchsorted(place, start, "right") - 1

@@ -76,7 +76,7 @@ class Model:
 
     def __init__(self, counts: dict[str, dict[int, int]], order: int = ORDER):
         self.order, self.langs = order, sorted(counts)
-        self.keys, self.cost, self.escape = [], [], []
+        self.keys, self.contexts, self.cost, self.escape = [], [], [], []
         shape = len(self.langs)
         for k in range(order + 1):  # contexts of k bytes
             mask = (1 << 8 * (k + 1)) - 1
@@ -87,8 +87,8 @@ class Model:
                 key, at = np.unique(gram, return_inverse=True)
                 each.append((key, np.bincount(at, n, len(key))))
             keys = np.unique(np.concatenate([key for key, _ in each])) if each else np.zeros(0, np.uint32)
-            contexts = self.keys[-1] if k else np.zeros(1, np.uint32)
-            below = self.cost[-1][np.searchsorted(contexts, keys & np.uint32(mask >> 8))] if k else np.full((len(keys), shape), 8.0)
+            contexts = np.unique(keys >> np.uint32(8)) if k else np.zeros(1, np.uint32)
+            below = self.cost[-1][np.searchsorted(self.keys[-1], keys & np.uint32(mask >> 8))] if k else np.full((len(keys), shape), 8.0)
             cost, escape = np.empty((len(keys), shape)), np.zeros((len(contexts), shape))
             for i, (key, n) in enumerate(each):
                 at = np.searchsorted(contexts, key >> np.uint32(8)) if k else np.zeros(len(key), np.int64)
@@ -98,16 +98,16 @@ class Model:
                 context = np.searchsorted(contexts, keys >> np.uint32(8)) if k else np.zeros(len(keys), np.int64)
                 cost[:, i] = escape[context, i] + below[:, i]
                 cost[np.searchsorted(keys, key), i] = -np.log2(n / (total[at] + kinds[at]))
-            self.keys.append(keys), self.cost.append(cost), self.escape.append(escape)
-        self.found = None
+            self.keys.append(keys), self.contexts.append(contexts), self.cost.append(cost), self.escape.append(escape)
+        self.found = self.known = None
 
     def __getstate__(self):
-        return self.__dict__ | {"found": None}
+        return self.__dict__ | {"found": None, "known": None}
 
     def lengths(self, gram: np.ndarray) -> np.ndarray:
         """Bits of each byte under each language."""
         if self.found is None:
-            self.found = [Lookup(k) for k in self.keys]
+            self.found, self.known = [Lookup(k) for k in self.keys], [Lookup(c) for c in self.contexts]
         rows = self.found[-1](gram)
         out = self.cost[-1][rows]
         left, extra = np.flatnonzero(rows < 0), 0.0
@@ -116,7 +116,7 @@ class Model:
             if not len(left):
                 return out
             context = (gram[left] >> np.uint32(8)) & np.uint32((1 << 8 * k) - 1)
-            at = self.found[k - 1](context)
+            at = self.known[k](context)
             out[left] += np.where((at >= 0)[:, None], self.escape[k][at], 0.0)
             shorter = self.found[k - 1](gram[left] & np.uint32((1 << 8 * k) - 1))
             hit = shorter >= 0

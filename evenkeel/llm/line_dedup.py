@@ -5,8 +5,8 @@ around them decide, so a passage has the same inner units wherever it is pasted.
 in lower case. Their digests are counted over all documents, and the occurrence with the smallest (doc_id, place) stays.
 
 One repeated unit may be a common phrase. Removed are runs of consecutive repeated units that have at least ``RUN_WORDS`` words
-together, or that fill whole lines and have at least ``LINE_WORDS`` words. So of any passage of more than 50 words that repeats,
-only the words before its first cut and after its last one can be left.
+together, or that fill whole lines and have at least ``LINE_WORDS`` words. Of any passage that repeats, the words before its first
+inner cut and after its last one can be left, fewer than ``CUT`` at either end; a passage of more than 50 words loses the rest.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import forget, map_batches, register, stored, table, with_fields
-from .words import blocks, mix, scan, span_hash
+from .words import FAR, anchors, blocks, mix, scan, span_hash
 
 RUN_WORDS, LINE_WORDS = 20, 8
-#: One of so many places between two words of a sentence is a cut.
+#: Of so many consecutive places between two words, the one with the smallest hash of the two is a cut.
 CUT = 12
 _ENDS = np.array([ord(c) for c in ".!?。！？"], np.uint32)
 #: Beside the place of a unit goes so much of its text's hash, to tell texts under one doc_id apart.
@@ -44,7 +44,13 @@ def units(texts: list[str]) -> dict[str, np.ndarray]:
     line[1:] = (breaks[at[1:]] > breaks[till[:-1]]) | (w.doc[1:] != w.doc[:-1])
     cut = line.copy()
     cut[1:] |= ends[at[1:]] > ends[till[:-1]]
-    cut[1:] |= mix(w.hash[:-1] * np.uint64(3) + w.hash[1:]) % np.uint64(CUT) == 0
+    # Texts lie apart by one sign, so cuts of one do not depend on its neighbours.
+    apart = np.full(n + CUT * len(texts), FAR)
+    place = np.arange(n) + CUT * w.doc
+    apart[place[1:]] = np.where(w.doc[1:] != w.doc[:-1], FAR, mix(w.hash[:-1] * np.uint64(3) + w.hash[1:]))
+    low = np.zeros(len(apart), bool)
+    low[anchors(apart, CUT)] = True
+    cut |= low[place] & (apart[place] != FAR)
     first = np.flatnonzero(cut)
     last = np.append(first[1:], n)
     doc, opens = w.doc[first], line[first]

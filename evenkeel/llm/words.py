@@ -12,6 +12,8 @@ import numpy as np
 #: Code points handled together: the arrays of one block stay within the processor's caches.
 BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
+#: The sign behind the end of a text, greater than any hash but itself.
+FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Words(NamedTuple):
@@ -110,6 +112,33 @@ def blocks(texts: Sequence[str | None], size: int = BLOCK) -> Iterator[tuple[int
         yield at, held
 
 
+def anchors(hashes: np.ndarray, span: int, inside: bool = False) -> np.ndarray:
+    """Places of words that are the smallest of some ``span`` consecutive ones; ``inside``: of such that end in the array.
+
+    Both a text and the item inside it choose the same places, at least one in every ``span`` words.
+    """
+    if inside and len(hashes) < span:
+        return np.arange(len(hashes))
+    edge = np.full(span - 1, FAR)
+    x = hashes if inside else np.concatenate([edge, hashes, edge])
+    low = _rolling(x, span, np.minimum)
+    pad = np.zeros(span - 1, np.uint64)
+    high = _rolling(np.concatenate([pad, low, pad]), span, np.maximum)  # for each word the greatest minimum around it
+    high = high[: len(x)]
+    places = np.flatnonzero(high == x)
+    return places if inside else places[(places >= span - 1) & (places < span - 1 + len(hashes))] - (span - 1)
+
+
+def _rolling(x: np.ndarray, span: int, least) -> np.ndarray:
+    """Minimum or maximum of every ``span`` consecutive numbers, by doubling."""
+    out, width = x, 1
+    while width < span:
+        step = min(width, span - width)
+        out = least(out[:-step], out[step:])
+        width += step
+    return out
+
+
 class Numbering:
     """Numbers 0, 1, 2… for 64-bit hashes in order of arrival; whole arrays are looked up and added by open addressing."""
 
