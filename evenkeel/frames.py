@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,9 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="evenkeel-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="evenkeel-")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -54,8 +58,3 @@ def side_by_side(src_row: DataFrame, tgt_row: DataFrame) -> DataFrame:
 
 def passed(condition: Column) -> Column:
     return F.when(condition, "Passed").otherwise("Failed")
-
-
-def how_many(condition: Column) -> Column:
-    """Number of rows where the condition holds, 0 on no rows."""
-    return F.count_if(condition)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..frames import stack_rows
 from ..functions.values import col
@@ -13,10 +13,14 @@ from .reconcile import Pair, counts, reconcile
 
 
 def changed_since(df: DataFrame, ts: str, mark) -> DataFrame:
-    """Rows newer than a high-water mark: a value, a column expression, or a frame whose first column's maximum is the mark."""
+    """Rows newer than a high-water mark: a value, a column expression, or a frame whose first column's maximum is the mark.
+
+    A NULL mark (nothing loaded yet) means every row, also those without a timestamp.
+    """
     if isinstance(mark, DataFrame):
         mark = mark.agg(F.max(mark.columns[0])).scalar()
-    return df.where(col(ts) > mark)
+    mark = mark if isinstance(mark, Column) else F.lit(mark)
+    return df.where(mark.isNull() | (col(ts) > mark))
 
 
 def incremental_check(src: DataFrame, tgt: DataFrame, keys: Sequence[str], ts: str, mark) -> DataFrame:
@@ -82,8 +86,8 @@ def date_chain(
         w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c) for c in by])
         linked = rows.withColumn("next_start", F.lead(col(start)).over(w)).where(F.col("next_start").isNotNull())
     expected = F.date_add(col(end), 1)
-    # An open end (the last day a date can hold) has no day after it: anything that follows overlaps.
-    label = F.when(F.col("next_start") > expected, "gap").when(F.col("next_start") < expected, "overlap")
+    # An open end (NULL or the last day a date can hold) has no day after it: anything that follows overlaps.
+    label = F.when(col(end).isNull(), "overlap").when(F.col("next_start") > expected, "gap").when(F.col("next_start") < expected, "overlap")
     return linked.withColumn("fault", label).where(F.col("fault").isNotNull()).select(
         *[col(k) for k in keys], col(start), col(end), "next_start", "fault"
     )

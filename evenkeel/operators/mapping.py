@@ -139,6 +139,10 @@ def apply_mapping(
             out = looked_up[r.target]
         elif r.kind == DIRECT:
             out = F.col(f"src.{r.source}")
+        elif r.kind not in (DERIVED, HARDCODED):
+            raise ValueError(f"unknown transformation type {r.kind!r} of {r.target}")
+        elif r.kind == DERIVED and not r.expression:
+            raise ValueError(f"derived column {r.target} has no expression")
         else:
             out = F.expr(r.expression or "NULL")
         if hop == SOURCE_TO_STAGE:

@@ -64,7 +64,6 @@ def _violation(rule: Rule) -> Column | None:
 
 # The checks that look at the whole column or table.
 _COLUMN_CHECKS = {"unique", "distinctset"}
-_TABLE_CHECKS = {"columncount", "columnorder"}
 
 _REASONS = {
     "length": "values do not have the expected length",
@@ -147,11 +146,14 @@ def _column_rule(df: DataFrame, no: int, rule: Rule) -> DataFrame:
         text = F.concat(F.col("u").cast("string"), F.lit(" " + _REASONS["unique"]))
         verdict = _verdict(no, rule, F.col("e"), F.col("u"), F.lit(None).cast("string"), F.col("u") == 0, text)
         return stack_rows(row, [verdict])
-    wanted = sorted(set(as_list(rule.value)))
-    known = F.col("v").cast("string").isin(wanted)
+    # The wanted values take the column's type: 1 is 1.00 of a decimal. What does not become one is missing.
+    typed = F.transform(F.array(*[F.lit(w) for w in sorted(set(as_list(rule.value)))]), lambda w: w.try_cast(values.schema["v"].dataType))
+    real = F.array_distinct(F.array_compact(typed))
+    known = F.array_contains(real, F.col("v"))
+    unreal = F.size(F.filter(typed, lambda w: w.isNull()))
     row = values.agg(
         elements.alias("e"), F.count_if(present & ~known).alias("u"),
-        (F.lit(len(wanted)).cast("bigint") - F.count_if(present & known)).alias("m"),
+        ((F.size(real) + unreal).cast("bigint") - F.count_if(present & known)).alias("m"),
     )
     observed = F.concat(F.col("u").cast("string"), F.lit(" unexpected, "), F.col("m").cast("string"), F.lit(" missing"))
     verdict = _verdict(no, rule, F.col("e"), F.col("u"), observed, (F.col("u") == 0) & (F.col("m") == 0),

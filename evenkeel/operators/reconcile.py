@@ -288,8 +288,9 @@ def column_details(rows: DataFrame, keys: Sequence[str], limit: int | None = 10)
     return found.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit).drop("__rn")
 
 
-def sample_keys(rows: DataFrame, keys: Sequence[str], limit: int = 10) -> DataFrame:
-    """Key text of the first ``limit`` rows in key order."""
+def sample_keys(rows: DataFrame, keys: Sequence[str], limit: int | None = 10) -> DataFrame:
+    """Key text of the first ``limit`` rows in key order, of all rows without a limit."""
     key_cols = [col(k) for k in keys]
-    picked = rows.select(*key_cols).orderBy(*key_cols).limit(limit)
+    picked = rows.select(*key_cols).orderBy(*key_cols)
+    picked = picked if limit is None else picked.limit(limit)
     return picked.select(key_text(keys).alias("key_columns"))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..frames import passed, stack_rows
 from ..functions.parsing import as_list, predicate
@@ -27,7 +27,9 @@ def agg_compare(
     tag = lambda df, p: side(df).select(*groups, *[col(n).alias(f"{p}_{n}") for n in names], F.lit(True).alias(f"in_{p}"))
     both = tag(src, "src").unionByName(tag(tgt, "tgt"), allowMissingColumns=True)
     merged = both.groupBy(*groups).agg(*[F.max(col(c)).alias(c) for c in both.columns if c not in group])
-    diff = {n: col(f"src_{n}") - col(f"tgt_{n}") for n in names}
+    number = {n: all(isinstance(merged.schema[f"{p}_{n}"].dataType, T.NumericType) for p in ("src", "tgt")) for n in names}
+    # Dates and text have no difference; they are equal or not.
+    diff = {n: col(f"src_{n}") - col(f"tgt_{n}") if number[n] else F.lit(None).cast("double") for n in names}
     close = reduce(lambda a, b: a & b, [
         col(f"src_{n}").eqNullSafe(col(f"tgt_{n}")) | F.coalesce(F.abs(diff[n]) <= tolerance, F.lit(False))
         for n in names
@@ -52,25 +54,32 @@ class KpiRule:
 
 
 def kpi_rules(df: DataFrame, rules: Sequence[KpiRule]) -> DataFrame:
-    """All rules from one aggregate: ``rule, expected, actual, result``."""
-    def measure(rule: KpiRule) -> str:
-        where = predicate(rule.where)
-        return f"{rule.aggregate} FILTER (WHERE {where})" if where else rule.aggregate
+    """``rule, expected, actual, result`` for every rule; rules of one filter share one aggregate over the rows it keeps.
 
-    totals = df.agg(*[F.expr(measure(r)).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
-    rows = []
-    for i, r in enumerate(rules):
-        actual = F.col(f"r{i}")
-        ok = F.coalesce(F.abs(actual - r.expected) <= r.tolerance, F.lit(False))
-        rows.append({"rule": F.lit(r.name), "expected": F.lit(float(r.expected)), "actual": actual, "result": passed(ok)})
-    return stack_rows(totals, rows)
+    The filter holds for the whole expression, so ``sum(a) / count(*)`` divides by the rows of the filter.
+    """
+    by_filter: dict[str | None, list[KpiRule]] = {}
+    for r in rules:
+        by_filter.setdefault(predicate(r.where) or None, []).append(r)
+    parts = []
+    for where, own in by_filter.items():
+        rows = df.where(F.expr(where)) if where else df
+        totals = rows.agg(*[F.expr(r.aggregate).cast("double").alias(f"r{i}") for i, r in enumerate(own)])
+        ok = [F.coalesce(F.abs(F.col(f"r{i}") - r.expected) <= r.tolerance, F.lit(False)) for i, r in enumerate(own)]
+        parts.append(stack_rows(totals, [
+            {"rule": F.lit(r.name), "expected": F.lit(float(r.expected)), "actual": F.col(f"r{i}"), "result": passed(ok[i])}
+            for i, r in enumerate(own)
+        ]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def required_values(df: DataFrame, column: str, values) -> DataFrame:
-    """The required values that do not occur in the column."""
-    wanted = df.sparkSession.createDataFrame([(v,) for v in as_list(values)], "value string")
-    present = df.select(col(column).cast("string").alias("value")).where(F.col("value").isin(as_list(values))).distinct()
-    return wanted.join(present, "value", "left_anti")
+    """The required values that do not occur in the column; they are compared in the column's type, so 1 is found as 1.00."""
+    kind = df.select(col(column)).schema[0].dataType
+    wanted = df.sparkSession.createDataFrame([(v,) for v in as_list(values)], "value string").withColumn("__v", F.col("value").try_cast(kind))
+    typed = F.array_compact(F.array(*[F.lit(v).try_cast(kind) for v in as_list(values)]))
+    present = df.select(col(column).alias("__v")).where(F.array_contains(typed, F.col("__v"))).distinct()
+    return wanted.join(present, "__v", "left_anti").select("value")
 
 
 def balance_check(df: DataFrame, group: Sequence[str], amount: str, side: Column, tolerance: float = 0) -> DataFrame:

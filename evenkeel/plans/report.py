@@ -50,7 +50,7 @@ def content_report(pair: Pair, limit: int | None = 10) -> ContentReport:
     columns = column_summary(of(BOTH)).withColumns({
         "rows_common": F.lit(common).cast("bigint"), "rows_matched": F.lit(common) - F.col("rows_mismatched"),
     })
-    keys, few = list(pair.keys), 10 if limit is None else limit
+    keys, few = list(pair.keys), limit
     return ContentReport(
         verdict=content_verdict(pair, row), columns=columns, cells=column_details(differences, keys, limit),
         mismatched_keys=sample_keys(of(BOTH), keys, few), only_source_keys=sample_keys(of(ONLY_SOURCE), keys, few),

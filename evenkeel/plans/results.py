@@ -44,10 +44,11 @@ def outcome_counts(history: DataFrame, run: str | None = None) -> DataFrame:
 
 
 def runtime_seconds(runtime: Column) -> Column:
-    """Seconds of ``H:MM:SS`` text."""
-    parts = F.split(F.trim(runtime), ":")
+    """Seconds of ``H:MM:SS`` text, with ``N days,`` before it or a fraction behind it; the fraction does not count."""
+    days = F.coalesce(F.regexp_extract(runtime, r"^\s*([0-9]+) days?,", 1).try_cast("int"), F.lit(0))
+    parts = F.split(F.regexp_replace(F.trim(runtime), r"^[0-9]+ days?,\s*|\.[0-9]+$", ""), ":")
     h, m, s = (F.get(parts, F.lit(i)).try_cast("int") for i in range(3))
-    return h * 3600 + m * 60 + s
+    return days * 86400 + h * 3600 + m * 60 + s
 
 
 def runtime_bucket(runtime: Column) -> Column:
@@ -69,7 +70,7 @@ def runtime_buckets(history: DataFrame) -> DataFrame:
 def runtime_members(history: DataFrame) -> DataFrame:
     """The cases of each bucket, one row per case instead of one growing list per bucket."""
     # The filter looks at the text, so that it does not evaluate the bucket expression a second time.
-    timed = history.where(F.col("runtime").rlike("^\\s*[0-9]+:[0-9]+:[0-9]+\\s*$"))
+    timed = history.where(F.col("runtime").rlike("^\\s*([0-9]+ days?,\\s*)?[0-9]+:[0-9]+:[0-9]+(\\.[0-9]+)?\\s*$"))
     rows = timed.withColumn("bucket", runtime_bucket(F.col("runtime")))
     return rows.groupBy("bucket", "testcase_name").agg(F.count(F.lit(1)).alias("runs"))
 

@@ -3,6 +3,7 @@ except where Spark itself samples a file to infer its schema."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -93,6 +94,8 @@ def _avro(spark, spec):
     try:
         return _reader(spark, spec).format("avro").load(spec.path)
     except Exception as error:
+        if not _no_source(error):
+            raise
         raise RuntimeError("reading Avro needs the spark-avro package on the session") from error
 
 
@@ -103,9 +106,16 @@ def _delta(spark, spec):
     try:
         return _reader(spark, spec).format("delta").load(spec.path)
     except Exception as error:
+        if not _no_source(error):
+            raise
         raise RuntimeError("reading a Delta path needs the delta package on the session") from error
 
 
+def _no_source(error: Exception) -> bool:
+    """Whether a package is missing; a missing path, a refused access or a bad schema is told as it is."""
+    return re.search(r"DATA_SOURCE_NOT_FOUND|[Ff]ind (the )?data source", str(error)) is not None
+
+
 def _reader(spark, spec):
     reader = spark.read.options(**spec.options)
     return reader.schema(spec.schema) if spec.schema else reader
@@ -115,11 +125,11 @@ _FILES = {"parquet": _parquet, "delimited": _delimited, "json": _json, "avro": _
 
 
 def query_text(query: str) -> str:
-    """SQL text, or the lines of a ``.sql`` file joined by blanks."""
+    """SQL text, or the lines of a ``.sql`` file; line breaks stay, so a ``--`` comment ends with its line."""
     text = query.strip()
     if text.lower().endswith(".sql"):
         with open(text, encoding="utf-8-sig") as f:
-            text = " ".join(line.strip() for line in f if line.strip())
+            text = "\n".join(line.strip() for line in f if line.strip())
     return text.rstrip(";").strip()
 
 
@@ -127,7 +137,7 @@ def manual_query(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFram
     """Run SQL that calls the given frames by name, without registering views under those names."""
     quoted = query_text(sql).replace("{", "{{").replace("}", "}}")
     parts = ", ".join(f"{name} AS (SELECT * FROM {{{name}}})" for name in frames)
-    return spark.sql(f"WITH {parts} SELECT * FROM ({quoted})", **frames)
+    return spark.sql(f"WITH {parts} SELECT * FROM ({quoted}\n)", **frames)
 
 
 def remote_query(spec: SourceSpec) -> str:
