@@ -12,6 +12,8 @@ from ..frames import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Bytes of a batch that are worked on together.
+PIECE = 1 << 22
 
 
 def register(name: str, sql: str | None = None):
@@ -50,19 +52,28 @@ def with_fields(schema: T.StructType, fields: str, drop: str = "") -> T.StructTy
 
 
 def map_batches(df: DataFrame, build: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
-    """Apply ``build`` to Arrow batches; it yields dicts of columns, which take the declared types."""
+    """Apply ``build`` to pieces of Arrow batches of about ``PIECE`` bytes; it yields dicts of columns, which take the declared types.
+
+    A batch may hold thousands of long texts; what ``build`` makes of them is held for one piece at a time.
+    """
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        for batch in batches:
-            for columns in build(batch):
+        for piece in (piece for batch in batches for piece in _pieces(batch)):
+            for columns in build(piece):
                 arrays = [_typed(columns[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, out)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _typed(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

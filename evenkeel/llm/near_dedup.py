@@ -182,8 +182,8 @@ def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
 
     def run(batch: pa.RecordBatch):
         a, b = batch.column("a"), batch.column("b")
-        read = lambda x: np.frombuffer(x, "<u4").astype(np.uint64)
-        both = zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist())
+        read = lambda x: np.frombuffer(x.as_buffer(), "<u4").astype(np.uint64)
+        both = zip(batch.column("words_a"), batch.column("words_b"))
         keep = pa.array([i for i, (x, y) in enumerate(both) if alike(read(x), read(y), similarity)], pa.int64())
         yield {"a": a.take(keep), "b": b.take(keep)}
 
