@@ -31,7 +31,7 @@ from .plans.report import ContentReport, content_report
 from .plans.results import (
     failed_first, outcome_by_type, outcome_counts, runtime_buckets, runtime_members, suite_totals, trend,
 )
-from .plans.suite import Case, cases_from_rows, run_suite
+from .plans.suite import Case, cases_from_rows, run_suite, suite_details
 from .plans.verdicts import test_content, test_count, test_duplicate, test_fingerprint, test_null, test_schema
 from .sources.readers import SourceSpec, manual_query, read_source, source_schema
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..frames import passed, side_by_side, stack_rows
 from ..functions.values import col
-from .keys import key_counts, key_shape
+from .keys import key_counts
 
 
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None, nulls: str = "skip") -> Column:
@@ -103,6 +103,32 @@ def hash_shape(counts: DataFrame) -> DataFrame:
     )
 
 
+def _marks(df: DataFrame, keys: Sequence[str], nulls: str, hashes: bool) -> DataFrame:
+    """Of every row its hash, with no key, and its key, with no hash, from one scan; either may be left out."""
+    names = [f"key_{i}" for i in range(len(keys))]
+    mark = lambda kind, digest, cells: F.struct(
+        F.lit(kind).alias("kind"), digest.cast("string").alias("row_hash"), *[c.alias(n) for c, n in zip(cells, names)]
+    )
+    kinds = [df.select(col(k)).schema[0].dataType for k in keys]
+    rows = [mark("row", row_hash(df, nulls=nulls), [F.lit(None).cast(t) for t in kinds])] if hashes else []
+    if keys:
+        rows.append(mark("key", F.lit(None), [col(k) for k in keys]))
+    return df.select(F.inline(F.array(*rows)))
+
+
+def _mark_shape(counts: DataFrame) -> DataFrame:
+    """Surplus copies of hashes and of keys on each side, and distinct hashes on one side only."""
+    s, t = F.col("src_rows"), F.col("tgt_rows")
+    row, key = F.col("kind") == "row", F.col("kind") == "key"
+    surplus = lambda kind, c: F.coalesce(F.sum(F.when(kind & (c > 1), c - 1)), F.lit(0).cast("bigint"))
+    return counts.agg(
+        F.count_if(row & (s > 0) & (t == 0)).alias("hash_only_source"),
+        F.count_if(row & (t > 0) & (s == 0)).alias("hash_only_target"),
+        surplus(row, s).alias("hash_src_dup"), surplus(row, t).alias("hash_tgt_dup"),
+        surplus(key, s).alias("key_src_dup"), surplus(key, t).alias("key_tgt_dup"),
+    )
+
+
 def hash_diff(src: DataFrame, tgt: DataFrame, nulls: str = "skip") -> DataFrame:
     """Distinct row hashes on one side only: (row_hash, side)."""
     found = hash_counts(src, tgt, nulls).where((F.col("src_rows") == 0) | (F.col("tgt_rows") == 0))
@@ -118,23 +144,15 @@ def fingerprint(
 ) -> DataFrame:
     """One row per KPI: ``kpi, src_rows, tgt_rows, src_value, tgt_value, result, reason``.
 
-    Cost: one aggregate per side, one shuffle of row hashes, one shuffle of counted keys; the parts a
-    selection of KPIs does not need are not planned.
+    Cost: one aggregate per side, and one counted shuffle of row hashes and keys, which come from one more
+    scan per side; the parts a selection of KPIs does not need are not planned.
     """
-    parts = [side_by_side(measures(src), measures(tgt))]
-    if {"duplicate_rows", "checksum"} & set(kpis):
-        hashes = hash_shape(hash_counts(src, tgt, nulls))
-        parts.append(hashes.select(*[F.col(c).alias(f"hash_{c}") for c in hashes.columns]))
-    if "duplicate_keys" in kpis:
-        shape = key_shape(key_counts(src, tgt, keys))
-        parts.append(shape.select(
-            (F.col("src_rows") - F.col("src_distinct")).alias("key_src_dup"),
-            (F.col("tgt_rows") - F.col("tgt_distinct")).alias("key_tgt_dup"),
-        ))
-    row = parts[0]
-    for more in parts[1:]:
-        row = row.unionByName(more, allowMissingColumns=True)
-    row = row.agg(*[F.max(c).alias(c) for c in row.columns])
+    row = side_by_side(measures(src), measures(tgt))
+    hashes, by_key = bool({"duplicate_rows", "checksum"} & set(kpis)), "duplicate_keys" in kpis
+    if hashes or by_key:
+        marks = [_marks(df, keys if by_key else (), nulls, hashes) for df in (src, tgt)]
+        row = row.unionByName(_mark_shape(key_counts(*marks, marks[0].columns)), allowMissingColumns=True)
+        row = row.agg(*[F.max(c).alias(c) for c in row.columns])
 
     def kpi(name, s, t, ok, good, bad):
         s, t = F.col(s) if isinstance(s, str) else s, F.col(t) if isinstance(t, str) else t

@@ -15,10 +15,14 @@ from .reconcile import Pair, counts, reconcile
 def changed_since(df: DataFrame, ts: str, mark) -> DataFrame:
     """Rows newer than a high-water mark: a value, a column expression, or a frame whose first column's maximum is the mark.
 
-    A NULL mark (nothing loaded yet) means every row, also those without a timestamp.
+    A NULL mark (nothing loaded yet) means every row, also those without a timestamp. A frame's mark reaches the scan as a
+    pushed filter; the branch of the first load hangs on at most one row and goes at run time once there is a mark.
     """
     if isinstance(mark, DataFrame):
-        mark = mark.agg(F.max(mark.columns[0])).scalar()
+        top = mark.agg(F.max(mark.columns[0]).alias("__mark"))
+        unloaded = top.where(F.col("__mark").isNull())
+        newer = df.where(col(ts) > top.scalar())
+        return newer.union(df.join(F.broadcast(unloaded), F.lit(True), "left_semi"))
     mark = mark if isinstance(mark, Column) else F.lit(mark)
     return df.where(mark.isNull() | (col(ts) > mark))
 

@@ -105,6 +105,21 @@ def _join_lookups(src: DataFrame, rows: Sequence[MappingRow], lookups: Mapping[s
     return src, values
 
 
+def repeated_lookup_keys(rows: Iterable[MappingRow], lookups: Mapping[str, DataFrame]) -> DataFrame | None:
+    """(lookup_table, lookup_key, key_value, rows) for every lookup key that repeats, None if no row has a lookup.
+
+    A lookup is a left join, so a source row with a repeated key gives one row per copy; check this first.
+    """
+    used = dict.fromkeys((r.lookup_table, r.lookup_key) for r in rows if r.kind == DERIVED and r.lookup_table)
+    found = [
+        lookups[table].where(col(key).isNotNull()).groupBy(col(key).cast("string").alias("key_value"))
+        .agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        .select(F.lit(table).alias("lookup_table"), F.lit(key).alias("lookup_key"), "key_value", "rows")
+        for table, key in used
+    ]
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def apply_mapping(
     src: DataFrame,
     rows: Iterable[MappingRow],

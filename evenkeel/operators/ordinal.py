@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..frames import durable
 from ..functions.values import col
@@ -98,6 +98,11 @@ def occurrence(
         w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*([col(c) for c in rest] or [F.lit(0)]))
         return df.withColumn(name, F.row_number().over(w).cast("bigint"))
 
+    # Grouping turns -0.0 into 0.0, so signs of zeros travel beside the values (only in plain columns).
+    signs = {f"__sign{i}": c for i, c in enumerate([*keys, *rest]) if dict(df.dtypes).get(c) in ("float", "double")}
+    names = df.columns
+    df = df.withColumns({s: F.col(f"`{c}`").cast("string").eqNullSafe("-0.0") for s, c in signs.items()}) if signs else df
+    rest += list(signs)
     placed = positions(df, keys, rest, hot_rows, largest)
     # Copies of one row are written back in blocks, so a row with billions of copies is spread over tasks.
     blocks = placed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / _EXPAND))))
@@ -106,10 +111,16 @@ def occurrence(
     return (
         blocks.withColumn("__step", F.explode(F.sequence(F.lit(1), left)))
         .withColumn(name, (F.col("__before") + F.col("__block") * _EXPAND + F.col("__step")).cast("bigint"))
-        .select(*[col(c) for c in df.columns], name)
+        .select(*[_signed(c, signs) for c in names], name)
     )
 
 
+def _signed(name: str, signs: dict[str, str]) -> Column:
+    """A column with its negative zeros, told by the flag that ``signs`` names for it."""
+    flag = next((s for s, c in signs.items() if c == name), None)
+    return col(name) if flag is None else F.when(F.col(flag), -F.abs(col(name))).otherwise(col(name)).alias(name)
+
+
 def numbered_pairs(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS, largest: int | None = None
 ) -> tuple[DataFrame, bool]:

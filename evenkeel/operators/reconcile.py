@@ -168,10 +168,7 @@ def _matched(equals: list[Column]) -> Column:
     The last term is always true. Being non-deterministic it keeps Catalyst from moving a filter on ``matched``
     below the projection, where it would mention every column and be rewritten for every alias, 2^columns times.
     """
-    if len(equals) > 64:
-        flags = ~F.array_contains(F.array(*equals), False)
-    else:
-        flags = reduce(lambda a, b: a & b, equals, F.lit(True))
+    flags = ~F.array_contains(F.array(*equals), False) if equals else F.lit(True)
     return flags & (F.spark_partition_id() >= 0)
 
 
@@ -266,7 +263,8 @@ def column_summary(rows: DataFrame, only_differing: bool = True) -> DataFrame:
 def column_details(rows: DataFrame, keys: Sequence[str], limit: int | None = 10) -> DataFrame:
     """Distinct (column, key text, source value, target value) of unequal cells, the first ``limit`` per column.
 
-    The limit is applied per partition before the shuffle (window group limit), so no task sees a whole column.
+    The distinct cells are spread by one shuffle; the limit then cuts them per partition (window group limit) before they
+    meet by column, so no task sees a whole column.
     """
     cols = compared_columns(rows)
     both = rows.where(F.col("status") == BOTH) if "status" in rows.columns else rows

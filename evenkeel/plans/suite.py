@@ -5,34 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from functools import reduce
 from time import monotonic
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.parsing import names as name_list
 from ..operators.mapping import SOURCE_TO_TARGET, MappingRow, apply_mapping, target_select
 from ..operators.reconcile import Pair
 from ..sources.readers import SourceSpec, read_source
 from ..sources.sheets import load_mapping
+from .report import content_report
 from .verdicts import test_content, test_count, test_duplicate, test_fingerprint, test_null, test_schema
 
 DEFAULT_LIMIT = 10
 
+
+def _target(pair: Pair) -> DataFrame:
+    """The target with its key columns under the source's names."""
+    names = pair.target_names()
+    return pair.target.withColumnsRenamed({names[k]: k for k in pair.keys if names[k] != k})
+
+
 # The test types of a suite.
 TESTS: dict[str, Callable[[Pair], DataFrame]] = {
     "count": lambda p: test_count(p.source, p.target),
-    "duplicate": lambda p: test_duplicate(p.source, p.target, p.keys),
+    "duplicate": lambda p: test_duplicate(p.source, _target(p), p.keys),
     "null": lambda p: test_null(p.source, p.target),
     "content": test_content,
     "schema": lambda p: test_schema(p.source, p.target),
-    "fingerprint": lambda p: test_fingerprint(p.source, p.target, p.keys),
+    "fingerprint": lambda p: test_fingerprint(p.source, _target(p), p.keys),
 }
 
 RESULT = (
     "testcase_name string, testcase_type string, test_result string, reason string, src_rows bigint, tgt_rows bigint, "
     "src_distinct bigint, tgt_distinct bigint, matched bigint, mismatched bigint, only_source bigint, "
     "only_target bigint, checks bigint, checks_passed bigint, checks_failed bigint, runtime string, "
-    "started string, ended string"
+    "started string, ended string, run_created_time string, protocol_start_time string, protocol_end_time string, "
+    "protocol_total_run_time string"
+)
+DETAIL = (
+    "testcase_name string, kind string, `column` string, key_columns string, source_value string, target_value string"
 )
 _MEASURES = [f.strip().split(" ")[0] for f in RESULT.split(",")][4:15]
 _RENAMED = {"checks": "kpis", "checks_passed": "kpis_passed", "checks_failed": "kpis_failed"}
@@ -133,6 +146,7 @@ def run_suite(spark: SparkSession, cases: Iterable[Case], test_type: str, names:
     """
     test = TESTS[test_type]
     out = []
+    run, run_clock = datetime.now(timezone.utc).isoformat(), monotonic()
     for case in selected(cases, names):
         begun, clock = datetime.now(timezone.utc), monotonic()
         try:
@@ -143,7 +157,31 @@ def run_suite(spark: SparkSession, cases: Iterable[Case], test_type: str, names:
         measures = [found.get(m, found.get(_RENAMED.get(m, m))) for m in _MEASURES]
         out.append((case.name, test_type, result, reason, *measures, clock_text(monotonic() - clock),
                     begun.isoformat(), datetime.now(timezone.utc).isoformat()))
-    return spark.createDataFrame(out, RESULT)
+    whole = (run, run, datetime.now(timezone.utc).isoformat(), clock_text(monotonic() - run_clock))
+    return spark.createDataFrame([row + whole for row in out], RESULT)
+
+
+def suite_details(spark: SparkSession, cases: Iterable[Case], names: Sequence[str] | None = None) -> DataFrame:
+    """What differs in the content of each selected case, as far as its sample limit goes.
+
+    Kinds: ``cell`` (a differing cell), ``mismatched``, ``only_source``, ``only_target`` (keys) and ``errored``, a case
+    that could not be planned or joined, with the reason as its source value. The differences of a case are stored once.
+    """
+    parts = [spark.createDataFrame([], DETAIL)]
+    for case in selected(cases, names):
+        try:
+            report = content_report(case.pair(spark), case.sample_limit())
+            found = {
+                "cell": report.cells, "mismatched": report.mismatched_keys,
+                "only_source": report.only_source_keys, "only_target": report.only_target_keys,
+            }
+        except Exception as error:
+            reason = f"Execution Error: {str(error).splitlines()[0]}"
+            parts.append(spark.createDataFrame([(case.name, "errored", None, None, reason, None)], DETAIL))
+            continue
+        for kind, df in found.items():
+            parts.append(df.select(F.lit(case.name).alias("testcase_name"), F.lit(kind).alias("kind"), "*"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def clock_text(seconds: float) -> str:

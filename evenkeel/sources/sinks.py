@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,7 +40,16 @@ def _shaped(df: DataFrame, ddl: str) -> DataFrame:
 
 
 def append_history(rows: DataFrame, path: str) -> None:
-    """Append verdicts to the history, partitioned by test type so that reports on one type read only theirs."""
+    """Append verdicts to the history, partitioned by test type so that reports on one type read only theirs.
+
+    Verdicts need a name, a result and a type; without a stored time they get the time of this call.
+    """
+    have = {c.lower() for c in rows.columns}
+    lost = [c for c in ("testcase_name", "test_result", "testcase_type") if c not in have]
+    if lost:
+        raise ValueError(f"verdicts without {lost}")
+    if "db_stored_time" not in have:
+        rows = rows.withColumn("db_stored_time", F.lit(datetime.now(timezone.utc).isoformat()))
     _shaped(rows, HISTORY).write.mode("append").partitionBy("testcase_type").parquet(path)
 
 

@@ -4,8 +4,10 @@ import pytest
 from conftest import as_set
 
 import evenkeel as ek
+from evenkeel.operators.mapping import MappingRow, repeated_lookup_keys
 from evenkeel.plans.adhoc import _has_order
 from evenkeel.plans.results import runtime_members, runtime_seconds
+from evenkeel.sources import HISTORY, append_history, read_table
 from evenkeel.sources.readers import query_text
 from pyspark.sql import functions as F
 
@@ -64,3 +66,41 @@ def test_comments_in_query_files(tmp_path):
     path = tmp_path / "q.sql"
     path.write_text("SELECT 1 -- one\n  AS a\n;")
     assert query_text(str(path)) == "SELECT 1 -- one\nAS a"
+
+
+def test_negative_zero_survives_a_hot_group(rows):
+    df = rows("k int, v double, w float", (1, -0.0, 0.0), (1, 0.0, -0.0), (1, None, 1.5), (1, -0.0, -0.0), (2, float("nan"), 2.0))
+    read = lambda hot: sorted(str(tuple(r)[:3]) for r in ek.occurrence(df, ["k"], hot_rows=hot).collect())
+    assert read(1) == read(10**6)
+    assert ek.occurrence(df, ["k"], hot_rows=1).schema == ek.occurrence(df, ["k"]).schema
+
+
+def test_fingerprint_keys_of_other_types(rows):
+    src, tgt = rows("k int, v string", (1, "a"), (None, "b"), (None, "b")), rows("k bigint, v string", (1, "a"), (None, "b"))
+    out = {r.kpi: (r.src_value, r.tgt_value) for r in ek.fingerprint(src, tgt, ["k"]).collect()}
+    assert out["duplicate_keys"] == out["duplicate_rows"] == (1, 0) and out["checksum"] == (0, 0)
+
+
+def test_suite_run_has_an_identity_and_details(spark, rows, tmp_path):
+    src, tgt = rows("id int, v int", (1, 1), (2, 2), (3, 3)), rows("ident int, v int", (1, 1), (2, 9), (4, 4))
+    cases = [ek.Case("a", "id", src, tgt, columns={"id": "ident", "v": "v"}, limit=1), ek.Case("b", "none", src, tgt)]
+    for kind, result in (("content", "Failed"), ("duplicate", "Passed"), ("fingerprint", "Failed")):
+        done = ek.run_suite(spark, cases, kind)
+        assert as_set(done, "testcase_name", "test_result") == {("a", result), ("b", "Errored")}
+        append_history(done, str(tmp_path / "history"))
+    history = read_table(spark, HISTORY, str(tmp_path / "history"))
+    assert history.where("run_created_time IS NULL OR db_stored_time IS NULL").isEmpty()
+    assert as_set(ek.trend(history), "total", "failed", "passed") == {(2, 1, 0), (2, 0, 1)} and ek.trend(history).count() == 3
+    found = ek.suite_details(spark, cases)
+    assert as_set(found.where("testcase_name = 'a'"), "kind", "key_columns", "source_value", "target_value") == {
+        ("cell", "id=2", "2", "9"), ("mismatched", "id=2", None, None), ("only_source", "id=3", None, None), ("only_target", "id=4", None, None)}
+    assert as_set(found.where("testcase_name = 'b'"), "kind") == {("errored",)}
+    with pytest.raises(ValueError):
+        append_history(done.drop("test_result"), str(tmp_path / "other"))
+
+
+def test_lookup_keys_that_repeat(rows):
+    lookup = rows("code int, name string", (1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e"))
+    mapped = [MappingRow("n", "c", "derived", lookup_table="l", lookup_key="code", lookup_return="name"), MappingRow("c", "c")]
+    assert as_set(repeated_lookup_keys(mapped, {"l": lookup})) == {("l", "code", "1", 2)}
+    assert repeated_lookup_keys(mapped[1:], {}) is None

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import evenkeel as ek
+from evenkeel.frames import new_folder
 from evenkeel.functions import debit_credit
 from evenkeel.operators.profile import quantiles
 from evenkeel.operators.quality import Rule
+from evenkeel.sources import HISTORY, append_history, read_table
 
 from .registry import register
 
@@ -435,17 +437,44 @@ def pairs(t) -> list[ek.Case]:
     ]
 
 
-@register("suite_run", """
+CASES_SQL = """
     SELECT 'drift' AS testcase_name, 'duplicate' AS testcase_type, CASE WHEN sd = tr AND tr = td THEN 'Passed' ELSE 'Failed' END AS test_result, sr AS src_rows, tr AS tgt_rows
     FROM (SELECT (SELECT count(DISTINCT o_orderkey) FROM orders_src) AS sd, (SELECT count(*) FROM orders_src) AS sr,
                  (SELECT count(DISTINCT o_orderkey) FROM orders_tgt) AS td, (SELECT count(*) FROM orders_tgt) AS tr) x
     UNION ALL SELECT 'same', 'duplicate', 'Passed', count(*), count(*) FROM orders_src
-    UNION ALL SELECT 'broken', 'duplicate', 'Errored', NULL, NULL""", also="orders_src orders_tgt")
+    UNION ALL SELECT 'broken', 'duplicate', 'Errored', NULL, NULL"""
+
+
+@register("suite_run", CASES_SQL, also="orders_src orders_tgt")
 def _(t):
     return ek.run_suite(t.spark, pairs(t), "duplicate").select(
         "testcase_name", "testcase_type", "test_result", "src_rows", "tgt_rows")
 
 
+@register("suite_history_trend", f"""
+    SELECT count(*) AS total, count(CASE WHEN test_result = 'Failed' THEN 1 END) AS failed,
+           count(CASE WHEN test_result = 'Passed' THEN 1 END) AS passed,
+           round(count(CASE WHEN test_result = 'Passed' THEN 1 END) / count(*), 4) AS pass_rate
+    FROM ({CASES_SQL}) x""", also="orders_src orders_tgt")
+def _(t):
+    """A run of a suite, appended to a new history and reported as its only run."""
+    path = new_folder(t.spark, "history")
+    append_history(ek.run_suite(t.spark, pairs(t), "duplicate"), path)
+    return ek.trend(read_table(t.spark, HISTORY, path)).drop("run_created_time")
+
+
+@register("suite_details", """
+    SELECT 'drift' AS testcase_name, kind, count(*) AS n FROM (
+        SELECT DISTINCT 'only_source' AS kind, o_orderkey FROM orders_src WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_tgt)
+        UNION SELECT 'only_target', o_orderkey FROM orders_tgt WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_src)
+    ) x GROUP BY kind""", also="orders_src orders_tgt")
+def _(t):
+    """Details of a content case; the limit is large enough for every key that is on one side only."""
+    case = ek.Case("drift", "o_orderkey", t.orders_src, t.orders_tgt, limit=2_000_000_000)
+    found = ek.suite_details(t.spark, [case]).where(F.col("kind").isin("only_source", "only_target"))
+    return found.groupBy("testcase_name", "kind").agg(F.countDistinct("key_columns").alias("n"))
+
+
 @register("suite_totals", """
     SELECT count(*) AS cases, count(CASE WHEN test_result = 'Passed' THEN 1 END) AS passed,
            count(CASE WHEN test_result = 'Failed' THEN 1 END) AS failed, count(CASE WHEN test_result = 'Errored' THEN 1 END) AS errored
