@@ -7,16 +7,16 @@ aligned word by word within a band, and are linked when at most a fifth of the l
 
 Two copies with a share J of common 5-grams meet in a bucket with probability 1-(1-J*J)**32: over 0.9999 from J = 0.5 on, which a
 pair of similarity 0.95 reaches. In a bucket every member is aligned with its hub, so a bucket of copies costs one alignment a member,
-not all pairs. Members that matched no hub meet again in finer buckets, one for every two of their buckets that agree, where a line or
-passage that many texts share no longer decides. Copies share eight buckets or more and so have as many hubs to match, most of their
-own class; ``tests/llm`` compares the classes with all pairs.
+not all pairs. Buckets with texts of more than one class take further hubs, round by round, until one class is left or every two texts of
+different classes were aligned; so all links of texts that share a bucket count, and only unrelated texts in one bucket cost all
+pairs. ``tests/llm`` compares the classes with all pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import forget, map_batches, register, stored, table
 from .components import classes
@@ -25,6 +25,9 @@ from .words import blocks, mix, scan, span_hash
 GRAM, TUPLE, SKETCHES, SIMILARITY = 5, 2, 32, 0.8
 #: Members aligned with one copy of a hub's text in a task.
 PER_HUB = 512
+#: Hubs of a bucket in the first round, and how many times as many in each further one.
+HUBS, GROWTH = 1, 4
+MARKS = ("bits0", "bits1", "bits2", "bits3")
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -158,16 +161,29 @@ def buckets(texts: DataFrame, sketches: int = SKETCHES) -> DataFrame:
 
 
 def word_rows(texts: DataFrame) -> DataFrame:
-    """(item, words): 32 bits of every word's hash, a third of the text to move and nothing to parse again."""
+    """(item, words, size, bits): 32 bits of every word's hash, a third of the text to move and nothing to parse again; their number and ``marks``."""
     def run(batch: pa.RecordBatch):
         items = batch.column("item")
         for at, part in blocks(batch.column("text").to_pylist()):
             found = scan(part)
             low = (found.hash >> np.uint64(32)).astype("<u4")
             data = [low[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
-            yield {"item": items.slice(at, len(part)), "words": data}
+            yield {"item": items.slice(at, len(part)), "words": data, "size": np.diff(found.first), **marks(found)}
 
-    return map_batches(texts, run, "item binary, words binary")
+    return map_batches(texts, run, f"item binary, words binary, size int, {', '.join(f'{m} long' for m in MARKS)}")
+
+
+def marks(words) -> dict[str, np.ndarray]:
+    """A set of bits for the words of each text. An edit adds one word at most and takes one away, so it does so with the bits."""
+    doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    bit = words.hash >> np.uint64(40)
+    out = {}
+    for k, name in enumerate(MARKS):
+        own = bit % np.uint64(len(MARKS)) == k
+        value = np.zeros(len(words.first) - 1, np.uint64)
+        np.bitwise_or.at(value, doc[own], np.uint64(1) << (bit[own] >> np.uint64(8)) % np.uint64(64))
+        out[name] = value.view(np.int64)
+    return out
 
 
 def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -190,43 +206,65 @@ def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     return map_batches(members.join(hubs, ["a", "salt"]).select("a", "b", "words_a", "words_b"), run, "a binary, b binary")
 
 
-def _meet(rows: DataFrame, words: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links of every bucket's members to its hub, and the rows (key, item) of buckets where two or more members matched no hub."""
-    # Four orders of hubs: a document meets several members of its class, but not another one in every bucket.
-    order = F.struct(F.xxhash64("item", F.pmod("key", F.lit(4))), "item")
-    hubs = rows.groupBy("key").agg(F.min(order).alias("least")).select("key", F.col("least.item").alias("hub"))
-    met = rows.join(hubs, "key").where("item <> hub").select(
-        "key", "item", F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")
-    )
-    pairs, path = stored(met.select("a", "b").distinct(), "pairs")
-    good, _ = stored(_aligned(pairs, words, similarity), "links")
-    forget(rows.sparkSession, path)
-    left = met.join(good, ["a", "b"], "left_anti").select("key", "item")
-    return good, _shared(left)
-
-
 def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key")
 
 
-def links(docs: DataFrame, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between the different texts of ``docs`` (item, text); rows of one item have the same text."""
+def _open(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows (key, item, size) of buckets with texts of two or more classes, with the class and its number of rows in the bucket."""
+    own = rows.join(known, "item", "left").select("key", "item", "size", *MARKS, F.coalesce("class", "item").alias("class"))
+    parts = own.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key")
+    return own.join(parts.join(several, "key"), ["key", "class"])
+
+
+def _lacking(a: str, b: str) -> F.Column:
+    """How many marks of one text the other lacks: so many edits at least."""
+    return sum((F.bit_count(F.col(f"{a}{m}").bitwiseAND(F.bitwise_not(f"{b}{m}"))) for m in MARKS), F.lit(0))
+
+
+def links(docs: DataFrame, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between the different texts of ``docs`` (item, text), and their classes; rows of one item have the same text.
+
+    Every two texts of a bucket are aligned unless they are in one class already or their lengths or marks rule them out.
+    """
     spark = docs.sparkSession
     all_rows, all_path = stored(buckets(docs, sketches).distinct(), "buckets")
-    rows, path = stored(_shared(all_rows), "buckets")
+    keys, keys_path = stored(_shared(all_rows), "buckets")
     forget(spark, all_path)
     # Copies are dropped before they travel; only texts that share a bucket are kept for the alignments.
-    texts = docs.dropDuplicates(["item"]).join(rows.select("item").distinct(), "item", "left_semi")
+    texts = docs.dropDuplicates(["item"]).join(keys.select("item").distinct(), "item", "left_semi")
     words, words_path = stored(word_rows(texts), "words")
-    found, left = _meet(rows, words, similarity)
-    # What matched no hub, say for a line that many texts share, meets again where two of its buckets agree.
-    own = left.groupBy("item").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    two = own.select("item", F.posexplode("keys").alias("i", "first"), "keys")
-    two = two.select("item", "first", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("second"))
-    finer, finer_path = stored(_shared(two.select(F.xxhash64("first", "second").alias("key"), "item")), "buckets")
-    again, _ = _meet(finer, words, similarity)
-    forget(spark, path, finer_path, words_path)
-    return found.unionByName(again)
+    rows, last = keys.join(words.select("item", "size", *MARKS), "item"), [keys_path]
+    found = tested = spark.createDataFrame([], "a binary, b binary")
+    known = spark.createDataFrame([], "item binary, class binary")
+    most, paths = HUBS, [words_path]
+    while True:
+        live, live_path = stored(_open(rows, known), "buckets")
+        forget(spark, *last)
+        if live.isEmpty():
+            forget(spark, live_path, *paths)
+            return found, known
+        # Texts of a bucket's small classes come first: they meet the large class as a whole. Four orders of hubs: a document
+        # meets several members of its class, but not another one in every bucket.
+        order = Window.partitionBy("key").orderBy("n", F.xxhash64("item", F.pmod("key", F.lit(4))), "item")
+        ranked = live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+        hubs, hubs_path = stored(ranked.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("item", "class", "size", *MARKS)]), "hubs")
+        longer, shorter = F.greatest("size", "hub_size"), F.least("size", "hub_size")
+        edits_most = F.floor(F.lit(1 - similarity) * longer + 1e-9)
+        near = (longer - shorter <= edits_most) & (_lacking("", "hub_") <= edits_most) & (_lacking("hub_", "") <= edits_most)
+        met = live.join(hubs, "key").where((F.col("class") != F.col("hub_class")) & near).select(
+            F.least("item", "hub_item").alias("a"), F.greatest("item", "hub_item").alias("b")
+        )
+        pairs, path = stored(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        good, _ = stored(_aligned(pairs, words, similarity), "links")
+        tested, found = tested.unionByName(pairs), found.unionByName(good)
+        if not good.isEmpty():
+            known = classes(found)
+        # A hub has met its whole bucket.
+        rows = live.join(hubs, (live["key"] == hubs["key"]) & (live["item"] == hubs["hub_item"]), "left_anti").select("key", "item", "size", *MARKS)
+        last, most = [live_path, hubs_path], most * GROWTH
+        paths.append(path)
 
 
 def near_classes(docs: DataFrame, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
@@ -236,9 +274,9 @@ def near_classes(docs: DataFrame, sketches: int = SKETCHES, similarity: float =
     equal texts are always one class. ``n_links`` counts the text's links to different texts.
     """
     texts = docs.groupBy(digest().alias("item")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    found = links(docs.select(digest().alias("item"), F.coalesce("text", F.lit("")).alias("text")), sketches, similarity)
+    found, known = links(docs.select(digest().alias("item"), F.coalesce("text", F.lit("")).alias("text")), sketches, similarity)
     number = found.select(F.explode(F.array("a", "b")).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_links"))
-    known = texts.join(classes(found), "item", "left").join(number, "item", "left").select(
+    known = texts.join(known, "item", "left").join(number, "item", "left").select(
         "item", F.coalesce("class", "item").alias("class"), "least", "n", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     whole = known.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_docs"))

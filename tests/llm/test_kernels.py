@@ -52,6 +52,16 @@ def test_banded_alignment():
         assert near_dedup.alike(x, y) == (distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
+def test_marks_bound_edits():
+    rng = random.Random(5)
+    for _ in range(200):
+        a = [str(rng.randrange(300)) for _ in range(rng.randrange(1, 120))]
+        b = edited(rng, a, rng.randrange(30), ["new", "other", "7"])
+        x = near_dedup.marks(words.scan([" ".join(a), " ".join(b)]))
+        lacking = [sum(bin(int(v[i]) & ~int(v[1 - i]) & (1 << 64) - 1).count("1") for v in x.values()) for i in (0, 1)]
+        assert max(lacking) <= distance(a, b)
+
+
 def test_sketch_keeps_order_and_occurrence():
     rng = random.Random(3)
     text = [str(rng.randrange(500)) for _ in range(300)]

@@ -70,6 +70,40 @@ def test_near_classes_against_all_pairs(spark):
     assert sorted((r.class_id, r.n_docs) for r in rows) == sorted((4 * (i // 4), 4) for i in range(48))
 
 
+def test_near_classes_of_a_star(spark):
+    """Copies near their original but not near each other: the classes and links are those of all pairs that share a bucket."""
+    rng = random.Random(12)
+    original = [rng.choice(VOCABULARY) + str(rng.randrange(40)) for _ in range(200)]
+    texts = [original]
+    for k in range(240):
+        own = list(original)
+        for at in rng.sample(range(200), 24):
+            own[at] = f"edit{k}x{at}"
+        texts.append(own)
+    alone = [" ".join(original[:30]) + " " + prose(rng, 170) for _ in range(40)]
+    plain = [" ".join(t) for t in texts] + alone
+    keys = near_dedup.sketch(plain)
+    words = near_dedup.scan(plain)
+    cut = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
+    parent = list(range(len(plain)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(plain)):
+        for j in range(i):
+            if root(i) != root(j) and (keys[i] == keys[j]).any() and near_dedup.alike(cut[i], cut[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    size = {}
+    for i in range(len(plain)):
+        size[root(i)] = size.get(root(i), 0) + 1
+    assert size[0] > 225 and sum(root(i) == i for i in range(241, len(plain))) == 40
+    found = near_dedup.near_classes(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")).collect()
+    assert sorted((r.least, r.class_id, r.n_docs) for r in found) == [(i, root(i), size[root(i)]) for i in range(len(plain))]
+
+
 def test_line_dedup(spark, docs, empty):
     rows = line_dedup.dedup(docs)
     assert rows.columns == [*docs.columns, "__spans"]
