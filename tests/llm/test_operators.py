@@ -122,6 +122,19 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.stage(spark, docs, "").columns == docs.columns
 
 
+def test_line_dedup_short_lines(spark):
+    """Short lines of several documents go but for the first one; those of few documents stay, however often in one."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(12):
+        own = [f"{prose(rng, 6)} own{k}", "Read more. Follow us today", f"{prose(rng, 30)} own{k}"]
+        texts.append("\n".join(own + (["Few hold this"] if k < 4 else ["Twice here"] * 3 if k == 4 else [])))
+    texts.append("Read more. Follow us today, and other words")
+    found = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found[0] == texts[0] and found[12] == texts[12]
+    assert all(found[k] == texts[k].replace("Read more. Follow us today\n", "") for k in range(1, 12))
+
+
 def test_decontaminate(spark, docs, empty):
     text = docs.where("doc_id = 2").first().text.split()
     items = spark.createDataFrame([(7, " ".join(text[20:50]).upper()), (8, None), (9, ""), (10, "x"), (None, " ".join(text[60:80]))], "item_id long, text string")
