@@ -3,7 +3,7 @@
 A page is read as blocks of text, each with the path of tags from the root to its block element. Blocks are grouped by path; a path's
 ratio is its text per block, weighed by its punctuation and by the share of its text outside links. Ratios are smoothed over
 neighbouring blocks in page order and fused into one score a block; paths that hold a share of the best score are content paths,
-and the element that holds most of their text is the content node. All its blocks are the text, but for those in navigation, asides,
+and the innermost element that holds all their text, or the article or main part around it, is the content node. All its blocks are the text, but for those in navigation, asides,
 forms, adverts, notices and comments, told by their tags and by the words of class, id and role.
 """
 
@@ -123,13 +123,20 @@ def extract(page: str | None, share: float = SHARE) -> str:
     chosen = [k for own in by_path.values() if fused[own].mean() >= share * fused.max() and fused.max() > 0 for k in own]
     if not chosen:
         return ""
-    # The innermost element that holds nearly all text of the content paths.
-    held: dict[int, float] = {}
+    # The innermost element that holds all text of the content paths, or the article or main part around it, whose title and lead may
+    # lie outside the body's own element; without these, the section around it.
+    held: dict[int, int] = {}
     for k in chosen:
         for e in rows[k][0].inside:
-            held[e] = held.get(e, 0.0) + size[k]
-    whole = size[chosen].sum()
-    inner = max((e for e, n in held.items() if n >= 0.9 * whole), default=None)
+            held[e] = held.get(e, 0) + 1
+    inner = max((e for e, n in held.items() if n == len(chosen)), default=None)
+    if inner is not None:
+        b = rows[chosen[0]][0]
+        around = [(e, tag) for e, tag in zip(b.inside, b.path) if e <= inner]
+        for tags in (("article", "main"), ("section",)):
+            if wide := [e for e, tag in around if tag in tags]:
+                inner = wide[-1]
+                break
     keep = range(len(rows)) if inner is None else [k for k, (b, _) in enumerate(rows) if inner in b.inside]
     # A lone paragraph is content together with the blocks beside it, so its parent decides.
     if inner is not None and len(keep) == 1 and (above := rows[keep[0]][0].inside[:-1]):

@@ -189,3 +189,12 @@ And more, and more.</p><ul><li>one item<li>two item</ul><aside>Pull</aside><form
     assert html_text.extract(page) == "Head & tail\nFirst para, with link text. It goes on.\nSecond para. And more, and more.\none item\ntwo item"
     assert html_text.extract("just &lt;text") == "just <text"
     assert [html_text.extract(x) for x in (None, "", "<nav>menu</nav>", "<p><b")] == ["", "", "", "<b"]
+
+
+def test_html_text_keeps_what_is_beside_the_body():
+    para = "<p>A paragraph of the body, long enough, with some words in it. It goes on and on.</p>"
+    body = f"<div>{para * 20}</div>"
+    found = html_text.extract(f"<body><nav>menu</nav><article><h1>Title</h1><p>Lead.</p>{body}</article><footer>x</footer></body>")
+    assert found.split("\n")[:2] == ["Title", "Lead."] and found.count("A paragraph") == 20 and "menu" not in found
+    two = html_text.extract(f"<main><article><section>{para * 23}</section><section>{para * 2}</section></article></main>")
+    assert two.count("A paragraph") == 25
