@@ -8,12 +8,13 @@ from .values import (
     full_name,
     col,
     key_text,
+    let,
     same,
     text_mask,
     two_decimals,
 )
 
 __all__ = [
-    "as_list", "as_range", "blank_to", "col", "date_text_ok", "debit_credit", "full_name", "key_text",
+    "as_list", "as_range", "blank_to", "col", "date_text_ok", "debit_credit", "full_name", "key_text", "let",
     "predicate", "same", "text_mask", "two_decimals",
 ]

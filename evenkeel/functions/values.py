@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -13,6 +13,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def same(left: Column, right: Column, abs_tol: float = 0, rel_tol: float = 0) -> Column:
     """NULL-safe equality; with a tolerance, ``|l - r| <= abs_tol + rel_tol * |r|`` for numbers."""
     equal = left.eqNullSafe(right)

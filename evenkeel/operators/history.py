@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..frames import stack_rows
 from ..functions.values import col
-from .ordinal import HOT_ROWS, largest_group, numbered_pairs, occurrence, positions
+from .ordinal import CHUNK_ROWS, followed, occurrence, positions
 from .reconcile import Pair, counts, reconcile
 
 
@@ -67,28 +67,15 @@ def scd2_current_faults(df: DataFrame, keys: Sequence[str], current: str, curren
 
 
 def date_chain(
-    df: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str] = (), hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Versions whose next version does not start on the day after they end, labelled ``gap`` or ``overlap``.
 
-    Order within a key: start, end, then ``order``. A key with more than ``hot_rows`` versions is numbered by
-    a distributed sort and met with itself at number + 1 instead of being sorted in one task.
+    Order within a key: start, end, then ``order``. Keys of many versions are cut into chunks, each of which ends with the start of the
+    next one's first version. A next version without a start is no fault.
     """
-    by = [start, end, *[c for c in order if c not in (start, end)]]
-    rows = df.select(*[col(c) for c in dict.fromkeys([*keys, *by])])
-    rows, numbered = numbered_pairs(rows, keys, by, hot_rows)
-    if numbered:
-        nxt = rows.select(
-            *[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.col("__rn") - 1).alias("__prev"),
-            col(start).alias("next_start"),
-        )
-        on = F.col("__rn") == F.col("__prev")
-        for i, k in enumerate(keys):
-            on = on & col(k).eqNullSafe(F.col(f"__k{i}"))
-        linked = rows.join(nxt, on)
-    else:
-        w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c) for c in by])
-        linked = rows.withColumn("next_start", F.lead(col(start)).over(w)).where(F.col("next_start").isNotNull())
+    by = list(dict.fromkeys([start, end, *order]))
+    linked = followed(df, keys, by, start, chunk_rows).withColumnRenamed("__next", "next_start").where("next_start IS NOT NULL")
     expected = F.date_add(col(end), 1)
     # An open end (NULL or the last day a date can hold) has no day after it: anything that follows overlaps.
     label = F.when(col(end).isNull(), "overlap").when(F.col("next_start") > expected, "gap").when(F.col("next_start") < expected, "overlap")
@@ -99,18 +86,17 @@ def date_chain(
 
 def rank_check(
     df: DataFrame, partition: Sequence[str], order: Sequence[str], stored: str,
-    function: str = "row_number", first: int = 1, hot_rows: int = HOT_ROWS,
+    function: str = "row_number", first: int = 1, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Rows whose stored ``row_number``, ``rank`` or ``dense_rank`` differs from the recomputed one.
 
     Returned as distinct (partition, order, stored, expected) with their number of rows.
     """
     by = [*partition, *order]
-    largest = largest_group(df, partition)
     needed = df.select(*[col(c) for c in dict.fromkeys([*by, stored])])
     # Ties of a row number are ordered by the stored value, so any consistent numbering of equal rows is accepted.
     sort_by = [*order, stored] if function == "row_number" else order
-    placed = positions(needed, partition, sort_by, hot_rows, largest)
+    placed = positions(needed, partition, sort_by, chunk_rows)
     expected = (F.col("__steps") if function == "dense_rank" else F.col("__before")) + F.lit(first).cast("bigint")
     if function == "row_number":
         out = placed
@@ -128,15 +114,15 @@ def rank_check(
 
 
 def sequence(
-    df: DataFrame, partition: Sequence[str], order: Sequence[str], name: str = "row_id", hot_rows: int = HOT_ROWS
+    df: DataFrame, partition: Sequence[str], order: Sequence[str], name: str = "row_id", chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """A sequence 1, 2, 3… per partition (one input file, say), exact however large a partition is."""
-    return occurrence(df, partition, order, name, hot_rows)
+    return occurrence(df, partition, order, name, chunk_rows)
 
 
-def ranked(df: DataFrame, partition: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def ranked(df: DataFrame, partition: Sequence[str], order: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Distinct (partition, order) with row count, ``rank`` and ``dense_rank``."""
-    placed = positions(df, partition, order, hot_rows)
+    placed = positions(df, partition, order, chunk_rows)
     return placed.select(
         *[col(c) for c in [*partition, *order]], F.col("__n").alias("rows"),
         (F.col("__before") + 1).alias("rank"), (F.col("__steps") + 1).alias("dense_rank"),

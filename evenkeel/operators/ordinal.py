@@ -1,82 +1,89 @@
-"""Positions inside groups that stay exact and spread out when one group is huge.
+"""Positions inside groups that stay exact and spread out when one group is huge, in one plan that runs no job while it is built.
 
-A window sorts a whole group in one task. That is the cheapest plan while groups are small, and
-impossible when one key holds a third of the table. Above ``hot_rows`` rows per group the same
-numbers come from a distributed prefix sum:
-
-1. equal rows are counted first, so copies of one row shrink before they travel;
-2. the distinct rows are range-partitioned by (keys, order), which cuts a huge group into many chunks;
-3. each chunk is numbered on its own, and starts where the chunks before it in the same group end.
-
-Step 3 needs a start only for the first group of a chunk, so that table never has more rows than
-there are chunks, whatever the data size.
+1. Equal rows are counted first, so copies of one row shrink before they travel; copies beyond ``_EXPAND`` become further blocks.
+2. A hash picks about one of ``chunk_rows`` rows. The picked rows, sorted, are bounds that cut all groups into chunks: a scalar
+   subquery of the plan, the same whenever it is computed again. Fewer rows than that give no bound, so a group is one chunk.
+3. Every chunk is one window partition. Where a group goes on over a bound, each of its chunks starts with a row that carries what the
+   chunks before it hold. Only groups at a bound need such a row, at most one for each bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..frames import durable
-from ..functions.values import col
+from ..functions.values import col, let
 
-HOT_ROWS = 1_000_000
+#: Rows of a chunk, on average, and how many chunks there are at most; of larger tables not every picked row becomes a bound.
+CHUNK_ROWS, MOST_CHUNKS = 1 << 20, 4096
+#: Copies of one row that are written back by one task.
 _EXPAND = 100_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group (runs one job that shuffles counts of keys only)."""
-    sizes = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    return sizes.agg(F.max("__n")).first()[0] or 0
-
-
-def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS, largest: int | None = None
-) -> DataFrame:
+_STEPS = [1 << k for k in range(16, -1, -1)]
+_EARLIER = (Window.unboundedPreceding, -1)
+
+
+def _chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int, extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per distinct (keys, order) and block of its copies: ``__copies`` in all, ``__n`` in the block, chunk and whether its group goes on."""
+    names = [*keys, *order]
+    counted = df.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("__copies"), *extra)
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__copies") - 1) / _EXPAND))
+    rows = counted.withColumn("__block", F.explode(blocks))
+    rows = rows.withColumn("__n", F.least(F.lit(_EXPAND).cast("bigint"), F.col("__copies") - F.col("__block") * _EXPAND))
+
+    here = F.struct(*[col(c).alias(f"p{i}") for i, c in enumerate([*names, "__block"])])
+    group = lambda place: F.struct(*[place[f"p{i}"].alias(f"p{i}") for i in range(len(keys))])
+    picked = rows.where(F.pmod(F.xxhash64(*[col(c) for c in [*names, "__block"]]), F.lit(chunk_rows)) < F.col("__n"))
+    every = lambda b: F.greatest(F.lit(1), F.ceil(F.size(b) / MOST_CHUNKS))
+    bounds = picked.agg(F.sort_array(F.collect_list(here)).alias("b"))
+    bounds = bounds.select(F.filter("b", lambda x, i: i % every(F.col("b")) == 0))
+
+    def place(b: Column) -> Column:
+        chunk = F.aggregate(F.lit(_STEPS), F.lit(0), lambda low, s: F.when(F.get(b, low + s - 1) <= here, low + s).otherwise(low))
+        # The group goes on if the bound at either end of the chunk lies in it.
+        over = lambda c, i: F.get(b, i).isNotNull() & (group(F.get(b, i)).eqNullSafe(group(here)) if keys else F.lit(True))
+        return let(chunk, lambda c: F.struct(c.alias("chunk"), (over(c, c - 1) | over(c, c)).alias("over")))
+
+    rows = rows.withColumn("__bounds", bounds.scalar()).withColumn("__place", let(F.col("__bounds"), place))
+    return rows.withColumns({"__chunk": F.col("__place.chunk"), "__over": F.col("__place.over")}).drop("__place", "__bounds")
+
+
+def _per_chunk(rows: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Aggregates of each chunk of the groups that go on over a bound."""
+    return rows.where("__over").groupBy(*[col(k) for k in keys], "__chunk").agg(*aggregates)
+
+
+def _placed(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The blocks with ``__before`` and ``__steps``: rows and distinct rows before them in their group."""
+    key_cols, fresh = [col(k) for k in keys], F.when(F.col("__block") == 0, 1).otherwise(0).cast("bigint")
+    totals = _per_chunk(rows, keys, F.sum("__n").alias("__n"), F.sum(fresh).alias("__new"))
+    w = Window.partitionBy(*key_cols).orderBy("__chunk").rowsBetween(*_EARLIER)
+    starts = totals.withColumns({"__n": F.sum("__n").over(w), "__new": F.sum("__new").over(w)}).where("__n IS NOT NULL")
+    both = rows.withColumns({"__new": fresh, "__real": F.lit(True)}).unionByName(
+        starts.withColumn("__real", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(*key_cols, "__chunk").orderBy("__real", *[col(c) for c in order], "__block").rowsBetween(*_EARLIER)
+    zero = F.lit(0).cast("bigint")
+    return both.withColumns({
+        "__before": F.coalesce(F.sum("__n").over(w), zero), "__steps": F.coalesce(F.sum("__new").over(w), zero),
+    }).where("__real")
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per distinct (keys, order): copies ``__n``, rows ``__before`` it in its group, distinct ``__steps`` before it.
 
     ``__before + 1`` is the rank and ``__steps + 1`` the dense rank; NULLs sort first.
     """
-    key_cols, order_cols = [col(k) for k in keys], [col(c) for c in order]
-    counted = df.groupBy(*key_cols, *order_cols).agg(F.count(F.lit(1)).alias("__n"))
-    largest = largest_group(df, keys) if largest is None else largest
-    earlier = (Window.unboundedPreceding, -1)
-
-    def running(frame: DataFrame, partition: list) -> DataFrame:
-        w = Window.partitionBy(*partition).orderBy(*(order_cols or [F.lit(0)])).rowsBetween(*earlier)
-        return frame.withColumns({
-            "__before": F.coalesce(F.sum("__n").over(w), F.lit(0)), "__steps": F.count(F.lit(1)).over(w),
-        })
-
-    if largest <= hot_rows:
-        return running(counted, key_cols)
-
-    chunked = durable(
-        counted.repartitionByRange(*key_cols, *order_cols).withColumn("__chunk", F.spark_partition_id())
-    )
-    totals = chunked.groupBy(*key_cols, "__chunk").agg(
-        F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__distinct")
-    )
-    before = Window.partitionBy(*key_cols).orderBy("__chunk").rowsBetween(*earlier)
-    starts = (
-        totals.withColumns({"__rows_before": F.sum("__rows").over(before), "__steps_before": F.sum("__distinct").over(before)})
-        .where(F.col("__rows_before").isNotNull())
-        .select(
-            F.col("__chunk").alias("__start_chunk"), "__rows_before", "__steps_before",
-            *[col(k).alias(f"__start_{i}") for i, k in enumerate(keys)],
-        )
-    )
-    # At most one group per chunk continues from an earlier chunk: the row count is bounded by the chunk count.
-    on = F.col("__chunk") == F.col("__start_chunk")
-    for i, k in enumerate(keys):
-        on = on & col(k).eqNullSafe(F.col(f"__start_{i}"))
-    numbered = running(chunked, [*key_cols, F.col("__chunk")]).join(F.broadcast(starts), on, "left")
-    return numbered.select(
-        *key_cols, *order_cols, "__n",
-        (F.col("__before") + F.coalesce("__rows_before", F.lit(0))).alias("__before"),
-        (F.col("__steps") + F.coalesce("__steps_before", F.lit(0))).alias("__steps"),
-    )
+    order = [c for c in dict.fromkeys(order) if c not in keys]
+    placed = _placed(_chunks(df, keys, order, chunk_rows), keys, order).where("__block = 0")
+    return placed.select(*[col(c) for c in [*keys, *order]], F.col("__copies").alias("__n"), "__before", "__steps")
+
+
+def _holds_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_floats(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_floats(f.dataType) for f in kind)
+    return isinstance(kind, (T.FloatType, T.DoubleType))
 
 
 def occurrence(
@@ -84,8 +91,7 @@ def occurrence(
     keys: Sequence[str],
     order: Sequence[str] | None = None,
     name: str = "occurrence",
-    hot_rows: int = HOT_ROWS,
-    largest: int | None = None,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Number the rows of each group 1, 2, 3… in ``order`` followed by all other columns, NULLs first.
 
@@ -93,39 +99,31 @@ def occurrence(
     """
     rest = [c for c in (order or []) if c not in keys]
     rest += [c for c in df.columns if c not in keys and c not in rest]
-    largest = largest_group(df, keys) if largest is None else largest
-    if largest <= hot_rows:
-        w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*([col(c) for c in rest] or [F.lit(0)]))
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-
-    # Grouping turns -0.0 into 0.0, so signs of zeros travel beside the values (only in plain columns).
-    signs = {f"__sign{i}": c for i, c in enumerate([*keys, *rest]) if dict(df.dtypes).get(c) in ("float", "double")}
-    names = df.columns
-    df = df.withColumns({s: F.col(f"`{c}`").cast("string").eqNullSafe("-0.0") for s, c in signs.items()}) if signs else df
-    rest += list(signs)
-    placed = positions(df, keys, rest, hot_rows, largest)
-    # Copies of one row are written back in blocks, so a row with billions of copies is spread over tasks.
-    blocks = placed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / _EXPAND))))
-    blocks = blocks.repartition(*[col(c) for c in [*keys, *rest]], F.col("__block"))
-    left = F.least(F.lit(_EXPAND), F.col("__n") - F.col("__block") * _EXPAND)
-    return (
-        blocks.withColumn("__step", F.explode(F.sequence(F.lit(1), left)))
-        .withColumn(name, (F.col("__before") + F.col("__block") * _EXPAND + F.col("__step")).cast("bigint"))
-        .select(*[_signed(c, signs) for c in names], name)
+    # Grouping turns -0.0 into 0.0: values with a -0.0 are told apart by their text, and come back as they were.
+    floats = [f.name for f in df.schema if _holds_floats(f.dataType)]
+    text = {f"__sign{i}": col(c).cast("string") for i, c in enumerate(floats)}
+    signed = df.withColumns({s: F.when(t.contains("-0.0"), t) for s, t in text.items()}) if floats else df
+    own = {c: f"__own{i}" for i, c in enumerate(floats)}
+    rows = _chunks(signed, keys, [*rest, *text], chunk_rows, [F.first(col(c)).alias(o) for c, o in own.items()])
+    placed = _placed(rows, keys, [*rest, *text])
+    copies = placed.withColumn("__step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
+    return copies.select(
+        *[F.col(own[c]).alias(c) if c in own else col(c) for c in df.columns], (F.col("__before") + F.col("__step")).alias(name)
     )
 
 
-def _signed(name: str, signs: dict[str, str]) -> Column:
-    """A column with its negative zeros, told by the flag that ``signs`` names for it."""
-    flag = next((s for s, c in signs.items() if c == name), None)
-    return col(name) if flag is None else F.when(F.col(flag), -F.abs(col(name))).otherwise(col(name)).alias(name)
-
-
-def numbered_pairs(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS, largest: int | None = None
-) -> tuple[DataFrame, bool]:
-    """The rows with their number when a group is huge (True), untouched when a window is fine (False)."""
-    largest = largest_group(df, keys) if largest is None else largest
-    if largest <= hot_rows:
-        return df, False
-    return occurrence(df, keys, order, "__rn", hot_rows, largest), True
+def followed(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows (keys, order) with ``__next``: ``value``, one of the order columns, in the next row of the group; null in the last."""
+    order = [c for c in dict.fromkeys(order) if c not in keys]
+    rows, key_cols = _chunks(df, keys, order, chunk_rows), [col(k) for k in keys]
+    first = F.min(F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)], "__block"))
+    firsts = _per_chunk(rows, keys, first.alias("__first"))
+    w = Window.partitionBy(*key_cols).orderBy("__chunk")
+    after = F.lead(F.col("__first")[f"o{order.index(value)}"]).over(w)
+    ends = firsts.select(*key_cols, "__chunk", after.alias(value), F.lit(True).alias("__end"))
+    both = rows.withColumn("__end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+    w = Window.partitionBy(*key_cols, "__chunk").orderBy("__end", *[col(c) for c in order], "__block")
+    linked = both.withColumn("__lead", F.lead(col(value)).over(w)).where("NOT __end")
+    copies = linked.withColumn("__step", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
+    after = F.when(F.col("__step") < F.col("__n"), col(value)).otherwise(F.col("__lead"))
+    return copies.select(*[col(c) for c in dict.fromkeys([*keys, *order])], after.alias("__next"))

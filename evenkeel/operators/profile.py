@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..frames import stack_rows
 from ..functions.values import col, text_mask
 from .fingerprint import value_counts
-from .ordinal import HOT_ROWS, positions
+from .ordinal import CHUNK_ROWS, positions
 
 QUANTILES = (0.25, 0.5, 0.75)
 
@@ -19,7 +19,7 @@ def _typed(df: DataFrame, kind) -> list[str]:
 
 
 def quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUANTILES, hot_rows: int = HOT_ROWS
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUANTILES, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Exact quantiles as (column, metric, value): the smallest value that at least that share of the rows does not exceed.
 
@@ -28,7 +28,7 @@ def quantiles(
     cells = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in columns
     ]))).where(F.col("value").isNotNull())
-    placed = positions(cells, ["column"], ["value"], hot_rows, df.count())
+    placed = positions(cells, ["column"], ["value"], chunk_rows)
     totals = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     wanted = stack_rows(totals, [
         {

@@ -8,15 +8,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..frames import durable, stack_rows
-from ..functions.values import col, key_text, same
-from .keys import key_counts, key_shape
-from .ordinal import HOT_ROWS, occurrence
+from ..frames import stack_rows
+from ..functions.values import col, key_text, let, same
+from .ordinal import CHUNK_ROWS, occurrence
 
 BOTH, ONLY_SOURCE, ONLY_TARGET = "both", "source_only", "target_only"
 _OCC = "occurrence"
-# Up to this many repeated keys are broadcast to split their rows off; the exact number is counted first.
-SPLIT_KEYS = 100_000
+#: Columns of the joined rows; a key of one of these names is shown with ``key_`` before it.
+RESERVED = ("status", "matched", _OCC)
+#: Parts into which the differing cells of one column are cut before their first limit.
+_PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class Pair:
     columns: Sequence[str] | Mapping[str, str] | None = None
     abs_tol: float = 0
     rel_tol: float = 0
-    hot_rows: int = HOT_ROWS
+    chunk_rows: int = CHUNK_ROWS
 
     def target_names(self) -> dict[str, str]:
         """Source name to target name, for keys and compared columns."""
@@ -58,52 +59,46 @@ class Pair:
         return [c for c in self.target_names() if c not in set(self.keys)]
 
 
-def _key_type(pair: Pair, key: str, other: str) -> str | None:
-    """Text keys meet other types as text; otherwise Spark widens the types by itself."""
-    a, b = pair.source.select(col(key)).schema[0].dataType, pair.target.select(col(other)).schema[0].dataType
-    return "string" if a != b and T.StringType() in (a, b) else None
+def key_name(key: str) -> str:
+    """The name of a key column in the joined rows."""
+    return f"key_{key}" if key.lower() in RESERVED else key
 
 
-def _sides(pair: Pair) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with plain internal names: keys ``k0…`` and values ``v0…``."""
+def _sides(pair: Pair) -> tuple[DataFrame, DataFrame, list[str], set[int]]:
+    """Both sides with plain internal names: keys ``k0…`` and values ``v0…``; the keys' names; which keys differ in type.
+
+    A source key of another type is cast to the target's, so ``'01'`` meets 1. What cannot be cast is a key of its own, in ``k0x``. Such
+    keys are shown as text, as they were written, from ``g0…``.
+    """
     names = pair.target_names()
-    src_cols, tgt_cols = [], []
+    src_cols, tgt_cols, ks, mixed = [], [], [], set()
     for i, key in enumerate(pair.keys):
-        as_type = _key_type(pair, key, names[key])
-        pick = lambda c: c.cast(as_type) if as_type else c
-        src_cols.append(pick(col(key)).alias(f"k{i}"))
-        tgt_cols.append(pick(col(names[key])).alias(f"k{i}"))
+        ours, theirs, k = col(key), col(names[key]), f"k{i}"
+        a, b = pair.source.select(ours).schema[0].dataType, pair.target.select(theirs).schema[0].dataType
+        ks.append(k)
+        if a == b or isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+            src_cols.append(ours.alias(k))
+            tgt_cols.append(theirs.alias(k))
+            continue
+        typed, text = ours.try_cast(b), ours.cast("string")
+        src_cols += [typed.alias(k), F.when(typed.isNull(), text).alias(f"{k}x"), text.alias(f"g{i}")]
+        tgt_cols += [theirs.alias(k), F.lit(None).cast("string").alias(f"{k}x"), theirs.cast("string").alias(f"g{i}")]
+        ks.append(f"{k}x")
+        mixed.add(i)
     for i, value in enumerate(pair.compared()):
         src_cols.append(col(value).alias(f"v{i}"))
         tgt_cols.append(col(names[value]).alias(f"v{i}"))
-    return pair.source.select(*src_cols), pair.target.select(*tgt_cols), [f"k{i}" for i in range(len(pair.keys))]
+    return pair.source.select(*src_cols), pair.target.select(*tgt_cols), ks, mixed
 
 
 def key_frames(pair: Pair) -> tuple[DataFrame, DataFrame, list[str]]:
     """The key columns of both sides under common names, ready to be counted."""
-    src, tgt, ks = _sides(pair)
+    src, tgt, ks, _ = _sides(pair)
     return src.select(*ks), tgt.select(*ks), ks
 
 
-def _numbered(pair: Pair, src: DataFrame, tgt: DataFrame, ks: list[str], shape) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the occurrence number of each row in its key, in the target's order of values."""
-    order = [c for c in src.columns if c not in ks]
-    tgt = occurrence(tgt, ks, order, _OCC, pair.hot_rows, shape.tgt_largest)
-    if all(src.schema[v].dataType == tgt.schema[v].dataType for v in order):
-        return occurrence(src, ks, order, _OCC, pair.hot_rows, shape.src_largest), tgt
-    # The source keeps its own values but is sorted by what they become in the target's types.
-    extra = [f"o{i}" for i in range(len(order))]
-    src = src.select("*", *[_as_target(src, tgt, v).alias(o) for v, o in zip(order, extra)])
-    return occurrence(src, ks, extra, _OCC, pair.hot_rows, shape.src_largest).drop(*extra), tgt
-
-
-def _as_target(src: DataFrame, tgt: DataFrame, name: str) -> Column:
-    want = tgt.schema[name].dataType
-    return F.col(name) if src.schema[name].dataType == want else F.col(name).try_cast(want)
-
-
-def _equal(pair: Pair, src: DataFrame, tgt: DataFrame, name: str, left: Column, right: Column) -> Column:
-    a, b = src.schema[name].dataType, tgt.schema[name].dataType
+def _equal(pair: Pair, types: tuple, left: Column, right: Column) -> Column:
+    a, b = types
     numbers = isinstance(a, T.NumericType) and isinstance(b, T.NumericType)
     tolerance = (pair.abs_tol, pair.rel_tol) if numbers else (0, 0)
     if a == b or numbers:
@@ -112,91 +107,71 @@ def _equal(pair: Pair, src: DataFrame, tgt: DataFrame, name: str, left: Column,
     return left.isNull().eqNullSafe(right.isNull()) & same(left.try_cast(b), right)
 
 
-def _join(pair: Pair, how: str):
-    """The joined sides, columns ``s_*`` and ``t_*`` with side markers ``s`` and ``t``.
+def _both(src: DataFrame, tgt: DataFrame, ks: list[str], types: list[tuple]) -> DataFrame:
+    """The rows of both sides under one another: keys, ``side``, the row as struct ``s`` or ``t``, and its values ``o0…`` in the target's types."""
+    row = lambda df: F.struct(F.lit(True).alias("is"), *[F.col(c) for c in df.columns if c not in ks])
+    order = [F.col(f"v{i}") if a == b else F.col(f"v{i}").try_cast(b) for i, (a, b) in enumerate(types)]
+    ours = src.select(*ks, F.lit("s").alias("side"), row(src).alias("s"), *[c.alias(f"o{i}") for i, c in enumerate(order)])
+    theirs = tgt.select(*ks, F.lit("t").alias("side"), row(tgt).alias("t"), *[F.col(f"v{i}").alias(f"o{i}") for i in range(len(types))])
+    return ours.unionByName(theirs, allowMissingColumns=True)
+
 
-    One job over the key columns alone tells how often keys repeat. Then:
+def _pairs(pair: Pair) -> tuple[DataFrame, list[tuple], list[Column]]:
+    """All pairs of rows as structs ``s`` and ``t`` with their occurrence; the types of the compared values; the key columns to show.
 
-    * no key repeats: one join on the key, one shuffle per side;
-    * few keys repeat: their rows are split off by a broadcast of those keys (their number is known), numbered and
-      joined on key and number; all other rows still take the one-shuffle join;
-    * many keys repeat: all rows are numbered and joined on key and number.
+    One lazy plan. The sides meet in an aggregate by key, not in a join: both are shuffled once, rows of a hot key shrink to one in every
+    map task, NULLs are equal, and a filter on the key reaches both scans. A key with one row on either side at most is done. Rows of
+    the other keys, known from the same aggregate, are numbered within their key and side and meet on key and number, which
+    spreads a hot key over all tasks. Where there is no such key, nothing is shuffled again.
     """
-    src, tgt, ks = _sides(pair)
-    counted = key_counts(src, tgt, ks)
-    shape = key_shape(counted).select("repeated", "src_largest", "tgt_largest").first()
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns], F.lit(True).alias(p))
-
-    def joined(a: DataFrame, b: DataFrame, numbered: bool) -> DataFrame:
-        on = reduce(lambda x, y: x & y, [F.col(f"s_{k}").eqNullSafe(F.col(f"t_{k}")) for k in ks])
-        if numbered:
-            on = on & (F.col(f"s_{_OCC}") == F.col(f"t_{_OCC}"))
-        return side(a, "s").join(side(b, "t"), on, how)
-
-    def plain(a: DataFrame, b: DataFrame) -> DataFrame:
-        one = F.lit(1).cast("bigint").alias(_OCC)
-        return joined(a.select("*", one), b.select("*", one), False)
-
-    if shape.repeated == 0:
-        return src, tgt, plain(src, tgt)
-    if shape.repeated > SPLIT_KEYS:
-        return src, tgt, joined(*_numbered(pair, src, tgt, ks, shape), True)
-    often = counted.where(F.greatest("src_rows", "tgt_rows") > 1).select(*[F.col(k).alias(f"__{k}") for k in ks])
-    often = durable(often)  # at most SPLIT_KEYS rows, used once per side and part
+    src, tgt, ks, mixed = _sides(pair)
+    types = [(src.schema[f"v{i}"].dataType, tgt.schema[f"v{i}"].dataType) for i in range(len(pair.compared()))]
+    both = _both(src, tgt, ks, types)
+    rows = lambda side: F.count_if(F.col("side") == side)
+    one = [F.first("s", True).alias("s"), F.first("t", True).alias("t")]
+    met = both.groupBy(*ks).agg(*one, F.greatest(rows("s"), rows("t")).alias("__most"))
+    once = met.where("__most = 1").select(*ks, F.lit(1).cast("bigint").alias(_OCC), "s", "t")
+
+    often = met.where("__most > 1").select(*[F.col(k).alias(f"__{k}") for k in ks])
     on_key = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in ks])
-    split = lambda df, kind: df.join(F.broadcast(often), on_key, kind)
-    once = plain(split(src, "left_anti"), split(tgt, "left_anti"))
-    again = joined(*_numbered(pair, split(src, "left_semi"), split(tgt, "left_semi"), ks, shape), True)
-    return src, tgt, once.unionByName(again)
-
-
-def _row_columns(pair: Pair, src, tgt, have_tgt=True) -> tuple[list, list[Column]]:
-    def either(name):
-        return F.coalesce(F.col(f"s_{name}"), F.col(f"t_{name}")) if have_tgt else F.col(f"s_{name}")
-
-    keys = [either(f"k{i}").alias(k) for i, k in enumerate(pair.keys)]
-    return [*keys, either(_OCC).alias(_OCC)], [
-        _equal(pair, src, tgt, f"v{i}", F.col(f"s_v{i}"), F.col(f"t_v{i}")) for i in range(len(pair.compared()))
+    again = both.where(often.agg(F.count(F.lit(1)) > 0).scalar()).join(often, on_key, "left_semi")
+    again = occurrence(again, [*ks, "side"], [f"o{i}" for i in range(len(types))], _OCC, pair.chunk_rows)
+    again = again.groupBy(*ks, _OCC).agg(*one)
+    shown = [
+        F.coalesce(F.col(f"s.g{i}"), F.col(f"t.g{i}")).alias(key) if i in mixed else F.col(f"k{i}").alias(key)
+        for i, key in enumerate(pair.keys)
     ]
+    return once.unionByName(again.select(*ks, _OCC, "s", "t")), types, shown
 
 
-def _matched(equals: list[Column]) -> Column:
-    """Whether all flags hold.
-
-    The last term is always true. Being non-deterministic it keeps Catalyst from moving a filter on ``matched``
-    below the projection, where it would mention every column and be rewritten for every alias, 2^columns times.
-    """
-    flags = ~F.array_contains(F.array(*equals), False) if equals else F.lit(True)
-    return flags & (F.spark_partition_id() >= 0)
-
-
-def _value_columns(pair: Pair, equals: list[Column]) -> list[Column]:
-    out = []
-    for i, name in enumerate(pair.compared()):
-        out += [F.col(f"s_v{i}").alias(f"src_{name}"), F.col(f"t_v{i}").alias(f"tgt_{name}"), equals[i].alias(f"eq_{name}")]
-    return out
+def _rows(pair: Pair, keep: Column, status: bool) -> DataFrame:
+    """Keys, occurrence, flags and values of the pairs that ``keep`` picks."""
+    found, types, shown = _pairs(pair)
+    names = pair.compared()
+    equals = lambda s, t: [_equal(pair, kind, s[f"v{i}"], t[f"v{i}"]) for i, kind in enumerate(types)]
+    # Inside a function of the two structs the values are no columns: no constraint on them is rewritten for every alias below.
+    agree = let(F.struct("s", "t"), lambda x: ~F.array_contains(F.array(F.lit(True), *equals(x["s"], x["t"])), False))
+    matched = F.col("s").isNotNull() & F.col("t").isNotNull() & agree
+    kind = F.when(F.col("t").isNull(), ONLY_SOURCE).when(F.col("s").isNull(), ONLY_TARGET).otherwise(BOTH)
+    values = []
+    for i, (name, equal) in enumerate(zip(names, equals(F.col("s"), F.col("t")))):
+        values += [F.col(f"s.v{i}").alias(f"src_{name}"), F.col(f"t.v{i}").alias(f"tgt_{name}"), equal.alias(f"eq_{name}")]
+    keys = [c.alias(key_name(k)) for c, k in zip(shown, pair.keys)]
+    return found.where(keep).select(*keys, _OCC, *([kind.alias("status")] if status else []), matched.alias("matched"), *values)
 
 
 def reconcile(pair: Pair) -> DataFrame:
     """Every row of either side once: keys, occurrence, status, matched, ``src_*``, ``tgt_*``, ``eq_*``.
 
     Rows pair up on NULL-safe keys; repeated keys pair first with first, second with second and so on,
-    which also spreads a hot key over all join partitions.
+    which also spreads a hot key over all tasks. Keys named ``status``, ``matched`` or ``occurrence`` are shown as ``key_status`` and so on.
     """
-    src, tgt, joined = _join(pair, "full_outer")
-    keys, equals = _row_columns(pair, src, tgt)
-    status = F.when(F.col("t").isNull(), ONLY_SOURCE).when(F.col("s").isNull(), ONLY_TARGET).otherwise(BOTH)
-    matched = (F.col("s").isNotNull() & F.col("t").isNotNull() & _matched(equals)).alias("matched")
-    return joined.select(*keys, status.alias("status"), matched, *_value_columns(pair, equals))
+    return _rows(pair, F.lit(True), True)
 
 
 def common_rows(pair: Pair) -> DataFrame:
-    """Rows whose key is on both sides, as in :func:`reconcile`; an inner join, so hot keys can be split by AQE."""
-    src, tgt, joined = _join(pair, "inner")
-    keys, equals = _row_columns(pair, src, tgt)
-    return joined.select(*keys, _matched(equals).alias("matched"), *_value_columns(pair, equals))
+    """Rows whose key is on both sides, as in :func:`reconcile`."""
+    return _rows(pair, F.col("s").isNotNull() & F.col("t").isNotNull(), False)
 
 
 def mismatched_rows(pair: Pair) -> DataFrame:
@@ -207,22 +182,20 @@ def matched_rows(pair: Pair) -> DataFrame:
     return common_rows(pair).where("matched")
 
 
+def _alone(pair: Pair, own: str, other: str) -> DataFrame:
+    found, _, shown = _pairs(pair)
+    values = [F.col(f"{own}.v{i}").alias(c) for i, c in enumerate(pair.compared())]
+    return found.where(F.col(other).isNull()).select(*shown, _OCC, *values)
+
+
 def only_source(pair: Pair) -> DataFrame:
     """Source rows without a partner, under the source's names."""
-    src, tgt, joined = _join(pair, "left_anti")
-    keys, _ = _row_columns(pair, src, tgt, have_tgt=False)
-    return joined.select(*keys, *[F.col(f"s_v{i}").alias(c) for i, c in enumerate(pair.compared())])
+    return _alone(pair, "s", "t")
 
 
 def only_target(pair: Pair) -> DataFrame:
     """Target rows without a partner, under the source's names."""
-    names = pair.target_names()
-    flipped = Pair(
-        pair.target.select(*[col(t).alias(s) for s, t in names.items()]),
-        pair.source.select(*[col(s) for s in names]),
-        pair.keys, pair.compared(), hot_rows=pair.hot_rows,
-    )
-    return only_source(flipped)
+    return _alone(pair, "t", "s")
 
 
 def compared_columns(rows: DataFrame) -> list[str]:
@@ -263,32 +236,38 @@ def column_summary(rows: DataFrame, only_differing: bool = True) -> DataFrame:
 def column_details(rows: DataFrame, keys: Sequence[str], limit: int | None = 10) -> DataFrame:
     """Distinct (column, key text, source value, target value) of unequal cells, the first ``limit`` per column.
 
-    The distinct cells are spread by one shuffle; the limit then cuts them per partition (window group limit) before they
-    meet by column, so no task sees a whole column.
+    The limit cuts the cells before anything is shuffled (window group limit), in parts of each column, so that many
+    equal cells of one column do not meet in one task either; what is left of the parts is made distinct and limited again.
     """
     cols = compared_columns(rows)
     both = rows.where(F.col("status") == BOTH) if "status" in rows.columns else rows
     places = F.array_compact(F.array(*[F.when(~col(f"eq_{c}"), F.lit(i)) for i, c in enumerate(cols)]))
     values = lambda p: F.array(*[col(f"{p}_{c}").cast("string") for c in cols])
-    found = (
+    part = F.pmod(F.col(_OCC), F.lit(_PARTS)) if _OCC in rows.columns else F.lit(0)
+    cells = (
         both.where(~F.col("matched"))
-        .select(key_text(keys).alias("key_columns"), values("src").alias("__src"), values("tgt").alias("__tgt"),
-                F.explode(places).alias("__at"))
+        .select(_key_text(keys).alias("key_columns"), values("src").alias("__src"), values("tgt").alias("__tgt"),
+                part.alias("__part"), F.explode(places).alias("__at"))
         .select(
             F.get(F.lit(cols), F.col("__at")).alias("column"), "key_columns",
-            F.get("__src", F.col("__at")).alias("source_value"), F.get("__tgt", F.col("__at")).alias("target_value"),
+            F.get("__src", F.col("__at")).alias("source_value"), F.get("__tgt", F.col("__at")).alias("target_value"), "__part",
         )
-        .distinct()
     )
     if limit is None:
-        return found
-    w = Window.partitionBy("column").orderBy("key_columns", "source_value", "target_value")
-    return found.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit).drop("__rn")
+        return cells.drop("__part").distinct()
+    first = lambda df, *by: df.withColumn("__rn", F.dense_rank().over(
+        Window.partitionBy(*by).orderBy("key_columns", "source_value", "target_value"))).where(F.col("__rn") <= limit)
+    few = first(cells, "column", "__part").drop("__rn", "__part").distinct()
+    return first(few, "column").drop("__rn")
+
+
+def _key_text(keys: Sequence[str]) -> Column:
+    return key_text(keys, lambda k: col(key_name(k)))
 
 
 def sample_keys(rows: DataFrame, keys: Sequence[str], limit: int | None = 10) -> DataFrame:
     """Key text of the first ``limit`` rows in key order, of all rows without a limit."""
-    key_cols = [col(k) for k in keys]
+    key_cols = [col(key_name(k)) for k in keys]
     picked = rows.select(*key_cols).orderBy(*key_cols)
     picked = picked if limit is None else picked.limit(limit)
-    return picked.select(key_text(keys).alias("key_columns"))
+    return picked.select(_key_text(keys).alias("key_columns"))

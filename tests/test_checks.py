@@ -68,7 +68,7 @@ def test_columns_may_carry_the_names_of_measures(rows):
     df = rows("n int, rows int, src_rows int, side string", (1, 1, 1, "x"), (1, 1, 1, "x"))
     assert ek.dup_keys(df, ["n", "rows"]).count() == 1
     assert ek.test_content(ek.Pair(df, df, ["n", "rows"])).first().result == "Passed"
-    assert ek.occurrence(df, ["n"], hot_rows=1).count() == 2
+    assert ek.occurrence(df, ["n"], chunk_rows=1).count() == 2
 
 
 # Mappings

@@ -35,6 +35,7 @@ def test_repeated_keys_pair_in_value_order(rows):
     assert got == {(1, 1, "both", "a", "b", False), (1, 2, "both", "c", "c", True),
                    (1, 3, "target_only", None, "d", False), (2, 1, "both", "z", "z", True)}
     assert as_set(ek.only_target(pair), "k", "occurrence", "a") == {(1, 3, "d")}
+    assert ek.only_target(pair).columns == ["k", "occurrence", "a", "b"]
     assert ek.only_source(pair).count() == 0
     c = ek.counts(ek.reconcile(pair)).first()
     assert (c.src_distinct, c.src_duplicate, c.tgt_distinct, c.tgt_duplicate) == (2, 1, 2, 2)
@@ -55,6 +56,34 @@ def test_types_differ(rows):
     assert out == {("1", "both", True), ("2", "both", False), ("3", "both", True)}
 
 
+def test_keys_meet_in_the_targets_type(rows):
+    """'01' is 1; text that is no number is a key of its own, not the NULL key."""
+    src = rows("k string, v int", ("01", 1), ("x", 2), (None, 3), ("1", 4), ("2", 5))
+    tgt = rows("k int, v int", (1, 1), (None, 3), (2, 5), (1, 4), (7, 7))
+    out = as_set(ek.reconcile(Pair(src, tgt, ["k"])), "k", "occurrence", "status", "matched")
+    assert out == {("01", 1, "both", True), ("1", 2, "both", True), ("x", 1, "source_only", False), (None, 1, "both", True),
+                   ("2", 1, "both", True), ("7", 1, "target_only", False)}
+    assert as_set(ek.only_target(Pair(src, tgt, ["k"])), "k", "v") == {("7", 7)}
+
+
+def test_keys_with_names_of_the_result(rows):
+    schema = "status string, matched int, occurrence int, v int"
+    src, tgt = rows(schema, ("a", 1, 1, 5), ("b", 1, 1, 6)), rows(schema, ("a", 1, 1, 5), ("b", 1, 1, 7))
+    pair = Pair(src, tgt, ["status", "matched", "occurrence"])
+    out = ek.reconcile(pair)
+    assert out.columns[:6] == ["key_status", "key_matched", "key_occurrence", "occurrence", "status", "matched"]
+    assert as_set(out, "key_status", "status", "matched") == {("a", "both", True), ("b", "both", False)}
+    assert as_set(ek.column_details(out, pair.keys), "key_columns") == {("status=b, matched= 1, occurrence= 1",)}
+    assert as_set(ek.sample_keys(ek.mismatched_rows(pair), pair.keys)) == {("status=b, matched= 1, occurrence= 1",)}
+
+
+def test_details_of_many_equal_cells(rows):
+    """Copies of one differing cell count once, however many tasks hold them."""
+    src, tgt = rows("k int, a int", *[(1, 5)] * 300, (2, 1)), rows("k int, a int", *[(1, 6)] * 300, (2, 2))
+    found = ek.column_details(ek.reconcile(Pair(src, tgt, ["k"])), ["k"], 1)
+    assert as_set(found) == {("a", "k=1", "5", "6")} and found.count() == 1
+
+
 def test_types_differ_with_repeated_keys(rows):
     src = rows("k int, v string", (1, "10"), (1, "9"))
     tgt = rows("k int, v int", (1, 9), (1, 10))
@@ -139,18 +168,14 @@ def brute_force(src, tgt):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("split_keys", [0, 100_000])
-@pytest.mark.parametrize("hot_rows", [1_000_000, 3])
-def test_against_brute_force(rows, monkeypatch, hot_rows, split_keys):
-    from evenkeel.operators import reconcile
-
-    monkeypatch.setattr(reconcile, "SPLIT_KEYS", split_keys)
+@pytest.mark.parametrize("chunk_rows", [1_000_000, 3])
+def test_against_brute_force(rows, chunk_rows):
     rng = random.Random(7)
     pick = lambda n: [(0 if rng.random() < 0.4 else rng.randint(1, 9), rng.choice([None, 1, 2]), rng.choice([None, 5, 6]))
                       for _ in range(n)]
     src, tgt = pick(120), pick(100)
     schema = "k int, a int, b int"
-    out = ek.reconcile(Pair(rows(schema, *src), rows(schema, *tgt), ["k"], hot_rows=hot_rows)).collect()
+    out = ek.reconcile(Pair(rows(schema, *src), rows(schema, *tgt), ["k"], chunk_rows=chunk_rows)).collect()
     got = sorted(((r.k, r.occurrence, (r.src_a, r.src_b) if r.status != "target_only" else None,
                    (r.tgt_a, r.tgt_b) if r.status != "source_only" else None) for r in out), key=str)
     assert got == brute_force(src, tgt)

@@ -41,7 +41,7 @@ def test_open_end_before_another_version_overlaps(rows):
     df = rows("k int, a string, b string", (1, "2024-01-01", None), (1, "2024-02-01", "2024-02-05"), (1, "2024-02-06", None))
     df = df.select("k", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
     for hot in (1, 100):
-        assert [r.fault for r in ek.date_chain(df, ["k"], "a", "b", hot_rows=hot).collect()] == ["overlap"]
+        assert [r.fault for r in ek.date_chain(df, ["k"], "a", "b", chunk_rows=hot).collect()] == ["overlap"]
 
 
 def test_sets_are_compared_in_the_type_of_the_column(rows):
@@ -70,9 +70,9 @@ def test_comments_in_query_files(tmp_path):
 
 def test_negative_zero_survives_a_hot_group(rows):
     df = rows("k int, v double, w float", (1, -0.0, 0.0), (1, 0.0, -0.0), (1, None, 1.5), (1, -0.0, -0.0), (2, float("nan"), 2.0))
-    read = lambda hot: sorted(str(tuple(r)[:3]) for r in ek.occurrence(df, ["k"], hot_rows=hot).collect())
+    read = lambda hot: sorted(str(tuple(r)[:3]) for r in ek.occurrence(df, ["k"], chunk_rows=hot).collect())
     assert read(1) == read(10**6)
-    assert ek.occurrence(df, ["k"], hot_rows=1).schema == ek.occurrence(df, ["k"]).schema
+    assert ek.occurrence(df, ["k"], chunk_rows=1).schema == ek.occurrence(df, ["k"]).schema
 
 
 def test_fingerprint_keys_of_other_types(rows):

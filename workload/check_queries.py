@@ -308,7 +308,7 @@ def _(t):
     """Three keys hold all line items: the distributed sort takes the place of three window tasks."""
     day = F.col("l_shipdate").cast("date")
     spans = t.lineitem.select("l_returnflag", day.alias("start_dt"), day.alias("end_dt"))
-    return ek.date_chain(spans, ["l_returnflag"], "start_dt", "end_dt", hot_rows=1_000)
+    return ek.date_chain(spans, ["l_returnflag"], "start_dt", "end_dt")
 
 
 @register("rank_check", """
@@ -341,7 +341,7 @@ def _(t):
     FROM (SELECT event_type, value, rank() OVER w AS r, dense_rank() OVER w AS d FROM events_src
           WINDOW w AS (PARTITION BY event_type ORDER BY value)) x GROUP BY 1, 2""")
 def _(t):
-    return ek.ranked(t.events_src, ["event_type"], ["value"], hot_rows=500)
+    return ek.ranked(t.events_src, ["event_type"], ["value"])
 
 
 @register("row_sequence", """
@@ -356,7 +356,7 @@ def _(t):
 def _(t):
     """Three files hold all rows; each is numbered across many tasks."""
     rows = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber")
-    return ek.sequence(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber"], hot_rows=1_000)
+    return ek.sequence(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber"])
 
 
 # Profile
@@ -384,7 +384,7 @@ def _(t):
              unnest(quantile_disc(l_extendedprice, [0.01, 0.1, 0.5, 0.9, 0.99])) AS v FROM lineitem) x""")
 def _(t):
     """Exact quantiles by the distributed sort."""
-    return quantiles(t.lineitem, ["l_extendedprice"], (0.01, 0.1, 0.5, 0.9, 0.99), hot_rows=1_000)
+    return quantiles(t.lineitem, ["l_extendedprice"], (0.01, 0.1, 0.5, 0.9, 0.99))
 
 
 def string_sql(table: str, cols) -> str:

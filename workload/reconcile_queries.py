@@ -168,7 +168,7 @@ HOT_EQ = " AND ".join(f"s.{c} IS NOT DISTINCT FROM t.{c}" for c in HOT_COLS)
       ON s.ref = t.ref AND s.occ = t.occ""", also="li_hot_src li_hot_tgt")
 def _(t):
     """One key holds a third of the rows: numbered by the distributed sort instead of one window task."""
-    return ek.counts(ek.reconcile(Pair(t.li_hot_src, t.li_hot_tgt, ["ref"], hot_rows=1_000)))
+    return ek.counts(ek.reconcile(Pair(t.li_hot_src, t.li_hot_tgt, ["ref"])))
 
 
 # Verdicts
