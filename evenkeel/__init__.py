@@ -1,5 +1,6 @@
 """Data reconciliation and data quality on Spark DataFrames."""
 
+from .operators.checksum import checksum_ranges, checksum_rows, checksum_tree, compare_trees
 from .operators.fingerprint import (
     dup_columns, dup_value_lists, dup_values, empty_counts, fingerprint, hash_diff, null_compare, null_counts,
     null_rows, row_hash, set_difference, symmetric_diff,

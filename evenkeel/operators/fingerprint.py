@@ -103,25 +103,41 @@ def hash_shape(counts: DataFrame) -> DataFrame:
     )
 
 
-def _marks(df: DataFrame, keys: Sequence[str], nulls: str, hashes: bool) -> DataFrame:
-    """Of every row its hash, with no key, and its key, with no hash, from one scan; either may be left out."""
+def _marks(df: DataFrame, keys: Sequence[str], nulls: str, hashes: bool, cells: bool) -> DataFrame:
+    """What the KPIs count, from one scan: of every row its mark with the row's hash, its key, and one mark for each NULL and blank cell.
+
+    ``kind`` is ``row``, ``key``, ``none`` for a row of NULLs, ``n<i>`` for a NULL in column i, or ``e<i>`` for a blank in text column i.
+    """
     names = [f"key_{i}" for i in range(len(keys))]
-    mark = lambda kind, digest, cells: F.struct(
-        F.lit(kind).alias("kind"), digest.cast("string").alias("row_hash"), *[c.alias(n) for c, n in zip(cells, names)]
-    )
-    kinds = [df.select(col(k)).schema[0].dataType for k in keys]
-    rows = [mark("row", row_hash(df, nulls=nulls), [F.lit(None).cast(t) for t in kinds])] if hashes else []
+    empty = [F.lit(None).cast(df.select(col(k)).schema[0].dataType) for k in keys]
+    mark = lambda kind, digest=None, cells=empty: F.struct(
+        F.lit(kind).alias("kind"), (F.lit(None) if digest is None else digest).cast("string").alias("row_hash"),
+        *[c.alias(n) for n, c in zip(names, cells)])
+    marks = [mark("row", row_hash(df, nulls=nulls) if hashes else None)]
     if keys:
-        rows.append(mark("key", F.lit(None), [col(k) for k in keys]))
-    return df.select(F.inline(F.array(*rows)))
+        marks.append(mark("key", None, [col(k) for k in keys]))
+    if cells:
+        marks += [F.when(col(c).isNull(), mark(f"n{i}")) for i, c in enumerate(df.columns)]
+        marks += [F.when(F.trim(col(c)) == "", mark(f"e{i}")) for i, c in enumerate(_text_columns(df))]
+        marks.append(F.when(all_null(df), mark("none")))
+    return df.select(F.inline(F.array_compact(F.array(*marks))))
 
 
-def _mark_shape(counts: DataFrame) -> DataFrame:
-    """Surplus copies of hashes and of keys on each side, and distinct hashes on one side only."""
+def _mark_shape(counts: DataFrame, src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """The measures of both sides from counted marks, surplus copies of hashes and keys, and distinct hashes on one side only."""
     s, t = F.col("src_rows"), F.col("tgt_rows")
     row, key = F.col("kind") == "row", F.col("kind") == "key"
-    surplus = lambda kind, c: F.coalesce(F.sum(F.when(kind & (c > 1), c - 1)), F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    total = lambda kind, c: F.coalesce(F.sum(F.when(kind, c)), zero)
+    surplus = lambda kind, c: F.coalesce(F.sum(F.when(kind & (c > 1), c - 1)), zero)
+    kinds = lambda p, n, c: sum((F.least(total(F.col("kind") == f"{p}{i}", c), F.lit(1)) for i in range(n)), zero)
+    sides = [x for p, c, df in (("src", s, src), ("tgt", t, tgt)) for x in (
+        total(row, c).alias(f"{p}_rows"), F.lit(len(df.columns)).cast("bigint").alias(f"{p}_columns"),
+        total(F.col("kind") == "none", c).alias(f"{p}_null_rows"), kinds("n", len(df.columns), c).alias(f"{p}_null_cols"),
+        kinds("e", len(_text_columns(df)), c).alias(f"{p}_empty_cols"),
+    )]
     return counts.agg(
+        *sides,
         F.count_if(row & (s > 0) & (t == 0)).alias("hash_only_source"),
         F.count_if(row & (t > 0) & (s == 0)).alias("hash_only_target"),
         surplus(row, s).alias("hash_src_dup"), surplus(row, t).alias("hash_tgt_dup"),
@@ -144,15 +160,13 @@ def fingerprint(
 ) -> DataFrame:
     """One row per KPI: ``kpi, src_rows, tgt_rows, src_value, tgt_value, result, reason``.
 
-    Cost: one aggregate per side, and one counted shuffle of row hashes and keys, which come from one more
-    scan per side; the parts a selection of KPIs does not need are not planned.
+    One scan of each side gives everything: hashes, keys, NULL and blank cells become marks, which are counted in the map tasks
+    and meet in one shuffle. The marks a selection of KPIs does not need are not planned.
     """
-    row = side_by_side(measures(src), measures(tgt))
     hashes, by_key = bool({"duplicate_rows", "checksum"} & set(kpis)), "duplicate_keys" in kpis
-    if hashes or by_key:
-        marks = [_marks(df, keys if by_key else (), nulls, hashes) for df in (src, tgt)]
-        row = row.unionByName(_mark_shape(key_counts(*marks, marks[0].columns)), allowMissingColumns=True)
-        row = row.agg(*[F.max(c).alias(c) for c in row.columns])
+    cells = bool({"null_columns", "null_rows", "empty_columns"} & set(kpis))
+    marks = [_marks(df, keys if by_key else (), nulls, hashes, cells) for df in (src, tgt)]
+    row = _mark_shape(key_counts(*marks, marks[0].columns), src, tgt)
 
     def kpi(name, s, t, ok, good, bad):
         s, t = F.col(s) if isinstance(s, str) else s, F.col(t) if isinstance(t, str) else t

@@ -377,6 +377,30 @@ def _(t):
     return ek.hash_diff(t.orders_src, t.orders_tgt)
 
 
+MARKED = lambda cols: "md5(concat_ws('|', " + ", ".join(
+    f"COALESCE(regexp_replace(CAST({c} AS VARCHAR), '([\\\\|])', '\\\\\\1', 'g'), '\\N')" for c in cols) + "))"
+RANGES = lambda table: f"SELECT substr({MARKED(['o_orderkey'])}, 1, 3) AS r, {MARKED(ALL)} AS h FROM {table}"
+CHECKSUM = " || ".join(f"lpad(lower(to_hex((COALESCE(sum(CAST('0x' || substr({{0}}, {1 + 8 * i}, 8) AS BIGINT)), 0) % 4294967296)::BIGINT)), 8, '0')" for i in range(4))
+
+
+@register("checksum_ranges", f"""
+    SELECT level, r AS range, count(s) AS src_rows, count(t) AS tgt_rows, {CHECKSUM.format('s')} AS src_checksum, {CHECKSUM.format('t')} AS tgt_checksum
+    FROM (SELECT CAST(level AS INT) AS level, substr(r, 1, level) AS r, s, t
+          FROM (SELECT r, h AS s, NULL AS t FROM ({RANGES('orders_src')}) a UNION ALL SELECT r, NULL, h FROM ({RANGES('orders_tgt')}) b) x,
+               (SELECT unnest([0, 1, 2, 3]) AS level) l) y
+    GROUP BY level, r HAVING src_rows <> tgt_rows OR src_checksum <> tgt_checksum""", also="orders_src orders_tgt")
+def _(t):
+    return ek.checksum_ranges(t.orders_src, t.orders_tgt, KEY)
+
+
+@register("checksum_rows", f"""
+    SELECT o_orderkey, h AS row_hash, CASE WHEN sum(n) > 0 THEN 'source' ELSE 'target' END AS side, abs(sum(n))::BIGINT AS copies
+    FROM (SELECT o_orderkey, {MARKED(ALL)} AS h, 1 AS n FROM orders_src UNION ALL SELECT o_orderkey, {MARKED(ALL)}, -1 FROM orders_dup) x
+    GROUP BY 1, 2 HAVING sum(n) <> 0""", also="orders_src orders_dup")
+def _(t):
+    return ek.checksum_rows(t.orders_src, t.orders_dup, KEY)
+
+
 @register("dup_key_values", """
     SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def _(t):
