@@ -16,7 +16,7 @@ from .operators.mapping import (
 from .operators.ordinal import occurrence, positions
 from .operators.profile import profile, profile_distinct, profile_numeric, profile_pattern, profile_string, profile_topk
 from .operators.quality import (
-    Rule, distinct_set_values, load_rules, quality_samples, rules_of, run_quality, suite_roll_up,
+    Rule, distinct_set_values, load_rules, quality_samples, rules_failed_first, rules_of, run_quality, suite_roll_up,
 )
 from .operators.reconcile import (
     Pair, column_details, column_summary, common_rows, counts, matched_rows, mismatched_rows, only_source,

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..frames import passed, stack_rows
 from ..functions.parsing import as_list, as_range, as_scalar
@@ -99,7 +99,7 @@ def run_quality(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """One verdict row per rule.
 
     All rules that judge single rows, sums or the table's shape share one aggregate over one scan.
-    Unique and distinct-set rules add one counted shuffle of their column each.
+    All unique and distinct-set rules share one more scan and one counted shuffle of (rule, value).
     """
     rules = list(rules)
     shared, later = [F.count(F.lit(1)).alias("__rows")], []
@@ -129,83 +129,99 @@ def run_quality(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
             verdicts.append(_verdict(no, rule, rows, F.lit(len(wrong)).cast("bigint"), F.lit(",".join(wrong)),
                                      F.lit(not wrong), F.lit("The column order differs")))
         elif rule.name in _COLUMN_CHECKS:
-            later.append(_column_rule(df, no, rule))
+            later.append((no, rule))
         else:
             raise ValueError(f"unknown check: {rule.check!r}")
     frames = [stack_rows(df.agg(*shared), verdicts)] if verdicts else []
-    return reduce(DataFrame.unionByName, frames + later)
-
-
-def _column_rule(df: DataFrame, no: int, rule: Rule) -> DataFrame:
-    values = df.groupBy(col(rule.column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    elements = F.coalesce(F.sum("n"), F.lit(0).cast("bigint"))
-    present = F.col("v").isNotNull()
-    if rule.name == "unique":
-        repeated = F.sum(F.when(present & (F.col("n") > 1), F.col("n")))
-        row = values.agg(elements.alias("e"), F.coalesce(repeated, F.lit(0).cast("bigint")).alias("u"))
-        text = F.concat(F.col("u").cast("string"), F.lit(" " + _REASONS["unique"]))
-        verdict = _verdict(no, rule, F.col("e"), F.col("u"), F.lit(None).cast("string"), F.col("u") == 0, text)
-        return stack_rows(row, [verdict])
-    # The wanted values take the column's type: 1 is 1.00 of a decimal. What does not become one is missing.
-    typed = F.transform(F.array(*[F.lit(w) for w in sorted(set(as_list(rule.value)))]), lambda w: w.try_cast(values.schema["v"].dataType))
-    real = F.array_distinct(F.array_compact(typed))
-    known = F.array_contains(real, F.col("v"))
-    unreal = F.size(F.filter(typed, lambda w: w.isNull()))
-    row = values.agg(
-        elements.alias("e"), F.count_if(present & ~known).alias("u"),
-        ((F.size(real) + unreal).cast("bigint") - F.count_if(present & known)).alias("m"),
-    )
-    observed = F.concat(F.col("u").cast("string"), F.lit(" unexpected, "), F.col("m").cast("string"), F.lit(" missing"))
-    verdict = _verdict(no, rule, F.col("e"), F.col("u"), observed, (F.col("u") == 0) & (F.col("m") == 0),
-                       F.lit("The distinct values differ from the set"))
-    return stack_rows(row, [verdict])
+    return reduce(DataFrame.unionByName, frames + ([_column_rules(df, later)] if later else []))
+
+
+def _comparable(value: Column, kind: T.DataType) -> Column:
+    """Text that is equal where the values are: -0.0 is 0.0."""
+    return (value + F.lit(0.0).cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else value).cast("string")
+
+
+def _wanted(df: DataFrame, rule: Rule) -> tuple[Column, Column]:
+    """The values of a set in the column's type, as comparable text, so 1 is 1.00 of a decimal; and how many cannot become one."""
+    kind = df.select(col(rule.column)).schema[0].dataType
+    typed = [_comparable(F.lit(w).try_cast(kind), kind) for w in sorted(set(as_list(rule.value)))]
+    all_of = F.array(*typed) if typed else F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(all_of)), F.size(F.filter(all_of, lambda w: w.isNull()))
+
+
+def _values(df: DataFrame, rules: Iterable[tuple[int, Rule]]) -> list[Column]:
+    """(rule_no, value) structs of a row, one for each rule."""
+    kind = lambda rule: df.select(col(rule.column)).schema[0].dataType
+    return [F.struct(F.lit(no).alias("rule_no"), _comparable(col(r.column), kind(r)).alias("value")) for no, r in rules]
+
+
+def _column_rules(df: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """Verdicts of the rules that look at a column's values: every value is counted once per rule, then all rules share one aggregate."""
+    counted = df.select(F.inline(F.array(*_values(df, rules)))).groupBy("rule_no", "value").agg(F.count(F.lit(1)).alias("n"))
+    zero, present = F.lit(0).cast("bigint"), F.col("value").isNotNull()
+    measures, verdicts = [], []
+    for no, rule in rules:
+        own = F.col("rule_no") == no
+        elements, bad, lost = F.col(f"e{no}"), F.col(f"u{no}"), F.col(f"m{no}")
+        measures.append(F.coalesce(F.sum(F.when(own, F.col("n"))), zero).alias(f"e{no}"))
+        if rule.name == "unique":
+            repeated = F.sum(F.when(own & present & (F.col("n") > 1), F.col("n")))
+            measures.append(F.coalesce(repeated, zero).alias(f"u{no}"))
+            text = F.concat(bad.cast("string"), F.lit(" " + _REASONS["unique"]))
+            verdicts.append(_verdict(no, rule, elements, bad, F.lit(None).cast("string"), bad == 0, text))
+            continue
+        real, unreal = _wanted(df, rule)
+        known = F.array_contains(real, F.col("value"))
+        measures.append(F.count_if(own & present & ~known).alias(f"u{no}"))
+        measures.append(((F.size(real) + unreal).cast("bigint") - F.count_if(own & present & known)).alias(f"m{no}"))
+        observed = F.concat(bad.cast("string"), F.lit(" unexpected, "), lost.cast("string"), F.lit(" missing"))
+        verdicts.append(_verdict(no, rule, elements, bad, observed, (bad == 0) & (lost == 0), F.lit("The distinct values differ from the set")))
+    return stack_rows(counted.agg(*measures), verdicts)
 
 
 def distinct_set_values(df: DataFrame, column: str, expected) -> DataFrame:
-    """Every distinct or expected value with ``matched``, ``unexpected`` or ``missing`` and its row count."""
+    """Every distinct or expected value with ``matched``, ``unexpected`` or ``missing`` and its row count.
+
+    Expected values are compared in the column's type, as the verdict compares them; one that cannot become it is missing, as it was given.
+    """
+    kind = df.select(col(column)).schema[0].dataType
     wanted = sorted(set(as_list(expected)))
-    want = df.sparkSession.createDataFrame([(w,) for w in wanted], "value string")
-    none = F.lit(0).cast("bigint")
-    found = df.where(col(column).isNotNull()).groupBy(col(column).cast("string").alias("value")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    both = found.select("value", "rows", F.lit(False).alias("want")).union(
-        want.select("value", none, F.lit(True))
-    )
-    out = both.groupBy("value").agg(F.sum("rows").alias("rows"), F.bool_or("want").alias("want"))
+    want = df.sparkSession.createDataFrame([(w,) for w in wanted], "given string")
+    typed = _comparable(F.col("given").try_cast(kind), kind)
+    found = df.where(col(column).isNotNull()).groupBy(_comparable(col(column), kind).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    both = found.select("value", F.lit(False).alias("odd"), "rows", F.lit(False).alias("want")).union(
+        want.select(F.coalesce(typed, "given"), typed.isNull(), F.lit(0).cast("bigint"), F.lit(True)))
+    out = both.groupBy("value", "odd").agg(F.sum("rows").alias("rows"), F.bool_or("want").alias("want"))
     status = F.when(F.col("rows") == 0, "missing").when(F.col("want"), "matched").otherwise("unexpected")
     return out.select("value", "rows", status.alias("status"))
 
 
 def quality_samples(df: DataFrame, rules: Iterable[Rule], k: int = 20) -> DataFrame:
-    """The first ``k`` distinct unexpected values per rule, with their rows.
+    """The first ``k`` distinct unexpected values per rule, with their rows, all from one scan.
 
     Values are counted before the shuffle and the limit is applied on both sides of it.
     """
-    cells, frames = [], []
+    cells, unique = [], []
     for no, rule in enumerate(rules, start=1):
         bad = _violation(rule)
-        value = col(rule.column).cast("string") if rule.column else None
         if bad is not None:
-            cells.append(F.when(bad, F.struct(F.lit(no).alias("rule_no"), value.alias("value"))))
-        elif rule.name == "unique":
-            frames.append(
-                df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-                .where("rows > 1").select(F.lit(no).alias("rule_no"), "value", "rows")
-            )
-        elif rule.name == "distinctset":
-            frames.append(
-                df.where(value.isNotNull() & ~value.isin(as_list(rule.value))).groupBy(value.alias("value"))
-                .agg(F.count(F.lit(1)).alias("rows")).select(F.lit(no).alias("rule_no"), "value", "rows")
-            )
-    if cells:
-        hits = df.select(F.inline(F.array_compact(F.array(*cells))))
-        frames.insert(0, hits.groupBy("rule_no", "value").agg(F.count(F.lit(1)).alias("rows")))
-    if not frames:
+            cells.append(F.when(bad, F.struct(F.lit(no).alias("rule_no"), col(rule.column).cast("string").alias("value"))))
+        elif rule.name in _COLUMN_CHECKS:
+            (cell,) = _values(df, [(no, rule)])
+            known = F.lit(False) if rule.name == "unique" else F.array_contains(_wanted(df, rule)[0], cell["value"])
+            cells.append(F.when(cell["value"].isNotNull() & ~known, cell))
+            unique += [no] if rule.name == "unique" else []
+    if not cells:
         return df.sparkSession.createDataFrame([], "rule_no int, value string, rows bigint, sample_no int")
+    hits = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("rule_no", "value").agg(F.count(F.lit(1)).alias("rows"))
+    hits = hits.where(~F.col("rule_no").isin(unique) | (F.col("rows") > 1)) if unique else hits
     w = Window.partitionBy("rule_no").orderBy("value")
-    ranked = reduce(DataFrame.unionByName, frames).withColumn("sample_no", F.row_number().over(w))
-    return ranked.where(F.col("sample_no") <= k)
+    return hits.withColumn("sample_no", F.row_number().over(w)).where(F.col("sample_no") <= k)
+
+
+def rules_failed_first(verdicts: DataFrame) -> DataFrame:
+    """Rule verdicts with the failed ones before the passed ones, by rule number."""
+    return verdicts.orderBy(F.when(F.col("result") == "Passed", 1).otherwise(0), "rule_no")
 
 
 def suite_roll_up(verdicts: DataFrame) -> DataFrame:

@@ -103,22 +103,34 @@ class Reference:
     parent_column: str
 
 
+def _common_type(spark, a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which two columns are compared, as Spark widens them."""
+    return spark.range(0).select(F.coalesce(F.lit(None).cast(a), F.lit(None).cast(b))).schema[0].dataType
+
+
 def ref_integrity(child: DataFrame, references: Sequence[Reference]) -> DataFrame:
     """Orphans per relation: ``relation, orphan_rows, orphan_keys``. A NULL foreign key is not an orphan.
 
-    Child keys are counted before they meet the parent, so a hot foreign key is one row in the join.
+    One scan of the child gives (relation, key) for all relations, counted before they meet the parents' keys in one shuffle, so a hot
+    foreign key is one row there. Keys are compared in the type that both columns widen to.
     """
-    frames = []
-    for ref in references:
-        keys = child.where(col(ref.column).isNotNull()).groupBy(col(ref.column).alias("k")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        parents = ref.parent.select(col(ref.parent_column).alias("k"))
-        lost = keys.join(parents, "k", "left_anti")
-        frames.append(lost.agg(
-            F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("orphan_rows"), F.count(F.lit(1)).alias("orphan_keys")
-        ).select(F.lit(ref.name).alias("relation"), "orphan_rows", "orphan_keys"))
-    return reduce(DataFrame.unionByName, frames)
+    spark = child.sparkSession
+    text, keys, parents = {}, [], []
+    for i, ref in enumerate(references):
+        kind = _common_type(spark, child.select(col(ref.column)).schema[0].dataType, ref.parent.select(col(ref.parent_column)).schema[0].dataType)
+        text[i] = lambda name, kind=kind: col(name).cast(kind).cast("string")
+        keys.append(F.when(col(ref.column).isNotNull(), F.struct(F.lit(i).alias("no"), text[i](ref.column).alias("key"))))
+        parents.append(ref.parent.select(F.lit(i).alias("no"), text[i](ref.parent_column).alias("key")))
+    zero = F.lit(0).cast("bigint")
+    found = child.select(F.inline(F.array_compact(F.array(*keys)))).select("no", "key", F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("known"))
+    known = reduce(DataFrame.union, parents).select("no", "key", zero, F.lit(True))
+    met = found.union(known).groupBy("no", "key").agg(F.sum("n").alias("n"), F.bool_or("known").alias("known"))
+    lost = lambda i: (F.col("no") == i) & (F.col("n") > 0) & ~F.col("known")
+    totals = met.agg(*[x for i in text for x in (
+        F.coalesce(F.sum(F.when(lost(i), F.col("n"))), zero).alias(f"r{i}"), F.count_if(lost(i)).alias(f"k{i}"))])
+    return stack_rows(totals, [
+        {"relation": F.lit(ref.name), "orphan_rows": F.col(f"r{i}"), "orphan_keys": F.col(f"k{i}")} for i, ref in enumerate(references)
+    ])
 
 
 def orphan_keys(child: DataFrame, ref: Reference) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.values import let
+
 # Runtime buckets of the report, upper bounds in seconds.
+UNKNOWN = "unknown"
 BUCKETS = (("0s-45s", 45), ("45s-2m", 120), ("2m-5m", 300), ("5m+", None))
 
 
@@ -52,8 +55,13 @@ def runtime_seconds(runtime: Column) -> Column:
 
 
 def runtime_bucket(runtime: Column) -> Column:
-    """The bucket of a well-formed runtime."""
-    seconds = runtime_seconds(runtime)
+    """The bucket of a runtime, ``unknown`` if the text is none; NULL where there is no text."""
+    text = F.when(F.trim(runtime) != "", runtime)
+    good = text.rlike("^\\s*([0-9]+ days?,\\s*)?[0-9]+:[0-9]+:[0-9]+(\\.[0-9]+)?\\s*$")
+    return let(F.when(good, runtime_seconds(text)), lambda seconds: F.when(text.isNull(), None).when(seconds.isNull(), UNKNOWN).otherwise(_bucket(seconds)))
+
+
+def _bucket(seconds: Column) -> Column:
     (first, below), *rest = BUCKETS
     out = F.when(seconds < below, first)
     for name, below in rest:
@@ -62,17 +70,17 @@ def runtime_bucket(runtime: Column) -> Column:
 
 
 def runtime_buckets(history: DataFrame) -> DataFrame:
-    """Runs and distinct cases per runtime bucket; runs without a runtime are skipped."""
+    """Runs and distinct cases per runtime bucket, malformed runtimes in ``unknown``; runs without a runtime are skipped."""
     per_case = runtime_members(history)
     return per_case.groupBy("bucket").agg(F.sum("runs").alias("runs"), F.count(F.lit(1)).alias("cases"))
 
 
 def runtime_members(history: DataFrame) -> DataFrame:
     """The cases of each bucket, one row per case instead of one growing list per bucket."""
-    # The filter looks at the text, so that it does not evaluate the bucket expression a second time.
-    timed = history.where(F.col("runtime").rlike("^\\s*([0-9]+ days?,\\s*)?[0-9]+:[0-9]+:[0-9]+(\\.[0-9]+)?\\s*$"))
-    rows = timed.withColumn("bucket", runtime_bucket(F.col("runtime")))
-    return rows.groupBy("bucket", "testcase_name").agg(F.count(F.lit(1)).alias("runs"))
+    # Equal texts are counted first, so each runtime is read once; a report has few of them.
+    texts = history.groupBy("runtime", "testcase_name").agg(F.count(F.lit(1)).alias("n"))
+    rows = texts.select(runtime_bucket(F.col("runtime")).alias("bucket"), "testcase_name", "n").where("bucket IS NOT NULL")
+    return rows.groupBy("bucket", "testcase_name").agg(F.sum("n").alias("runs"))
 
 
 def failed_first(results: DataFrame) -> DataFrame:

@@ -134,10 +134,20 @@ def test_no_python_in_any_plan(spark):
         assert "Python" not in text and "Pandas" not in text, name
 
 
-def test_reference_check_counts_keys_before_the_join(spark):
-    li, orders = table(spark, SF_TINY, "li_orphan"), table(spark, SF_TINY, "orders")
-    text = plan(ek.ref_integrity(li, [ek.Reference("order", "l_orderkey", orders, "o_orderkey")]))
-    assert "LeftAnti" in text and "partial_count(1)" in text.split("LeftAnti")[1] + text.split("FileScan")[0]
+def test_rules_on_values_share_one_scan(spark):
+    df = part(spark)
+    unique = [ek.Rule("Unique", c) for c in ("p_name", "p_brand", "p_type")] + [ek.Rule("DistinctSet", "p_size", "", "[1,2]")]
+    assert scans(ek.run_quality(df, unique)) == 1 == scans(ek.quality_samples(df, [*unique, ek.Rule("Regexp", "p_brand", "", "x")]))
+    assert exchanges(ek.run_quality(df, unique)) == 1
+
+
+def test_reference_check_reads_the_child_once(spark):
+    li, orders, parts = table(spark, SF_TINY, "li_orphan"), table(spark, SF_TINY, "orders"), part(spark)
+    text = plan(ek.ref_integrity(li, [
+        ek.Reference("order", "l_orderkey", orders, "o_orderkey"), ek.Reference("part", "l_partkey", parts, "p_partkey"),
+        ek.Reference("again", "l_orderkey", orders, "o_custkey")]))
+    assert len(re.findall(r"FileScan parquet.*l_orderkey", text)) == 1
+    assert text.count("Exchange hashpartitioning") == 1 and "partial_sum" in text
 
 
 def test_high_water_mark_reaches_the_scan(spark):

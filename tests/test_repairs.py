@@ -59,7 +59,7 @@ def test_aggregates_of_dates_and_text(rows):
 def test_long_runtimes(rows):
     df = rows("runtime string, testcase_name string", ("1 day, 2:00:00", "a"), ("0:00:01.5", "b"), ("soon", "c"))
     assert as_set(df.select(runtime_seconds(F.col("runtime")))) == {(93600,), (1,), (None,)}
-    assert as_set(runtime_members(df), "testcase_name") == {("a",), ("b",)}
+    assert as_set(runtime_members(df), "testcase_name", "bucket") == {("a", "5m+"), ("b", "0s-45s"), ("c", "unknown")}
 
 
 def test_comments_in_query_files(tmp_path):

@@ -139,6 +139,34 @@ def _(t):
     return ek.quality_samples(t.part, SUITE)
 
 
+@register("dq_failed_first", SUITE_SQL)
+def _(t):
+    return ek.rules_failed_first(ek.run_quality(t.part, SUITE))
+
+
+# A set given as whole numbers and text, over a decimal column: verdict, values and samples agree.
+SET = Rule("DistinctSet", "amount", "", "[1, 2, '3.00', 'many']")
+SIZES = "(SELECT CAST(p_size AS DECIMAL(18,2)) AS amount FROM part) x"
+
+
+@register("dq_set_numeric", f"""
+    SELECT 'value' AS kind, COALESCE(v, w) AS value, COALESCE(n, 0) AS rows,
+           CASE WHEN v IS NULL THEN 'missing' WHEN w IS NULL THEN 'unexpected' ELSE 'matched' END AS status
+    FROM (SELECT CAST(amount AS VARCHAR) AS v, count(*) AS n FROM {SIZES} GROUP BY 1) f
+    FULL JOIN (SELECT unnest(['1.00', '2.00', '3.00', 'many']) AS w) g ON v = w
+    UNION ALL
+    SELECT 'sample', v, n, 'unexpected' FROM (SELECT CAST(amount AS VARCHAR) AS v, count(*) AS n FROM {SIZES}
+      WHERE amount NOT IN (1, 2, 3) GROUP BY 1 ORDER BY 1 LIMIT 20) s
+    UNION ALL
+    SELECT 'verdict', count(DISTINCT CASE WHEN amount NOT IN (1, 2, 3) THEN amount END) || ' unexpected, '
+      || 4 - count(DISTINCT CASE WHEN amount IN (1, 2, 3) THEN amount END) || ' missing', count(*), 'Failed' FROM {SIZES}""")
+def _(t):
+    df = t.part.select(F.col("p_size").cast("decimal(18,2)").alias("amount"))
+    values = ek.distinct_set_values(df, "amount", SET.value).select(F.lit("value").alias("kind"), "value", "rows", "status")
+    samples = ek.quality_samples(df, [SET]).select(F.lit("sample"), "value", "rows", F.lit("unexpected"))
+    return values.union(samples).union(ek.run_quality(df, [SET]).select(F.lit("verdict"), "observed", "element_count", "result"))
+
+
 # Business rules
 MONEY = "CAST({} AS DECIMAL(18,2))"
 PRICE = "CAST(sum({0}.o_totalprice) AS DOUBLE)"
@@ -515,6 +543,16 @@ def _(t):
     return ek.runtime_buckets(t.history)
 
 
+@register("runtime_unknown", """
+    SELECT CASE WHEN event_id % 31 = 0 THEN 'unknown' WHEN event_id % 29 = 0 THEN NULL ELSE '2m-5m' END AS bucket,
+           count(*) AS runs, count(DISTINCT user_id) AS cases FROM events WHERE event_id % 31 = 0 OR event_id % 29 <> 0 GROUP BY 1""")
+def _(t):
+    """Texts that are no runtime have a bucket of their own; blank ones have none."""
+    text = F.when(F.col("event_id") % 31 == 0, F.when(F.col("event_id") % 2 == 0, "soon").otherwise("1:2:3:4"))
+    text = text.when(F.col("event_id") % 29 == 0, " ").otherwise("0:03:00.5")
+    return ek.runtime_buckets(t.events.select(text.alias("runtime"), F.col("user_id").cast("string").alias("testcase_name")))
+
+
 @register("runtime_members", f"SELECT {BUCKET} AS bucket, testcase_name, count(*) AS runs FROM {SECONDS} x GROUP BY 1, 2", also="history")
 def _(t):
     return ek.runtime_members(t.history)
