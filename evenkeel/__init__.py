@@ -27,6 +27,7 @@ from .operators.rules import (
 )
 from .operators.schema_compare import combo_allowed, declared_schema, schema_compare, schema_rows, schema_verdict
 from .plans.adhoc import adhoc_bulk, adhoc_sql
+from .plans.incremental import incremental_state, marks
 from .plans.layers import LayerHop, data_check, layer_report
 from .plans.report import ContentReport, content_report
 from .plans.results import (

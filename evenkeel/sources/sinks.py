@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.values import col
+from ..operators.fingerprint import row_hash
 
 # Columns of the run history and of the two run tables.
 HISTORY = (
@@ -39,18 +40,32 @@ def _shaped(df: DataFrame, ddl: str) -> DataFrame:
     ])
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Append verdicts to the history, partitioned by test type so that reports on one type read only theirs.
+def load_name(rows: DataFrame) -> str:
+    """A name for what the rows hold: the number and the order-free sum of their hashes. The same rows have the same name."""
+    hashed = F.conv(F.substring(row_hash(rows, nulls="mark"), 1, 15), 16, 10).cast("decimal(20,0)")
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(hashed), F.lit(0))).first()
+    return f"{n}-{int(total) % (1 << 60):015x}"
 
-    Verdicts need a name, a result and a type; without a stored time they get the time of this call.
+
+def append_history(rows: DataFrame, path: str, load: str | None = None) -> None:
+    """Append verdicts to the history, partitioned by load and test type so that reports on one type read only theirs.
+
+    Verdicts need a name, a result and a type; without a stored time they get the time of this call. A load that is appended again
+    replaces itself, so an append can be retried; without a name a load is named by its rows.
     """
     have = {c.lower() for c in rows.columns}
     lost = [c for c in ("testcase_name", "test_result", "testcase_type") if c not in have]
     if lost:
         raise ValueError(f"verdicts without {lost}")
+    load = load or load_name(rows)
     if "db_stored_time" not in have:
         rows = rows.withColumn("db_stored_time", F.lit(datetime.now(timezone.utc).isoformat()))
-    _shaped(rows, HISTORY).write.mode("append").partitionBy("testcase_type").parquet(path)
+    replace_load(_shaped(rows, HISTORY).withColumn("load", F.lit(load)), path, "load", "testcase_type")
+
+
+def replace_load(rows: DataFrame, path: str, *partitions: str) -> None:
+    """Write rows so that they replace what their partitions held, and nothing else."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def write_run_table(rows: DataFrame, ddl: str, path: str, mode: str = "append") -> None:
@@ -61,7 +76,9 @@ def write_run_table(rows: DataFrame, ddl: str, path: str, mode: str = "append")
 def read_table(spark: SparkSession, ddl: str, path: str, csv: bool = False) -> DataFrame:
     """A history or run table; ``csv`` loads an exported file with a header."""
     reader = spark.read.schema(ddl)
-    return reader.option("header", True).csv(path) if csv else reader.parquet(path)
+    if csv:
+        return reader.option("header", True).csv(path)
+    return reader.parquet(path).select(*[f.strip().rsplit(" ", 1)[0] for f in ddl.split(",")])
 
 
 def export_samples(

@@ -300,6 +300,56 @@ def _(t):
     return ek.incremental_check(t.events_src, t.events_tgt, ["event_id"], "ts", t.events_loaded)
 
 
+# Two loads of one source: all events up to the mark, then everything; some events have no timestamp.
+STAMPED = lambda name: f"(SELECT event_id, CASE WHEN event_id%73=0 THEN NULL ELSE ts END AS ts, event_type, value FROM {name})"
+LOAD = lambda run, mark, src, tgt, new: f"""
+    SELECT '{run}' AS run, {mark} AS mark, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M') FROM {src} m) AS next_mark,
+      count(s.event_id) AS src_rows, count(t.event_id) AS tgt_rows, count(CASE WHEN s.event_id = t.event_id THEN 1 END) AS common,
+      count(CASE WHEN s.event_id = t.event_id AND s.event_type = t.event_type THEN 1 END) AS matched,
+      count(CASE WHEN t.event_id IS NULL THEN 1 END) AS only_source, count(CASE WHEN s.event_id IS NULL THEN 1 END) AS only_target,
+      (SELECT count(*) FROM {src} u WHERE ts IS NULL) AS src_unstamped, (SELECT count(*) FROM {tgt} u WHERE ts IS NULL) AS tgt_unstamped,
+      (SELECT count(*) FROM {src} u WHERE NOT ({new}) AND event_id NOT IN (SELECT event_id FROM {tgt} v)) AS src_late,
+      (SELECT count(*) FROM {tgt} u WHERE NOT ({new}) AND event_id NOT IN (SELECT event_id FROM {src} v)) AS tgt_late
+    FROM (SELECT * FROM {src} a WHERE {new}) s FULL JOIN (SELECT * FROM {tgt} b WHERE {new}) t ON s.event_id = t.event_id"""
+FIRST = lambda name: f"(SELECT * FROM {STAMPED(name)} f WHERE ts <= (SELECT max(ts) FROM events_loaded) OR ts IS NULL)"
+LAST = f"(SELECT max(ts) FROM {FIRST('events_src')} w)"
+LOADS_SQL = f"""{LOAD('first', 'NULL', FIRST('events_src'), FIRST('events_tgt'), 'TRUE')}
+    UNION ALL {LOAD('second', f"(SELECT strftime({LAST}, '%Y-%m-%d %H:%M'))", STAMPED('events_src'), STAMPED('events_tgt'), f'ts > {LAST}')}"""
+SHOWN = ("src_rows", "tgt_rows", "common", "matched", "only_source", "only_target", "src_unstamped", "tgt_unstamped", "src_late", "tgt_late")
+
+
+def loads(t, path, runs=("first", "second")):
+    """Run the loads in their order; the state is what the last one left."""
+    stamp = F.when(F.col("event_id") % 73 != 0, F.col("ts"))
+    src, tgt = (df.select("event_id", stamp.alias("ts"), "event_type", "value") for df in (t.events_src, t.events_tgt))
+    until = t.events_loaded.agg(F.max("ts").alias("until")).first().until
+    first = lambda df: df.where((F.col("ts") <= F.lit(until)) | F.col("ts").isNull())
+    for run in runs:
+        pair = (first(src), first(tgt)) if run == "first" else (src, tgt)
+        ek.incremental_state(*pair, ["event_id"], "ts", path, "events", run)
+    minute = lambda c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm").alias(c)
+    return ek.marks(t.spark, path).select("run", minute("mark"), minute("next_mark"), *SHOWN)
+
+
+@register("incremental_state", LOADS_SQL, also="events_src events_tgt events_loaded")
+def _(t):
+    return loads(t, new_folder(t.spark, "marks"))
+
+
+@register("incremental_unstamped", f"""
+    SELECT run, src_unstamped, tgt_unstamped, src_rows + src_unstamped + src_old AS src_all FROM (
+      SELECT x.*, CASE WHEN run = 'first' THEN 0 ELSE (SELECT count(*) FROM {STAMPED('events_src')} o WHERE ts <= {LAST}) END AS src_old FROM ({LOADS_SQL}) x) y
+    WHERE run = 'second'""", also="events_src events_tgt events_loaded")
+def _(t):
+    """Every source row is new, at or below the mark, or without a timestamp; a repeated run replaces its row."""
+    path = new_folder(t.spark, "marks")
+    loads(t, path, ("first", "second", "second"))
+    state = ek.marks(t.spark, path).where("run = 'second'")
+    known = (F.col("event_id") % 73 != 0) & (F.col("ts") <= state.select(F.col("mark").cast("timestamp")).scalar())
+    old = t.events_src.where(known).agg(F.count(F.lit(1))).scalar()
+    return state.select("run", "src_unstamped", "tgt_unstamped", (F.col("src_rows") + F.col("src_unstamped") + old).alias("src_all"))
+
+
 FAULTS = "SELECT c_custkey, count(CASE WHEN is_current = 'Y' THEN 1 END) AS current_rows FROM cust_scd2 GROUP BY 1"
 
 
