@@ -107,13 +107,18 @@ def _equal(pair: Pair, types: tuple, left: Column, right: Column) -> Column:
     return left.isNull().eqNullSafe(right.isNull()) & same(left.try_cast(b), right)
 
 
-def _both(src: DataFrame, tgt: DataFrame, ks: list[str], types: list[tuple]) -> DataFrame:
-    """The rows of both sides under one another: keys, ``side``, the row as struct ``s`` or ``t``, and its values ``o0…`` in the target's types."""
+def _both(src: DataFrame, tgt: DataFrame, ks: list[str], types: list[tuple]) -> tuple[DataFrame, list[str]]:
+    """The rows of both sides under one another: keys, ``side`` and the row as struct ``s`` or ``t``; and what orders the rows of a key.
+
+    Structs are ordered by their values. Where types differ, the struct ``o`` of the values in the target's types orders both sides.
+    """
     row = lambda df: F.struct(F.lit(True).alias("is"), *[F.col(c) for c in df.columns if c not in ks])
-    order = [F.col(f"v{i}") if a == b else F.col(f"v{i}").try_cast(b) for i, (a, b) in enumerate(types)]
-    ours = src.select(*ks, F.lit("s").alias("side"), row(src).alias("s"), *[c.alias(f"o{i}") for i, c in enumerate(order)])
-    theirs = tgt.select(*ks, F.lit("t").alias("side"), row(tgt).alias("t"), *[F.col(f"v{i}").alias(f"o{i}") for i in range(len(types))])
-    return ours.unionByName(theirs, allowMissingColumns=True)
+    cast = F.struct(*[(F.col(f"v{i}") if a == b else F.col(f"v{i}").try_cast(b)).alias(f"v{i}") for i, (a, b) in enumerate(types)]) if types else None
+    alike = all(a == b for a, b in types)
+    own, other = ([], []) if alike else ([cast.alias("o")], [F.struct(*[F.col(f"v{i}") for i in range(len(types))]).alias("o")])
+    ours = src.select(*ks, F.lit("s").alias("side"), row(src).alias("s"), *own)
+    theirs = tgt.select(*ks, F.lit("t").alias("side"), row(tgt).alias("t"), *other)
+    return ours.unionByName(theirs, allowMissingColumns=True), (["s", "t"] if alike else ["o", "s", "t"])
 
 
 def _pairs(pair: Pair) -> tuple[DataFrame, list[tuple], list[Column]]:
@@ -126,7 +131,7 @@ def _pairs(pair: Pair) -> tuple[DataFrame, list[tuple], list[Column]]:
     """
     src, tgt, ks, mixed = _sides(pair)
     types = [(src.schema[f"v{i}"].dataType, tgt.schema[f"v{i}"].dataType) for i in range(len(pair.compared()))]
-    both = _both(src, tgt, ks, types)
+    both, order = _both(src, tgt, ks, types)
     rows = lambda side: F.count_if(F.col("side") == side)
     one = [F.first("s", True).alias("s"), F.first("t", True).alias("t")]
     met = both.groupBy(*ks).agg(*one, F.greatest(rows("s"), rows("t")).alias("__most"))
@@ -135,7 +140,7 @@ def _pairs(pair: Pair) -> tuple[DataFrame, list[tuple], list[Column]]:
     often = met.where("__most > 1").select(*[F.col(k).alias(f"__{k}") for k in ks])
     on_key = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in ks])
     again = both.where(often.agg(F.count(F.lit(1)) > 0).scalar()).join(often, on_key, "left_semi")
-    again = occurrence(again, [*ks, "side"], [f"o{i}" for i in range(len(types))], _OCC, pair.chunk_rows)
+    again = occurrence(again, [*ks, "side"], order, _OCC, pair.chunk_rows)
     again = again.groupBy(*ks, _OCC).agg(*one)
     shown = [
         F.coalesce(F.col(f"s.g{i}"), F.col(f"t.g{i}")).alias(key) if i in mixed else F.col(f"k{i}").alias(key)
