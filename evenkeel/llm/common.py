@@ -64,6 +64,8 @@ def map_batches(df: DataFrame, build: Callable[[pa.RecordBatch], Iterator[dict]]
             for columns in build(piece):
                 arrays = [_typed(columns[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        # The worker stays for later tasks; what this one no longer needs goes back to the system.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 

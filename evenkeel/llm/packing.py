@@ -27,8 +27,8 @@ LIMIT, END_ID, SHARD = 4096, 1, 16_384
 #: Text in which the tokenizer's Unicode classes, lower case and composition are the simple ones below; other text takes its own path.
 _PLAIN = re.compile("[\t-\r -~ -ÿĀ-įı-ſ‐-‧]*")
 _LETTER, _NUMBER = re.compile("[a-zªµºß-öø-ÿĀ-ſ]"), re.compile("[0-9²³¹¼-¾]")
-#: Encodings of so many distinct pre-tokens are remembered before the memory starts anew.
-_REMEMBER = 2_000_000
+#: Bytes of distinct pre-tokens and their encodings that a worker remembers before its memory starts anew.
+_REMEMBER = 1 << 25
 
 
 @lru_cache(maxsize=1)
@@ -89,32 +89,53 @@ class Encoder:
         return ids, size
 
     def _clear(self):
-        self.known, self.flat, self.at, self.size = Numbering(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Of every pre-token known by its hash: its code points (``letters`` from ``begin`` on) and its ids (``flat`` from ``at`` on)."""
+        self.known, self.flat, self.letters = Numbering(), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.at, self.size, self.begin, self.length = (np.zeros(0, np.int64) for _ in range(4))
+
+    def _same(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether each pre-token is, sign by sign, the one that its hash stands for."""
+        length = end - start
+        same = self.length[number] == length
+        first = np.cumsum(length) - length
+        within = np.arange(int(length.sum())) - np.repeat(first, length)
+        kept = np.minimum(np.repeat(self.begin[number], length) + within, len(self.letters) - 1)
+        differ = points[np.repeat(start, length) + within] != self.letters[kept]
+        return same & (np.add.reduceat(np.append(differ, False), first) == 0) if len(length) else same
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if self.known.count > _REMEMBER:
+        if 48 * self.known.count + 4 * (len(self.flat) + len(self.letters)) > _REMEMBER:
             self._clear()
         plain = np.array([_PLAIN.fullmatch(t) is not None for t in texts], bool)
         joined, doc, start, end, key = pre_tokens([t for t, easy in zip(texts, plain) if easy])
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         number = self.known.find(key)
         if (number < 0).any():
             fresh, where = np.unique(key[number < 0], return_index=True)
             where = np.flatnonzero(number < 0)[where]
-            ids, size = self._encode([joined[a:b] for a, b in zip(start[where], end[where])])
+            words = [joined[a:b] for a, b in zip(start[where], end[where])]
+            ids, size = self._encode(words)
+            length = end[where] - start[where]
+            self.begin = np.concatenate([self.begin, len(self.letters) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.letters = np.concatenate([self.letters, np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)])
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, ids])
             self.known.add(fresh)
             number = self.known.find(key)
+        # A text with a pre-token that only shares another one's hash is encoded by itself.
+        easy = np.flatnonzero(plain)
+        plain[easy[np.unique(doc[~self._same(points, start, end, number)])]] = False
         size = self.size[number]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[number] - (ends - size), size) + np.arange(int(size.sum()))]
-        cut = np.concatenate([[0], ends])[np.searchsorted(doc, np.arange(plain.sum() + 1), "left")]
-        out, k = [], 0
-        for text, easy in zip(texts, plain):
-            out.append(ids[cut[k]: cut[k + 1]] if easy else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-            k += easy
-        return out
+        cut = np.concatenate([[0], ends])[np.searchsorted(doc, np.arange(len(easy) + 1), "left")]
+        place = np.cumsum(np.isin(np.arange(len(texts)), easy)) - 1
+        return [
+            ids[cut[k]: cut[k + 1]] if good else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            for text, good, k in zip(texts, plain, place)
+        ]
 
 
 @lru_cache(maxsize=2)

@@ -198,3 +198,22 @@ def test_html_text_keeps_what_is_beside_the_body():
     assert found.split("\n")[:2] == ["Title", "Lead."] and found.count("A paragraph") == 20 and "menu" not in found
     two = html_text.extract(f"<main><article><section>{para * 23}</section><section>{para * 2}</section></article></main>")
     assert two.count("A paragraph") == 25
+
+
+def test_words_of_one_hash_keep_their_own_ids():
+    """The Thue-Morse word and its mirror share every polynomial hash modulo 2**64; their ids are their own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from evenkeel.llm.packing import Encoder, pre_tokens
+
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    *_, hashes = pre_tokens([word, mirror])
+    assert hashes[0] == hashes[1]
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    plain = Tokenizer.from_file(path)
+    texts = [f"x {word} y", f"{mirror} z", "some words", "", None or "é 漢字", f"{word} {mirror}"]
+    encode = Encoder(path)
+    for part in (texts, texts[::-1], ["some words again", mirror]):
+        assert [list(ids) for ids in encode(part)] == [plain.encode(t, add_special_tokens=False).ids for t in part]
