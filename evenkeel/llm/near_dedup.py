@@ -9,9 +9,9 @@ Two copies with a share J of common 5-grams meet in a bucket with probability 1-
 about 0.2 at a similarity of 0.80, 0.29 at 0.85 and 0.42 at 0.90, so 0.92, 0.99 and 1.00 of such pairs meet.
 
 Every member of a bucket is aligned with its hub, so a bucket of copies costs one alignment a member, not all pairs. Members that stay in
-other classes meet over their rarest words: two texts within the allowed edits have all but a fifth of the longer one's words in
-common, counted with repeats, so each has one of the common ones among the first fifth (and one more) of its words in any one order of
-all words. Only texts of different classes that agree in such a word are aligned. No link of two texts that share a bucket is lost, and
+other classes meet over their rarest pairs of neighbouring words: an edit touches two of them, so two texts within the allowed edits
+have at least three fifths of the longer one's pairs in common, counted with repeats, and each has one of the common ones among the first
+two fifths (and one more) of its pairs in any one order of all pairs. Only texts of different classes that agree in such a pair are aligned. No link of two texts that share a bucket is lost, and
 unrelated texts around a common passage, which share a bucket too, do not meet. ``tests/llm`` compares the classes with all pairs.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import forget, map_batches, register, stored, table
 from .components import classes
@@ -30,8 +30,8 @@ GRAM, TUPLE, SKETCHES, SIMILARITY = 5, 2, 64, 0.8
 PER_HUB = 512
 #: Rounds of hubs, one a bucket and round.
 ROUNDS = 2
-#: Counters of words by hash; they order the words of a text, rare ones first. The driver holds one array of them.
-COUNTERS = 1 << 18
+#: Counters of word pairs by hash; they order the pairs of a text, rare ones first. The driver holds one array of them.
+COUNTERS = 1 << 20
 MARKS = ("bits0", "bits1", "bits2", "bits3")
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -224,85 +224,94 @@ def _open(rows: DataFrame, known: DataFrame) -> DataFrame:
     return own.join(parts.join(several, "key"), ["key", "class"])
 
 
-def _lacking(a: str, b: str) -> F.Column:
+def _lacking(a: str, b: str) -> Column:
     """How many marks of one text the other lacks: so many edits at least."""
     return sum((F.bit_count(F.col(f"{a}{m}").bitwiseAND(F.bitwise_not(f"{b}{m}"))) for m in MARKS), F.lit(0))
 
 
-def _near(size: str, other: str, similarity: float) -> F.Column:
-    """Whether the lengths of two texts allow the similarity."""
-    longer, shorter = F.greatest(size, other), F.least(size, other)
-    return longer - shorter <= _most(longer, similarity)
-
-
-def _most(size: F.Column, similarity: float) -> F.Column:
+def _most(size: Column, similarity: float) -> Column:
     return F.floor(F.lit(1 - similarity) * size + 1e-9)
 
 
-def labelled_words(data) -> np.ndarray:
-    """A number for every word (32-bit hashes as bytes) together with its occurrence number in the text."""
+def labelled_pairs(data) -> np.ndarray:
+    """A number for every word (32-bit hashes as bytes) and the one before it, together with the pair's occurrence number in the text."""
     w = np.frombuffer(data.as_buffer(), "<u4").astype(np.uint64)
-    order = np.argsort(w, kind="stable")
-    ranked = w[order]
+    both = mix(w) + np.concatenate([np.zeros(1, np.uint64), w[:-1]]) if len(w) else w
+    order = np.argsort(both, kind="stable")
+    ranked = both[order]
     nth = np.empty(len(w), np.uint64)
     nth[order] = np.arange(len(w)) - np.searchsorted(ranked, ranked, "left")
-    return mix(w | nth << np.uint64(32))
+    return mix(mix(both) + nth)
 
 
 def _counters(words: DataFrame) -> np.ndarray:
-    """How many labelled words fall on each of ``COUNTERS`` counters, over all texts; the array has this size whatever the data."""
+    """How many labelled pairs fall on each of ``COUNTERS`` counters, over all texts; the array has this size whatever the data."""
     def run(batch: pa.RecordBatch):
-        total = np.zeros(COUNTERS, np.int64)
-        for data in batch.column("words"):
-            np.add.at(total, (labelled_words(data) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        slots = [labelled_pairs(data) % np.uint64(COUNTERS) for data in batch.column("words")]
+        total = np.bincount(np.concatenate(slots).astype(np.int64), minlength=COUNTERS)
         yield {"slot": np.flatnonzero(total), "n": total[total > 0]}
 
+    found = map_batches(words, run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
-    for r in map_batches(words, run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.slot] = r.n
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
-def rare_words(words: DataFrame, similarity: float) -> DataFrame:
-    """(token, item, size, class) for the rarest labelled words of each text: one more than the edits it allows."""
-    context = words.sparkSession.sparkContext
-    counts = context.broadcast(_counters(words.select("words")))
+def rare_pairs(words: DataFrame, similarity: float) -> DataFrame:
+    """(token, item, class) for the rarest labelled pairs of each text: one more than the edits it allows can touch."""
+    counts = words.sparkSession.sparkContext.broadcast(_counters(words.select("words")))
 
     def run(batch: pa.RecordBatch):
         tokens, n = [], []
         for data in batch.column("words"):
-            own = labelled_words(data)
+            own = labelled_pairs(data)
             order = np.lexsort((own, counts.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))
-            tokens.append(own[order[: int((1 - similarity) * len(own) + 1e-9) + 1]])
+            tokens.append(own[order[: int(2 * (1 - similarity) * len(own) + 1e-9) + 1]])
             n.append(len(tokens[-1]))
         at = pa.array(np.repeat(np.arange(len(n)), n))
-        yield {"token": np.concatenate(tokens).view(np.int64), **{c: batch.column(c).take(at) for c in ("item", "size", "class")}}
+        yield {"token": np.concatenate(tokens).view(np.int64), **{c: batch.column(c).take(at) for c in ("item", "class")}}
 
-    return map_batches(words.select("item", "words", "size", "class"), run, "token long, item long, size int, class long")
+    return map_batches(words.select("item", "words", "class"), run, "token long, item long, class long")
 
 
-def _over_rare_words(tokens: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of different classes that agree in a token and may be alike by their lengths.
+def _over_rare_pairs(tokens: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``texts`` (item, size, marks, class) of different classes that agree in a token and may be alike by lengths and marks.
 
-    A text first meets the other classes of its token, one row each, then their members: copies of one class never meet each other.
+    Classes meet over a token, one row each, with the range of their lengths and the marks that all or any of their texts there have. The
+    texts of the smaller one that have the token then meet the larger class once, whatever tokens they share; no two texts of a class meet.
     """
-    parts = tokens.groupBy("token", "class").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    several = parts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    shared, path = stored(tokens.join(several, "token"), "rare")
-    others = shared.groupBy("token", F.col("class").alias("other")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    fits = (F.col("low") - F.col("size") <= _most(F.col("low"), similarity)) & (F.col("size") - F.col("high") <= _most(F.col("size"), similarity))
-    met = shared.join(others, "token").where((F.col("class") < F.col("other")) & fits)
-    there = shared.select("token", F.col("class").alias("other"), F.col("item").alias("b"), F.col("size").alias("size_b"))
-    pairs = met.select("token", "other", F.col("item").alias("a"), "size").join(there, ["token", "other"]).where(_near("size", "size_b", similarity))
-    out, _ = stored(pairs.select("a", "b").distinct(), "pairs")
+    ends = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    held = tokens.join(ends.where("low < high").select("token"), "token").select("token", "item")
+    shared, path = stored(held.join(texts, "item"), "rare")
+    parts = shared.groupBy("token", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high"),
+        *[F.bit_and(m).alias(f"all_{m}") for m in MARKS], *[F.bit_or(m).alias(f"any_{m}") for m in MARKS],
+    )
+    one, two = parts.select("token", F.struct(*parts.columns[1:]).alias("one")), parts.select("token", F.struct(*parts.columns[1:]).alias("two"))
+    order = F.struct("one.n", "one.class") < F.struct("two.n", "two.class")
+    most = _most(F.greatest("one.high", "two.high"), similarity)
+    apart = lambda x, y: F.col(f"{x}.low") - F.col(f"{y}.high") > _most(F.col(f"{x}.low"), similarity)
+    fits = ~apart("one", "two") & ~apart("two", "one") & (_lacking("one.all_", "two.any_") <= most) & (_lacking("two.all_", "one.any_") <= most)
+    met = one.join(two, "token").where(order & fits).select("token", F.col("one.class").alias("class"), F.col("two.class").alias("other"))
+    own = met.join(shared.select("token", "class", "item"), ["token", "class"]).select("item", "other").distinct()
+    there = texts.select(F.col("class").alias("other"), *[F.col(c).alias(f"hub_{c}") for c in ("item", "size", *MARKS)])
+    pairs = own.join(texts.drop("class"), "item").join(there, "other").where(_may_link(similarity))
+    out, _ = stored(pairs.select(F.least("item", "hub_item").alias("a"), F.greatest("item", "hub_item").alias("b")).distinct(), "pairs")
     forget(tokens.sparkSession, path)
     return out
 
 
+def _may_link(similarity: float) -> Column:
+    """Whether lengths and marks of a text and its hub allow the similarity."""
+    longer, shorter = F.greatest("size", "hub_size"), F.least("size", "hub_size")
+    most = _most(longer, similarity)
+    return (longer - shorter <= most) & (_lacking("", "hub_") <= most) & (_lacking("hub_", "") <= most)
+
+
 def links(docs: DataFrame, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verified links (a, b) between the different texts of ``docs`` (digest, text), their classes, and the number of every text (digest, item).
 
-    Every two texts of a bucket are aligned unless they are in one class already or their lengths, marks or rarest words rule them out.
+    Every two texts of a bucket are aligned unless they are in one class already or their lengths, marks or rarest pairs of words rule them out.
     """
     spark = docs.sparkSession
     # The numbers are stored with the signatures, so a lost executor does not change them.
@@ -324,9 +333,7 @@ def links(docs: DataFrame, sketches: int = SKETCHES, similarity: float = SIMILAR
         # meets several members of its class, but not another one in every bucket.
         first = F.min(F.struct("n", F.xxhash64("item", F.pmod("key", F.lit(4))).alias("h"), *cells)).alias("hub")
         hubs = live.groupBy("key").agg(first).select("key", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in cells])
-        longest = _most(F.greatest("size", "hub_size"), similarity)
-        near = _near("size", "hub_size", similarity) & (_lacking("", "hub_") <= longest) & (_lacking("hub_", "") <= longest)
-        pairs, pairs_path = stored(live.join(hubs, "key").where((F.col("class") != F.col("hub_class")) & near).select(
+        pairs, pairs_path = stored(live.join(hubs, "key").where((F.col("class") != F.col("hub_class")) & _may_link(similarity)).select(
             F.least("item", "hub_item").alias("a"), F.greatest("item", "hub_item").alias("b")
         ).distinct(), "pairs")
         good, _ = stored(_aligned(pairs, words, similarity), "links")
@@ -336,10 +343,10 @@ def links(docs: DataFrame, sketches: int = SKETCHES, similarity: float = SIMILAR
         rows, rows_path = stored(_open(live.select("key", "item", "size", *MARKS), known), "buckets")
         forget(spark, live_path, pairs_path)
         live, live_path = rows, rows_path
-    left = words.select("item", "words", "size").join(live.groupBy("item").agg(F.first("class").alias("class")), "item")
+    left = words.join(live.groupBy("item").agg(F.first("class").alias("class")), "item")
     left, left_path = stored(left, "words")
-    tokens, tokens_path = stored(rare_words(left, similarity), "rare")
-    pairs = _over_rare_words(tokens, similarity)
+    tokens, tokens_path = stored(rare_pairs(left, similarity), "rare")
+    pairs = _over_rare_pairs(tokens, left.drop("words"), similarity)
     good, _ = stored(_aligned(pairs, left, similarity), "links")
     forget(spark, words_path, live_path, left_path, tokens_path)
     found = found.unionByName(good).distinct()
@@ -363,7 +370,7 @@ def near_classes(docs: DataFrame, sketches: int = SKETCHES, similarity: float =
     return known.join(whole, "class").select("item", "class", "least", "class_id", "n_docs", "n_links")
 
 
-def digest() -> F.Column:
+def digest() -> Column:
     """16 bytes that stand for a whole text."""
     return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
@@ -389,5 +396,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _key(doc_id: str) -> F.Column:
+def _key(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
