@@ -234,3 +234,12 @@ def test_pipeline(spark):
     for r in rows:
         by[r.sequence_id] = by.get(r.sequence_id, 0) + r.length
     assert max(by.values()) <= 4096
+
+
+def test_preference_query_shares_turns(spark):
+    """Both sides share all turns but the last one, and the completions differ only there."""
+    rows = QUERIES["op3_preference_format"](spark, SF_TINY)
+    turns = spark.read.parquet(f"{SF_TINY}/conversations.parquet").groupBy("conv_id").count()
+    both = rows.join(turns, rows["pair_id"] == turns["conv_id"])
+    assert both.count() == rows.count() > 0 == both.where("n_common < count - 1 or (n_common > 0) <> (prompt <> '')").count()
+    assert rows.where("n_common > 0").count() > 0
