@@ -32,6 +32,8 @@ PER_HUB = 512
 ROUNDS = 2
 #: Counters of word pairs by hash; they order the pairs of a text, rare ones first. The driver holds one array of them.
 COUNTERS = 1 << 20
+#: Bits that stand for the words of a text before pairs are aligned over their rare pairs of words.
+WIDE = 2048
 MARKS = ("bits0", "bits1", "bits2", "bits3")
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -301,6 +303,36 @@ def _over_rare_pairs(tokens: DataFrame, texts: DataFrame, similarity: float) ->
     return out
 
 
+def _wide_marks(texts: DataFrame) -> DataFrame:
+    """(item, size, wide): ``WIDE`` bits for the words of each text, enough to tell long texts apart."""
+    def run(batch: pa.RecordBatch):
+        wide = np.zeros((batch.num_rows, WIDE), bool)
+        for i, data in enumerate(batch.column("words")):
+            wide[i, mix(np.frombuffer(data.as_buffer(), "<u4").astype(np.uint64)) % np.uint64(WIDE)] = True
+        yield {"item": batch.column("item"), "size": batch.column("size"), "wide": [r.tobytes() for r in np.packbits(wide, axis=1)]}
+
+    return map_batches(texts.select("item", "size", "words"), run, "item long, size int, wide binary")
+
+
+def _within_edits(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the wide marks do not rule out; a few hundred bytes a text travel before the words do."""
+    marked, path = stored(_wide_marks(texts), "marks")
+    side = lambda x: marked.select(F.col("item").alias(x), F.col("size").alias(f"size_{x}"), F.col("wide").alias(f"wide_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b")
+
+    def run(batch: pa.RecordBatch):
+        bits = lambda x: np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        x, y = bits("wide_a"), bits("wide_b")
+        longer = np.maximum(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy())
+        lacking = np.maximum(np.bitwise_count(x & ~y).sum(axis=1), np.bitwise_count(y & ~x).sum(axis=1))
+        keep = pa.array(np.flatnonzero(lacking <= np.floor((1 - similarity) * longer + 1e-9)))
+        yield {"a": batch.column("a").take(keep), "b": batch.column("b").take(keep)}
+
+    out, _ = stored(map_batches(both, run, "a long, b long"), "pairs")
+    forget(pairs.sparkSession, path)
+    return out
+
+
 def _may_link(similarity: float) -> Column:
     """Whether lengths and marks of a text and its hub allow the similarity."""
     longer, shorter = F.greatest("size", "hub_size"), F.least("size", "hub_size")
@@ -346,7 +378,7 @@ def links(docs: DataFrame, sketches: int = SKETCHES, similarity: float = SIMILAR
     left = words.join(live.groupBy("item").agg(F.first("class").alias("class")), "item")
     left, left_path = stored(left, "words")
     tokens, tokens_path = stored(rare_pairs(left, similarity), "rare")
-    pairs = _over_rare_pairs(tokens, left.drop("words"), similarity)
+    pairs = _within_edits(_over_rare_pairs(tokens, left.drop("words"), similarity), left, similarity)
     good, _ = stored(_aligned(pairs, left, similarity), "links")
     forget(spark, words_path, live_path, left_path, tokens_path)
     found = found.unionByName(good).distinct()
