@@ -5,7 +5,7 @@ from .operators.fingerprint import (
     dup_columns, dup_value_lists, dup_values, empty_counts, fingerprint, hash_diff, null_compare, null_counts,
     null_rows, row_hash, set_difference, symmetric_diff,
 )
-from .operators.flatten import explode_array, flatten, flatten_structs
+from .operators.flatten import explode_aligned, explode_array, explode_map, flatten, flatten_structs
 from .operators.history import (
     changed_since, date_chain, incremental_check, rank_check, ranked, scd2_check, scd2_current_faults, sequence,
 )
@@ -15,6 +15,7 @@ from .operators.mapping import (
 )
 from .operators.ordinal import occurrence, positions
 from .operators.profile import profile, profile_distinct, profile_numeric, profile_pattern, profile_string, profile_topk
+from .operators.sketches import describe, merge_states, profile_drift, profile_state
 from .operators.quality import (
     Rule, distinct_set_values, load_rules, quality_samples, rules_failed_first, rules_of, run_quality, suite_roll_up,
 )
@@ -35,6 +36,8 @@ from .plans.results import (
 )
 from .plans.suite import Case, cases_from_rows, run_suite, suite_details
 from .plans.verdicts import test_content, test_count, test_duplicate, test_fingerprint, test_null, test_schema
+from .plans.workbook import mapped_rows, workbook_case
 from .sources.readers import SourceSpec, manual_query, read_source, source_schema
+from .sources.sheets import workbook_sources
 
 __all__ = [name for name in dir() if not name.startswith("_")]

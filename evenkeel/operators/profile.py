@@ -10,6 +10,7 @@ from ..frames import stack_rows
 from ..functions.values import col, text_mask
 from .fingerprint import value_counts
 from .ordinal import CHUNK_ROWS, positions
+from .sketches import describe, profile_state
 
 QUANTILES = (0.25, 0.5, 0.75)
 
@@ -125,29 +126,6 @@ def profile_pattern(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, topk: int = 10, accuracy: int = 10_000) -> DataFrame:
-    """The whole profile as (column, metric, value) text rows."""
-    text = lambda frame: frame.select("column", "metric", F.col("value").cast("string").alias("value"))
-    numeric, strings = _typed(df, T.NumericType), _typed(df, T.StringType)
-    parts = [profile_distinct(df).select(
-        "column", F.lit("distinct").alias("metric"), F.col("distinct_values").cast("string").alias("value")
-    )]
-    if numeric:
-        parts.append(text(profile_numeric(df, numeric, accuracy)))
-    if strings:
-        parts.append(text(profile_string(df, strings)))
-        parts.append(profile_topk(df, strings, topk).select(
-            "column", F.format_string("top_%d", "place").alias("metric"),
-            F.concat("value", F.lit(" ("), F.col("rows").cast("string"), F.lit(")")).alias("value"),
-        ))
-        patterns = profile_pattern(df, strings)
-        w = Window.partitionBy("column").orderBy(F.desc("rows"), "pattern")
-        patterns = patterns.withColumn("place", F.row_number().over(w)).where(F.col("place") <= topk)
-        parts.append(patterns.select(
-            "column", F.format_string("pattern_%d", "place").alias("metric"),
-            F.concat("pattern", F.lit(" ("), F.col("rows").cast("string"), F.lit(")")).alias("value"),
-        ))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def profile(df: DataFrame, topk: int = 10) -> DataFrame:
+    """The whole profile as (column, metric, value) text rows, from one scan; see :mod:`.sketches` for the error bounds."""
+    return describe(profile_state(df), topk)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
 from time import monotonic
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.parsing import names as name_list
@@ -138,16 +140,20 @@ def cases_from_rows(rows: Iterable[dict], spark: SparkSession | None = None) ->
     return [case(r) for r in rows]
 
 
-def run_suite(spark: SparkSession, cases: Iterable[Case], test_type: str, names: Sequence[str] | None = None) -> DataFrame:
-    """Run one test type over the selected cases: one result row per case.
+def run_suite(
+    spark: SparkSession, cases: Iterable[Case], test_type: str, names: Sequence[str] | None = None, workers: int = 4
+) -> DataFrame:
+    """Run one test type over the selected cases: one result row per case, in their order.
 
-    Cases run one after another and bring only their verdict row to the driver. A case that raises, while
-    planning or while running, gives an ``Errored`` row with the reason, and the next case goes on.
+    Up to ``workers`` cases run side by side, each in a scheduler pool of its own, so small cases fill what a large one leaves free
+    (with ``spark.scheduler.mode`` FAIR they share evenly). Only verdict rows come to the driver. A case that raises, while planning or
+    while running, gives an ``Errored`` row with the reason, and the others go on.
     """
-    test = TESTS[test_type]
-    out = []
+    test, context = TESTS[test_type], spark.sparkContext
     run, run_clock = datetime.now(timezone.utc).isoformat(), monotonic()
-    for case in selected(cases, names):
+
+    def verdict(case: Case) -> tuple:
+        context.setLocalProperty("spark.scheduler.pool", f"case-{case.name}")
         begun, clock = datetime.now(timezone.utc), monotonic()
         try:
             found = test(case.pair(spark)).first().asDict()
@@ -155,8 +161,11 @@ def run_suite(spark: SparkSession, cases: Iterable[Case], test_type: str, names:
         except Exception as error:
             found, result, reason = {}, "Errored", f"Execution Error: {str(error).splitlines()[0]}"
         measures = [found.get(m, found.get(_RENAMED.get(m, m))) for m in _MEASURES]
-        out.append((case.name, test_type, result, reason, *measures, clock_text(monotonic() - clock),
-                    begun.isoformat(), datetime.now(timezone.utc).isoformat()))
+        return (case.name, test_type, result, reason, *measures, clock_text(monotonic() - clock),
+                begun.isoformat(), datetime.now(timezone.utc).isoformat())
+
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        out = list(pool.map(inheritable_thread_target(spark)(verdict), selected(cases, names)))
     whole = (run, run, datetime.now(timezone.utc).isoformat(), clock_text(monotonic() - run_clock))
     return spark.createDataFrame([row + whole for row in out], RESULT)
 

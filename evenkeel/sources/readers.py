@@ -19,9 +19,10 @@ from ..operators.schema_compare import schema_rows
 class SourceSpec:
     """Where a side of a comparison comes from.
 
-    ``options`` are passed to the reader as they are (credentials included), ``conf`` is set on the session
-    first, for object stores that take their access settings there. ``query`` is SQL text or the path of a
-    ``.sql`` file that names the data by ``alias``; databases run it themselves.
+    ``options`` are passed to the reader as they are (credentials included); so is ``conf``, the access settings of an object
+    store, which hold for this read alone and never reach the other side. ``query`` is SQL text or the path of a
+    ``.sql`` file that names the data by ``alias``; databases run it themselves. ``header`` and ``timestamp_format`` are for
+    delimited files; without a header the columns of ``schema`` are taken by position.
     """
 
     connection: str
@@ -34,6 +35,8 @@ class SourceSpec:
     where: str = ""
     schema: str | None = None
     delimiter: str = ","
+    header: bool = True
+    timestamp_format: str = ""
     multiline: bool = False
     flatten: bool = True
     partition_column: str = ""
@@ -59,8 +62,6 @@ WAREHOUSES = {"snowflake": "net.snowflake.spark.snowflake", "bigquery": "bigquer
 def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """The rows of a source: its query, or all but the excluded columns (alphabetical) after its filter."""
     kind, fmt = spec.connection.lower().split()[0], spec.format.lower()
-    for name, value in spec.conf.items():
-        spark.conf.set(name, value)
     if kind in FILE_STORES and fmt in FILE_FORMATS:
         df = _FILES[fmt](spark, spec)
         if spec.flatten and fmt in ("json", "avro"):
@@ -82,7 +83,9 @@ def _parquet(spark, spec):
 
 
 def _delimited(spark, spec):
-    reader = _reader(spark, spec).option("sep", spec.delimiter).option("header", True)
+    reader = _reader(spark, spec).option("sep", spec.delimiter).option("header", spec.header)
+    if spec.timestamp_format:
+        reader = reader.option("timestampFormat", spec.timestamp_format).option("dateFormat", spec.timestamp_format)
     return reader.csv(spec.path)
 
 
@@ -117,7 +120,9 @@ def _no_source(error: Exception) -> bool:
 
 
 def _reader(spark, spec):
-    reader = spark.read.options(**spec.options)
+    # Settings of a store are options of the read: Spark adds them to the Hadoop configuration of this read only.
+    access = {name.removeprefix("spark.hadoop."): value for name, value in spec.conf.items()}
+    reader = spark.read.options(**access).options(**spec.options)
     return reader.schema(spec.schema) if spec.schema else reader
 
 
@@ -128,11 +133,17 @@ def query_text(query: str) -> str:
     """SQL text, or the lines of a ``.sql`` file; line breaks stay, so a ``--`` comment ends with its line."""
     text = query.strip()
     if text.lower().endswith(".sql"):
-        with open(text, encoding="utf-8-sig") as f:
-            text = "\n".join(line.strip() for line in f if line.strip())
+        text = "\n".join(line.strip() for line in _lines(text) if line.strip())
     return text.rstrip(";").strip()
 
 
+def _lines(path: str) -> list[str]:
+    """The lines of a file in any store that Spark reads."""
+    spark = SparkSession.active()
+    rows = spark.read.text(path, wholetext=True).collect()  # one small SQL file
+    return rows[0].value.lstrip("\ufeff").splitlines() if rows else []
+
+
 def manual_query(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
     """Run SQL that calls the given frames by name, without registering views under those names."""
     quoted = query_text(sql).replace("{", "{{").replace("}", "}}")

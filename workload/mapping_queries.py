@@ -111,11 +111,11 @@ def _(t):
 
 @register("run_detail", """
     SELECT run_created_time AS Test_Protocol_Run_ID, testcase_name AS Testcase_Name, test_result AS Test_Result,
-           reason AS Reason, runtime AS Runtime FROM history WHERE runtime <> ''""")
+           reason AS Reason, nullif(runtime, '') AS Runtime FROM history""")
 def _(t):
-    """The detail table loaded from an exported CSV with a header."""
+    """The detail table loaded from an exported CSV with a header; a blank cell is NULL."""
     path = new_folder(t.spark, "run_detail")
-    rows = t.history.where("runtime <> ''").withColumnRenamed("run_created_time", "Test_Protocol_Run_ID")
+    rows = t.history.withColumnRenamed("run_created_time", "Test_Protocol_Run_ID")
     declared = [f.strip().split(" ")[0] for f in RUN_DETAIL.split(",")]
     have = {c.lower(): c for c in rows.columns}
     rows.select(*[
@@ -442,12 +442,11 @@ def _(t):
 
 
 @register("explode_array", """
-    SELECT vec_id, CASE WHEN vec_id%7=0 OR vec_id%11=0 THEN NULL ELSE CAST(e.x AS DOUBLE) END AS part FROM embeddings,
-         (SELECT unnest([1, 2, 3]) AS i) k, LATERAL (SELECT embedding[k.i] AS x) e
-    WHERE k.i = 1 OR NOT (vec_id%7=0 OR vec_id%11=0)""")
+    SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS part FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 0
+    UNION ALL SELECT vec_id, NULL FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0""")
 def _(t):
-    first = F.slice("embedding", 1, 3)
-    part = F.when(F.col("vec_id") % 7 == 0, F.array().cast("array<float>")).when(F.col("vec_id") % 11 != 0, first)
+    """Whole vectors, empty for some rows and NULL for others."""
+    part = F.when(F.col("vec_id") % 7 == 0, F.array().cast("array<float>")).when(F.col("vec_id") % 11 != 0, F.col("embedding"))
     return ek.explode_array(t.embeddings.select("vec_id", part.alias("part")), "part").withColumn(
         "part", F.col("part").cast("double"))
 
@@ -507,14 +506,12 @@ def _(t):
 
 
 # Ad-hoc SQL
-ADDRESS = ("SELECT TRIM(address) || ', ' || TRIM(city) || ', ' || TRIM(county) || ' ' || TRIM(zip) AS postal_address "
-           "FROM source_table")
-MATCH = "SELECT birthplace, city FROM target_table"
+LABEL = "SELECT id, concat_ws(' / ', upper(trim(last)), trim(city), zip) AS label, prefix IS NULL AS untitled FROM source_table"
 
 
-@register("cte_address", f"WITH cte AS ({ADDRESS.replace('source_table', 'people')}) SELECT * FROM cte", also="people")
+@register("cte_address", f"WITH cte AS ({LABEL.replace('source_table', 'people')}) SELECT * FROM cte WHERE label <> ''", also="people")
 def _(t):
-    return ek.adhoc_sql(t.spark, f"WITH cte AS ({ADDRESS}) SELECT * FROM cte;", {"source_table": t.people}, limit=None)
+    return ek.adhoc_sql(t.spark, f"WITH cte AS ({LABEL}) SELECT * FROM cte WHERE label <> '';", {"source_table": t.people}, limit=None)
 
 
 @register("cte_colmatch", """
@@ -552,9 +549,12 @@ def _(t):
     SELECT l_orderkey, l_linenumber, concat(l_returnflag, '', l_linestatus, '_', CAST(l_linenumber AS VARCHAR)) AS joined,
            concat_ws('|', l_returnflag, CASE WHEN l_linenumber > 3 THEN l_linestatus END) AS listed FROM lineitem""")
 def _(t):
-    return t.lineitem.select(
-        "l_orderkey", "l_linenumber", F.concat("l_returnflag", F.lit(""), "l_linestatus", F.lit("_"), "l_linenumber").alias("joined"),
-        F.concat_ws("|", "l_returnflag", F.when(F.col("l_linenumber") > 3, F.col("l_linestatus"))).alias("listed"))
+    return ek.apply_mapping(t.lineitem, [
+        R("l_orderkey", "l_orderkey"), R("l_linenumber", "l_linenumber"),
+        R("joined", "l_returnflag", DERIVED, expression="concat(src.l_returnflag, '', src.l_linestatus, '_', src.l_linenumber)"),
+        R("listed", "l_returnflag", DERIVED,
+          expression="concat_ws('|', src.l_returnflag, CASE WHEN src.l_linenumber > 3 THEN src.l_linestatus END)"),
+    ])
 
 
 @register("fn_trim", "SELECT id, trim(address) AS address, trim(city) AS city FROM people")
@@ -564,7 +564,10 @@ def _(t):
 
 @register("fn_case", "SELECT p_partkey, upper(p_name) AS upper_name, lower(p_type) AS lower_type FROM part")
 def _(t):
-    return t.part.select("p_partkey", F.upper("p_name").alias("upper_name"), F.lower("p_type").alias("lower_type"))
+    return ek.apply_mapping(t.part, [
+        R("p_partkey", "p_partkey"), R("upper_name", "p_name", DERIVED, expression="upper(src.p_name)"),
+        R("lower_type", "p_type", DERIVED, expression="lower(src.p_type)"),
+    ])
 
 
 @register("fn_fullname", """
@@ -593,8 +596,11 @@ def _(t):
     SELECT p_partkey, upper(substr(w1, 1, 1)) || lower(substr(w1, 2)) AS first_word, upper(substr(w2, 1, 1)) || lower(substr(w2, 2)) AS second_word
     FROM (SELECT p_partkey, split_part(split_part(p_name, ':', 1), ' ', 1) AS w1, split_part(split_part(p_name, ':', 1), ' ', 2) AS w2 FROM part) x""")
 def _(t):
-    word = lambda n: F.initcap(F.split_part(F.split_part("p_name", F.lit(":"), F.lit(1)), F.lit(" "), F.lit(n)))
-    return t.part.select("p_partkey", word(1).alias("first_word"), word(2).alias("second_word"))
+    word = lambda n: f"initcap(split_part(split_part(src.p_name, ':', 1), ' ', {n}))"
+    return ek.apply_mapping(t.part, [
+        R("p_partkey", "p_partkey"), R("first_word", "p_name", DERIVED, expression=word(1)),
+        R("second_word", "p_name", DERIVED, expression=word(2)),
+    ])
 
 
 # "Today" is a parameter, so that the same rows come back tomorrow.
@@ -606,9 +612,8 @@ TODAY = "2024-03-15"
     WHERE extract(month FROM o_orderdate) = extract(month FROM DATE '{TODAY}')
       AND extract(day FROM o_orderdate) = extract(day FROM DATE '{TODAY}')""")
 def _(t):
-    today = F.lit(TODAY).cast("date")
-    day = F.col("o_orderdate").cast("date")
-    return t.orders.where((F.month(day) == F.month(today)) & (F.dayofmonth(day) == F.dayofmonth(today))).select(
-        "o_orderkey", day.alias("o_orderdate"))
+    same = " AND ".join(f"extract({part} FROM o_orderdate) = extract({part} FROM DATE '{TODAY}')" for part in ("MONTH", "DAY"))
+    rows = [R("o_orderkey", "o_orderkey"), R("o_orderdate", "o_orderdate", DERIVED, expression="to_date(src.o_orderdate)")]
+    return ek.apply_mapping(t.orders, rows, where=same)
 
 

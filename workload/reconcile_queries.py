@@ -414,7 +414,7 @@ def _(t):
     return ek.dup_keys(t.lineitem, ["l_orderkey", "l_linenumber"], 10)
 
 
-PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
+PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 PART_CELLS = " UNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM part" for i, c in enumerate(PART))
 
@@ -423,13 +423,13 @@ PART_CELLS = " UNION ALL ".join(
     SELECT position, col AS "column", sum(n)::BIGINT AS rows, count(*) AS distinct_values, count(*) < sum(n) AS has_duplicates
     FROM (SELECT position, col, value, count(*) AS n FROM ({PART_CELLS}) c GROUP BY 1, 2, 3) g GROUP BY 1, 2""")
 def _(t):
-    return ek.dup_columns(t.part.select(*PART))
+    return ek.dup_columns(t.part)
 
 
 @register("dup_values", f"""
     SELECT position, col AS "column", value, count(*) AS rows FROM ({PART_CELLS}) c GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def _(t):
-    return ek.dup_values(t.part.select(*PART))
+    return ek.dup_values(t.part)
 
 
 @register("dup_value_lists", f"""
@@ -438,19 +438,18 @@ def _(t):
           FROM (SELECT position, col, value FROM ({PART_CELLS}) c GROUP BY 1, 2, 3 HAVING count(*) > 1) g) r
     WHERE rn <= 50 GROUP BY 1, 2""")
 def _(t):
-    return ek.dup_value_lists(t.part.select(*PART))
+    return ek.dup_value_lists(t.part)
 
 
-LANE = "o_orderstatus, o_orderpriority"
+ROW = ", ".join(out("x", c) + f" AS {c}" for c in ALL)
 
 
 @register("symmetric_diff", f"""
-    SELECT {LANE}, 'source' AS side, count(*) AS copies FROM (SELECT {LANE} FROM orders_src EXCEPT ALL SELECT {LANE} FROM orders_dup) a GROUP BY 1, 2
+    SELECT {ROW}, 'source' AS side, count(*) AS copies FROM (SELECT * FROM orders_src EXCEPT ALL SELECT * FROM orders_dup) x GROUP BY ALL
     UNION ALL
-    SELECT {LANE}, 'target', count(*) FROM (SELECT {LANE} FROM orders_dup EXCEPT ALL SELECT {LANE} FROM orders_src) b GROUP BY 1, 2""")
+    SELECT {ROW}, 'target', count(*) FROM (SELECT * FROM orders_dup EXCEPT ALL SELECT * FROM orders_src) x GROUP BY ALL""")
 def _(t):
-    cols = ["o_orderstatus", "o_orderpriority"]
-    return ek.symmetric_diff(t.orders_src.select(*cols), t.orders_dup.select(*cols))
+    return ek.symmetric_diff(t.orders_src, t.orders_dup)
 
 
 @register("distinct_keys", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
@@ -458,9 +457,6 @@ def _(t):
     return ek.distinct_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-ROW = ", ".join(out("x", c) + f" AS {c}" for c in ALL)
-
-
 @register("source_except_target", f"""
     SELECT {ROW}, 'source' AS side FROM (SELECT * FROM orders_src EXCEPT SELECT * FROM orders_tgt) x
     UNION ALL SELECT {ROW}, 'target' AS side FROM (SELECT * FROM orders_tgt EXCEPT SELECT * FROM orders_src) x""")
