@@ -1,26 +1,34 @@
 """Edit-aware token counts: a segment tree of counts over pieces of each document; an edit encodes only what it touches again.
 
-A document is cut into leaves of about ``LEAF`` code points at places that no pre-token spans: before a blank that follows a
-non-blank and precedes a letter. Leaves are encoded for themselves and their counts sum up to the document's. An edit replaces the
-leaves it touches and one neighbour on each side (the boundary context, since an edit can join or split pre-tokens at a border) by one
-leaf, encodes that and updates the sums on the way to the root.
+A document is cut into leaves of ``LEAF`` code points and on to the next place that no pre-token spans: behind a letter that no letter
+follows. Leaves are encoded for themselves and their counts sum up to the document's. An edit takes the leaves it touches and one
+neighbour on each side (the boundary context, since an edit can join or split pre-tokens at a border), cuts their new text into leaves
+anew, so leaves split and merge, and encodes those that are not among the old ones. Where their number stays the sums on the way to
+the root are updated; where it changes the sums, not the counts, are built again, once for about ``LEAF`` code points that come or go.
+
+Trees are stored as the leaves' lengths, counts and digests. A later load of the same documents takes over the leaves that its text
+still begins and ends with and encodes what is between.
+
+One run of letters, or text without any letter, is one leaf however long, as the merges of one pre-token cannot be cut exactly.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
+from hashlib import blake2b
 
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_batches, register, table, with_fields
 
 LEAF = 512
-_BORDER = re.compile(r"(?<=\S) (?=[^\W\d_])")
+_BORDER = regex.compile(r"(?<=\p{L})(?=\P{L})")
+LEAVES = "array<struct<n_chars: int, n_tokens: int, digest: binary>>"
 
 
 @lru_cache(maxsize=2)
@@ -34,7 +42,7 @@ def encoding(path: str) -> tiktoken.Encoding:
 def leaves(text: str, size: int = LEAF) -> list[str]:
     """The text in pieces that begin at borders of pre-tokens; the encodings of the pieces make up the text's."""
     out, begin = [], 0
-    while border := _BORDER.search(text, begin + size):
+    while border := _BORDER.search(text, begin + max(1, size)):
         out.append(text[begin: border.start()])
         begin = border.start()
     return [*out, text[begin:]]
@@ -44,12 +52,15 @@ class CountTree:
     """Sums of code points and tokens over the leaves of one document, as a binary tree in two lists."""
 
     def __init__(self, text: str, count, size: int = LEAF):
-        self.count, self.parts = count, leaves(text, size)
-        self.base = 1 << max(0, (len(self.parts) - 1).bit_length())
-        self.chars, self.tokens = [0] * 2 * self.base, [0] * 2 * self.base
+        self.count, self.size, self.parts = count, size, leaves(text, size)
         self.encoded = 0  # code points encoded since the tree was built
-        for i, part in enumerate(self.parts):
-            self.chars[self.base + i], self.tokens[self.base + i] = len(part), count(part)
+        self._build([count(part) for part in self.parts])
+
+    def _build(self, counts: list[int]) -> None:
+        self.base = 1 << max(0, (len(self.parts) - 1).bit_length())
+        empty = [0] * (self.base - len(self.parts))
+        self.chars = [0] * self.base + [len(part) for part in self.parts] + empty
+        self.tokens = [0] * self.base + counts + empty
         for node in range(self.base - 1, 0, -1):
             self._sum(node)
 
@@ -63,6 +74,9 @@ class CountTree:
     def text(self) -> str:
         return "".join(self.parts)
 
+    def counts(self) -> list[int]:
+        return self.tokens[self.base: self.base + len(self.parts)]
+
     def _find(self, place: int) -> tuple[int, int]:
         """The leaf that holds a code point (the last one for the end of the text), and where that leaf begins."""
         node, begin = 1, 0
@@ -79,27 +93,99 @@ class CountTree:
         remove = min(max(remove, 0), self.chars[1] - at)
         first, begin = self._find(at)
         last, _ = self._find(max(at, at + remove - 1))
-        left = next((i for i in range(first - 1, -1, -1) if self.parts[i]), first)
-        right = next((i for i in range(last + 1, len(self.parts)) if self.parts[i]), last)
+        left, right = max(first - 1, 0), min(last + 1, len(self.parts) - 1)
         begin -= sum(len(p) for p in self.parts[left:first])
-        old = "".join(self.parts[left: right + 1])
-        new = old[: at - begin] + insert + old[at - begin + remove:]
-        # The new text goes back into the same leaves; only their sums and those above them change.
-        pieces = leaves(new, max(1, -(-len(new) // (right - left + 1))))[: right - left + 1]
-        pieces[-1] = new[sum(map(len, pieces[:-1])):]
+        old = self.parts[left: right + 1]
+        known = dict(zip(old, self.counts()[left: right + 1]))
+        whole = "".join(old)
+        pieces = leaves(whole[: at - begin] + insert + whole[at - begin + remove:], self.size)
+        if not pieces[-1] and len(self.parts) - len(old) + len(pieces) > 1:
+            pieces.pop()
+        counts = []
+        for piece in pieces:
+            if piece not in known:
+                known[piece] = self.count(piece)
+                self.encoded += len(piece)
+            counts.append(known[piece])
+        if len(pieces) != len(old):  # leaves were split or merged
+            all_counts = self.counts()
+            all_counts[left: right + 1] = counts
+            self.parts[left: right + 1] = pieces
+            self._build(all_counts)
+            return
         touched = set()
-        for i in range(left, right + 1):
-            self.parts[i] = pieces[i - left] if i - left < len(pieces) else ""
-            node = self.base + i
-            self.chars[node], self.tokens[node] = len(self.parts[i]), self.count(self.parts[i])
+        for i, (piece, n) in enumerate(zip(pieces, counts), left):
+            self.parts[i], node = piece, self.base + i
+            self.chars[node], self.tokens[node] = len(piece), n
             touched.add(node // 2)
-        self.encoded += len(new)
         while touched - {0}:
             for node in touched:
                 self._sum(node)
             touched = {node // 2 for node in touched if node > 1}
 
 
+def digest(text: str) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def carried(text: str, stored: list[dict], count, size: int = LEAF) -> tuple[list[dict], int]:
+    """The leaves of a text, given those stored for an earlier version of it, and the code points that were encoded for them.
+
+    Leaves that the text still begins and ends with are taken over, but for the one next to a change: it is the change's boundary context.
+    """
+    head = begin = 0
+    while head < len(stored) and digest(text[begin: begin + stored[head]["n_chars"]]) == stored[head]["digest"]:
+        begin += stored[head]["n_chars"]
+        head += 1
+    if head == len(stored) and begin == len(text):
+        return stored, 0
+    tail, end = len(stored), len(text)
+    while tail > head and end - stored[tail - 1]["n_chars"] >= begin and digest(
+            text[end - stored[tail - 1]["n_chars"]: end]) == stored[tail - 1]["digest"]:
+        tail -= 1
+        end -= stored[tail]["n_chars"]
+    if head:
+        head -= 1
+        begin -= stored[head]["n_chars"]
+    if tail < len(stored):
+        end += stored[tail]["n_chars"]
+        tail += 1
+    known = {leaf["digest"]: leaf["n_tokens"] for leaf in stored[head:tail]}
+    middle, encoded = [], 0
+    for piece in leaves(text[begin:end], size):
+        own = digest(piece)
+        if own not in known:
+            known[own] = count(piece)
+            encoded += len(piece)
+        if piece or not stored:
+            middle.append({"n_chars": len(piece), "n_tokens": known[own], "digest": own})
+    return stored[:head] + middle + stored[tail:], encoded
+
+
+def recount(docs: DataFrame, trees: DataFrame | None = None, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, n_tokens, n_encoded, leaves) of ``docs`` (doc_id, text): their trees as a table, from that of an earlier load if given.
+
+    Documents the earlier load does not have, and such without an id, are encoded whole; of several trees under one id one is taken. A
+    null text is empty and has no leaves. Documents meet their trees by id, so only rows of leaves are read again, no earlier text.
+    """
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = docs.select("doc_id", "text")
+    if trees is None:
+        rows = docs.withColumn("leaves", F.lit(None).cast(LEAVES))
+    else:
+        rows = docs.join(trees.groupBy("doc_id").agg(F.max_by("leaves", F.size("leaves")).alias("leaves")), "doc_id", "left")
+
+    def run(batch: pa.RecordBatch):
+        ranks = encoding(path)
+        count = lambda text: len(ranks.encode_ordinary(text))
+        made = [carried(text or "", stored or [], count, leaf) if text else ([], 0)
+                for text, stored in zip(batch.column("text").to_pylist(), batch.column("leaves").to_pylist())]
+        yield {"doc_id": batch.column("doc_id"), "n_tokens": [sum(x["n_tokens"] for x in own) for own, _ in made],
+               "n_encoded": [n for _, n in made], "leaves": [own for own, _ in made]}
+
+    return map_batches(rows.select("doc_id", "text", "leaves"), run, f"doc_id long, n_tokens long, n_encoded long, leaves {LEAVES}")
+
+
 def edited_counts(docs: DataFrame, edits: Column, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """``docs`` with ``__before`` and ``__after`` (tokens before and after the edits) and ``__encoded`` (code points encoded for them).
 
