@@ -8,7 +8,8 @@ have n/2: an item has several, so an edit in one leaves others. Windows of texts
 consecutive words, the same places in both. Behind the end of a text lies one same sign.
 
 Candidates are checked exactly: the item is aligned with the text around the window, with free ends, and leaks when its words
-need at most ``EDITS`` of their number in edits. An unedited item is found for certain; ``tests/llm`` measures the rest.
+need at most ``EDITS`` of their number in edits. Short items can be missed
+even without an edit, as their windows must begin at places a text visits; ``tests/llm`` measures the recall.
 
 The items travel with the tasks in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words, so their size is bounded;
 more items mean more passes over the texts.
