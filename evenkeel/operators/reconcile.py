@@ -18,6 +18,8 @@ _OCC = "occurrence"
 RESERVED = ("status", "matched", _OCC)
 #: Parts into which the differing cells of one column are cut before their first limit.
 _PARTS = 64
+#: A key with more rows than this part of a chunk is hot.
+_HOT_PART = 8
 
 
 @dataclass(frozen=True)
@@ -127,7 +129,7 @@ def _pairs(pair: Pair) -> tuple[DataFrame, list[tuple], list[Column]]:
     One lazy plan. The sides meet in an aggregate by key, not in a join: both are shuffled once, rows of a hot key shrink to one in every
     map task, NULLs are equal, and a filter on the key reaches both scans. A key with one row on either side at most is done. Rows of
     the other keys, known from the same aggregate, are numbered within their key and side and meet on key and number, which
-    spreads a hot key over all tasks. Where there is no such key, nothing is shuffled again.
+    spreads a hot key over all tasks; its rows are picked where they are read. Where there is no such key, nothing is shuffled again.
     """
     src, tgt, ks, mixed = _sides(pair)
     types = [(src.schema[f"v{i}"].dataType, tgt.schema[f"v{i}"].dataType) for i in range(len(pair.compared()))]
@@ -137,11 +139,17 @@ def _pairs(pair: Pair) -> tuple[DataFrame, list[tuple], list[Column]]:
     met = both.groupBy(*ks).agg(*one, F.greatest(rows("s"), rows("t")).alias("__most"))
     once = met.where("__most = 1").select(*ks, F.lit(1).cast("bigint").alias(_OCC), "s", "t")
 
-    often = met.where("__most > 1").select(*[F.col(k).alias(f"__{k}") for k in ks])
+    hot = F.col("__most") > max(1, pair.chunk_rows // _HOT_PART)
+    often = met.where("__most > 1").select(*[F.col(k).alias(f"__{k}") for k in ks], hot.alias("__hot"))
     on_key = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in ks])
-    again = both.where(often.agg(F.count(F.lit(1)) > 0).scalar()).join(often, on_key, "left_semi")
+    repeated = both.where(often.agg(F.count(F.lit(1)) > 0).scalar())
+    # There is a hot key for so many rows at most. Their rows are known by a small list and do not meet in the join, which shuffles by key.
+    few = F.broadcast(often.where("__hot").drop("__hot"))
+    warm = repeated.join(few, on_key, "left_anti").join(often.where("NOT __hot"), on_key, "left_semi")
+    again = warm.unionByName(repeated.join(few, on_key, "left_semi"))
     again = occurrence(again, [*ks, "side"], order, _OCC, pair.chunk_rows)
-    again = again.groupBy(*ks, _OCC).agg(*one)
+    # Numbered copies are many more than the rows they come from: they are dealt out before anything sorts them.
+    again = again.repartition(*ks, _OCC).groupBy(*ks, _OCC).agg(*one)
     shown = [
         F.coalesce(F.col(f"s.g{i}"), F.col(f"t.g{i}")).alias(key) if i in mixed else F.col(f"k{i}").alias(key)
         for i, key in enumerate(pair.keys)
