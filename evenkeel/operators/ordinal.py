@@ -36,16 +36,21 @@ def _chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows
     picked = rows.where(F.pmod(F.xxhash64(*[col(c) for c in [*names, "__block"]]), F.lit(chunk_rows)) < F.col("__n"))
     every = lambda b: F.greatest(F.lit(1), F.ceil(F.size(b) / MOST_CHUNKS))
     bounds = picked.agg(F.sort_array(F.collect_list(here)).alias("b"))
-    bounds = bounds.select(F.filter("b", lambda x, i: i % every(F.col("b")) == 0))
+    bounds = bounds.select(F.filter("b", lambda x, i: i % every(F.col("b")) == 0).alias("b"))
+    # The bounds come with the steps of the search among so many, and a row is put together once for all comparisons.
+    bounds = bounds.select(F.struct("b", F.filter(F.lit(_STEPS), lambda s: s <= F.size("b")).alias("steps")))
 
-    def place(b: Column) -> Column:
-        chunk = F.aggregate(F.lit(_STEPS), F.lit(0), lambda low, s: F.when(F.get(b, low + s - 1) <= here, low + s).otherwise(low))
+    def place(x: Column) -> Column:
+        b, row = x["bounds"]["b"], x["row"]
+        chunk = F.aggregate(x["bounds"]["steps"], F.lit(0), lambda low, s: F.when(F.get(b, low + s - 1) <= row, low + s).otherwise(low))
         # The group goes on if the bound at either end of the chunk lies in it.
-        over = lambda c, i: F.get(b, i).isNotNull() & (group(F.get(b, i)).eqNullSafe(group(here)) if keys else F.lit(True))
-        return let(chunk, lambda c: F.struct(c.alias("chunk"), (over(c, c - 1) | over(c, c)).alias("over")))
+        over = lambda c, i: F.get(b, i).isNotNull() & (group(F.get(b, i)).eqNullSafe(group(row)) if keys else F.lit(True))
+        return let(chunk, lambda c: F.struct(c.alias("__chunk"), (over(c, c - 1) | over(c, c)).alias("__over")))
 
-    rows = rows.withColumn("__bounds", bounds.scalar()).withColumn("__place", let(F.col("__bounds"), place))
-    return rows.withColumns({"__chunk": F.col("__place.chunk"), "__over": F.col("__place.over")}).drop("__place", "__bounds")
+    rows = rows.withColumn("__bounds", bounds.scalar())
+    rows = rows.withColumn("__place", let(F.struct(F.col("__bounds").alias("bounds"), here.alias("row")), place)).drop("__bounds")
+    # A filter on what a generator makes stays above it, so no row is searched twice.
+    return rows.select("*", F.inline_outer(F.array("__place"))).drop("__place")
 
 
 def _per_chunk(rows: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
