@@ -101,7 +101,10 @@ def rank_check(
     if function == "row_number":
         out = placed
     else:
-        counted = needed.groupBy(*needed.columns).agg(F.count(F.lit(1)).alias("__n"))
+        # Grouped as one value: rows that lie together by a part of it are counted where they are and then spread, so no task holds
+        # the rows before and after counting, and a hot partition is not one task.
+        whole = F.struct(*[col(c) for c in needed.columns]).alias("__row")
+        counted = needed.groupBy(whole).agg(F.count(F.lit(1)).alias("__n")).select("__row.*", "__n")
         slim = placed.select(*[col(c).alias(f"__o{i}") for i, c in enumerate(by)], "__before", "__steps")
         out = counted.join(slim, [col(c).eqNullSafe(F.col(f"__o{i}")) for i, c in enumerate(by)])
     fine = col(stored).cast("bigint").eqNullSafe(expected)
