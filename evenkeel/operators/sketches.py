@@ -34,14 +34,23 @@ def profile_state(df: DataFrame, columns: Sequence[str] | None = None, by: Seque
         nested = isinstance(kinds[c], (T.ArrayType, T.MapType, T.StructType, T.VariantType))
         return (F.when(col(c).isNotNull(), F.to_json(F.struct(col(c)))) if nested else col(c)).alias(f"v{columns.index(c)}")
 
+    number = lambda c: isinstance(kinds[c], T.NumericType)
     cells = df.select(*[col(g) for g in by], *[plain(c) for c in columns])
+    # Texts, numbers and patterns are made once a row; every measure would make its own.
+    made = []
+    for i, c in enumerate(columns):
+        v, double = F.col(f"v{i}"), F.col(f"v{i}").cast("double")
+        made.append(v.cast("string").alias(f"t{i}"))
+        if number(c):
+            made.append(F.when(~F.isnan(double), double).alias(f"x{i}"))
+        if isinstance(kinds[c], T.StringType):
+            made.append(text_mask(v).alias(f"p{i}"))
+    cells = cells.select("*", *made)
     parts, rows = [F.count(F.lit(1)).alias("__rows")], []
     for i, c in enumerate(columns):
-        v, number = F.col(f"v{i}"), isinstance(kinds[c], T.NumericType)
-        text, is_text = v.cast("string"), isinstance(kinds[c], T.StringType)
-        x = v.cast("double") if number else F.lit(None).cast("double")
-        x = F.when(~F.isnan(x), x)
-        pattern = text_mask(text) if is_text else F.lit(None).cast("string")
+        v, text, is_text = F.col(f"v{i}"), F.col(f"t{i}"), isinstance(kinds[c], T.StringType)
+        x = F.col(f"x{i}") if number(c) else F.lit(None).cast("double")
+        pattern = F.col(f"p{i}") if is_text else F.lit(None).cast("string")
         measures = {
             "count": F.count(v), "blanks": F.count_if(F.trim(text) == "") if is_text else F.lit(0).cast("long"),
             "min_length": F.min(F.length(text)), "max_length": F.max(F.length(text)), "low": F.min(text), "high": F.max(text),
@@ -50,7 +59,7 @@ def profile_state(df: DataFrame, columns: Sequence[str] | None = None, by: Seque
             "frequent": _top(text), "patterns": _top(pattern),
         }
         parts += [m.alias(f"{name}{i}") for name, m in measures.items()]
-        kind = "number" if number else "text" if is_text else "other"
+        kind = "number" if number(c) else "text" if is_text else "other"
         rows.append(
             {g: col(g) for g in by} | {"column": F.lit(c), "kind": F.lit(kind), "rows": F.col("__rows")}
             | {name: F.col(f"{name}{i}") for name in measures}
