@@ -51,11 +51,17 @@ def with_fields(schema: T.StructType, fields: str, drop: str = "") -> T.StructTy
     return T.StructType([f for f in schema.fields if f.name != drop] + T.StructType.fromDDL(fields).fields)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """From now on Spark ends an Arrow batch of this session at ``PIECE`` bytes, so neither the executor nor its worker holds a larger one."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{PIECE}b")
+
+
 def map_batches(df: DataFrame, build: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """Apply ``build`` to pieces of Arrow batches of about ``PIECE`` bytes; it yields dicts of columns, which take the declared types.
 
     A batch may hold thousands of long texts; what ``build`` makes of them is held for one piece at a time.
     """
+    limit_batches(df.sparkSession)
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
 

@@ -11,12 +11,15 @@ about 0.2 at a similarity of 0.80, 0.29 at 0.85 and 0.42 at 0.90, so 0.92, 0.99
 Every member of a bucket is aligned with its hub, so a bucket of copies costs one alignment a member, not all pairs. Members that stay in
 other classes meet over their rarest pairs of neighbouring words: an edit touches two of them, so two texts within the allowed edits
 have at least three fifths of the longer one's pairs in common, counted with repeats, and each has one of the common ones among the first
-two fifths (and one more) of its pairs in any one order of all pairs. Only texts of different classes that agree in such a pair are aligned. No link of two texts that share a bucket is lost, and
+two fifths (and one more) of its pairs in any one order of all pairs. Only texts of different classes that agree in such a pair are compared:
+a text meets a class in blocks of its members, by counters of their words, and what these leave is aligned. No link of two texts that share a bucket is lost, and
 unrelated texts around a common passage, which share a bucket too, do not meet. ``tests/llm`` compares the classes with all pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,8 +35,10 @@ PER_HUB = 512
 ROUNDS = 2
 #: Counters of word pairs by hash; they order the pairs of a text, rare ones first. The driver holds one array of them.
 COUNTERS = 1 << 20
-#: Bits that stand for the words of a text before pairs are aligned over their rare pairs of words.
-WIDE = 2048
+#: Counters of a text's words by hash, one byte each, which rule pairs out before any words travel.
+TALLY = 1024
+#: Texts of a class that are compared with others as one block.
+BLOCK = 512
 MARKS = ("bits0", "bits1", "bits2", "bits3")
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -277,14 +282,14 @@ def rare_pairs(words: DataFrame, similarity: float) -> DataFrame:
 
 
 def _over_rare_pairs(tokens: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ``texts`` (item, size, marks, class) of different classes that agree in a token and may be alike by lengths and marks.
+    """The pairs (a, b) of ``texts`` (item, size, marks, words, class) of different classes that agree in a token and may be alike by lengths and words.
 
     Classes meet over a token, one row each, with the range of their lengths and the marks that all or any of their texts there have. The
     texts of the smaller one that have the token then meet the larger class once, whatever tokens they share; no two texts of a class meet.
     """
     ends = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     held = tokens.join(ends.where("low < high").select("token"), "token").select("token", "item")
-    shared, path = stored(held.join(texts, "item"), "rare")
+    shared, path = stored(held.join(texts.drop("words"), "item"), "rare")
     parts = shared.groupBy("token", "class").agg(
         F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high"),
         *[F.bit_and(m).alias(f"all_{m}") for m in MARKS], *[F.bit_or(m).alias(f"any_{m}") for m in MARKS],
@@ -295,44 +300,91 @@ def _over_rare_pairs(tokens: DataFrame, texts: DataFrame, similarity: float) ->
     apart = lambda x, y: F.col(f"{x}.low") - F.col(f"{y}.high") > _most(F.col(f"{x}.low"), similarity)
     fits = ~apart("one", "two") & ~apart("two", "one") & (_lacking("one.all_", "two.any_") <= most) & (_lacking("two.all_", "one.any_") <= most)
     met = one.join(two, "token").where(order & fits).select("token", F.col("one.class").alias("class"), F.col("two.class").alias("other"))
-    own = met.join(shared.select("token", "class", "item"), ["token", "class"]).select("item", "other").distinct()
-    there = texts.select(F.col("class").alias("other"), *[F.col(c).alias(f"hub_{c}") for c in ("item", "size", *MARKS)])
-    pairs = own.join(texts.drop("class"), "item").join(there, "other").where(_may_link(similarity))
-    out, _ = stored(pairs.select(F.least("item", "hub_item").alias("a"), F.greatest("item", "hub_item").alias("b")).distinct(), "pairs")
-    forget(tokens.sparkSession, path)
-    return out
+    own, own_path = stored(met.join(shared.select("token", "class", "item"), ["token", "class"]).select("item", "other").distinct(), "rare")
+    pairs = _within_edits(own, texts, similarity)
+    forget(tokens.sparkSession, path, own_path)
+    return pairs
+
 
+def _tallies(texts: DataFrame) -> DataFrame:
+    """(item, class, size, tally): how often the words of each text fall on each of ``TALLY`` counters, 255 standing for more as well.
 
-def _wide_marks(texts: DataFrame) -> DataFrame:
-    """(item, size, wide): ``WIDE`` bits for the words of each text, enough to tell long texts apart."""
+    An edit changes two counters by one at most, one up and one down, so texts whose counters differ by more either way are not alike.
+    """
     def run(batch: pa.RecordBatch):
-        wide = np.zeros((batch.num_rows, WIDE), bool)
-        for i, data in enumerate(batch.column("words")):
-            wide[i, mix(np.frombuffer(data.as_buffer(), "<u4").astype(np.uint64)) % np.uint64(WIDE)] = True
-        yield {"item": batch.column("item"), "size": batch.column("size"), "wide": [r.tobytes() for r in np.packbits(wide, axis=1)]}
+        tally = []
+        for data in batch.column("words"):
+            slot = mix(np.frombuffer(data.as_buffer(), "<u4").astype(np.uint64)) % np.uint64(TALLY)
+            tally.append(np.minimum(np.bincount(slot.astype(np.int64), minlength=TALLY), 255).astype(np.uint8).tobytes())
+        yield {"tally": tally, **{c: batch.column(c) for c in ("item", "class", "size")}}
 
-    return map_batches(texts.select("item", "size", "words"), run, "item long, size int, wide binary")
+    return map_batches(texts.select("item", "class", "size", "words"), run, "item long, class long, size int, tally binary")
 
 
-def _within_edits(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that the wide marks do not rule out; a few hundred bytes a text travel before the words do."""
-    marked, path = stored(_wide_marks(texts), "marks")
-    side = lambda x: marked.select(F.col("item").alias(x), F.col("size").alias(f"size_{x}"), F.col("wide").alias(f"wide_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b")
+def _within_edits(own: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of a text and one of the class that it meets, by ``own`` (item, other), that lengths and tallies do not rule out.
 
-    def run(batch: pa.RecordBatch):
-        bits = lambda x: np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        x, y = bits("wide_a"), bits("wide_b")
-        longer = np.maximum(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy())
-        lacking = np.maximum(np.bitwise_count(x & ~y).sum(axis=1), np.bitwise_count(y & ~x).sum(axis=1))
-        keep = pa.array(np.flatnonzero(lacking <= np.floor((1 - similarity) * longer + 1e-9)))
-        yield {"a": batch.column("a").take(keep), "b": batch.column("b").take(keep)}
-
-    out, _ = stored(map_batches(both, run, "a long, b long"), "pairs")
-    forget(pairs.sparkSession, path)
+    Members of a class and the texts that meet it come together in blocks of about ``BLOCK`` of either, and only pairs left are rows.
+    """
+    tallies, path = stored(_tallies(texts), "tallies")
+    blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    members = tallies.groupBy("class").agg(F.count(F.lit(1)).alias("n")).select("class", blocks_of("n").alias("parts"))
+    asked = own.groupBy(F.col("other").alias("class")).agg(F.count(F.lit(1)).alias("n")).select("class", blocks_of("n").alias("times"))
+    shape, shape_path = stored(members.join(asked, "class"), "blocks")
+    key, salt = ["class", "part", "time"], lambda n: F.pmod(F.xxhash64("item"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = tallies.join(shape, "class").withColumns({"part": salt("parts"), "meets": F.lit(False)}).withColumn("time", every("times"))
+    here = own.withColumnRenamed("other", "class").join(shape, "class").join(tallies.drop("class"), "item")
+    here = here.withColumns({"time": salt("times"), "meets": F.lit(True)}).withColumn("part", every("parts"))
+    cells = [*key, "meets", "item", "size", "tally"]
+    rows = there.select(cells).unionByName(here.select(cells)).repartition(*key).sortWithinPartitions(*key, "meets")
+    pairs = rows.mapInArrow(lambda batches: _left_pairs(batches, similarity), "a long, b long").distinct()
+    out, _ = stored(pairs, "pairs")
+    forget(own.sparkSession, path, shape_path)
     return out
 
 
+def _left_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of the blocks in ``batches``, which are sorted, each block's members before the texts that meet them; a block may span batches."""
+    block, held = None, None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy() for c in ("class", "part", "time")], axis=1)
+        meets = batch.column("meets").to_numpy(zero_copy_only=False)
+        item, size = batch.column("item").to_numpy(), batch.column("size").to_numpy().astype(np.int64)
+        tally = np.frombuffer(b"".join(batch.column("tally").to_pylist()), np.uint8).reshape(-1, TALLY)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1) | (meets[1:] != meets[:-1])) + 1
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(item)]):
+            if start == end:
+                continue
+            own = (item[start:end], size[start:end], tally[start:end])
+            if block != tuple(key[start]):
+                block, held = tuple(key[start]), None
+            if not meets[start]:
+                held = own if held is None else tuple(np.concatenate(x) for x in zip(held, own))
+                continue
+            if held is None:  # the hash gave this part no member
+                continue
+            one, many = (own, held) if len(own[0]) <= len(held[0]) else (held, own)
+            for i in range(len(one[0])):
+                k = _unruled(one[1][i], one[2][i], many[1], many[2], similarity)
+                a.append(np.minimum(many[0][k], one[0][i])), b.append(np.maximum(many[0][k], one[0][i]))
+        if held is not None:
+            held = tuple(x.copy() for x in held)  # not the whole batch
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    pa.default_memory_pool().release_unused()
+
+
+def _unruled(size: int, tally: np.ndarray, sizes: np.ndarray, tallies: np.ndarray, similarity: float) -> np.ndarray:
+    """Places of the texts whose sizes and tallies allow the similarity to one text's."""
+    longer = np.maximum(sizes, size)
+    most = np.floor((1 - similarity) * longer + 1e-9)
+    near = np.flatnonzero(longer - np.minimum(sizes, size) <= most)
+    apart = tallies[near].astype(np.int16) - tally.astype(np.int16)
+    more, fewer = np.maximum(apart, 0).sum(axis=1, dtype=np.int64), np.maximum(-apart, 0).sum(axis=1, dtype=np.int64)
+    return near[np.maximum(more, fewer) <= most[near]]
+
+
 def _may_link(similarity: float) -> Column:
     """Whether lengths and marks of a text and its hub allow the similarity."""
     longer, shorter = F.greatest("size", "hub_size"), F.least("size", "hub_size")
@@ -378,7 +430,7 @@ def links(docs: DataFrame, sketches: int = SKETCHES, similarity: float = SIMILAR
     left = words.join(live.groupBy("item").agg(F.first("class").alias("class")), "item")
     left, left_path = stored(left, "words")
     tokens, tokens_path = stored(rare_pairs(left, similarity), "rare")
-    pairs = _within_edits(_over_rare_pairs(tokens, left.drop("words"), similarity), left, similarity)
+    pairs = _over_rare_pairs(tokens, left, similarity)
     good, _ = stored(_aligned(pairs, left, similarity), "links")
     forget(spark, words_path, live_path, left_path, tokens_path)
     found = found.unionByName(good).distinct()

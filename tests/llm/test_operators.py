@@ -4,12 +4,14 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from check_oracle import compare, database
 from conftest import SF_SMALL, SF_TINY
 
 import corpus_pipeline
-from evenkeel.llm import ORACLE, QUERIES, decontaminate, fingerprint, language_id, line_dedup, near_dedup, packing
+from evenkeel.llm import ORACLE, QUERIES, common, decontaminate, fingerprint, language_id, line_dedup, near_dedup, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `class` string, __at string"
 VOCABULARY = [f"{a}{b}" for a in "bcdfgklm" for b in ("ando", "emi", "urtel", "ixas", "o", "ansa", "erre")]
@@ -104,6 +106,68 @@ def test_near_classes_of_a_star(spark):
     assert sorted((r.least, r.class_id, r.n_docs) for r in found) == [(i, root(i), size[root(i)]) for i in range(len(plain))]
 
 
+def around_a_passage(rng, inside, outside):
+    """Copies of a text with a tenth of new words each, and texts that have seven tenths of it."""
+    base = [f"{rng.choice(VOCABULARY)}{rng.randrange(30)}" for _ in range(200)]
+    texts = []
+    for k in range(inside + outside):
+        own = list(base)
+        for at in rng.sample(range(200), 20 if k < inside else 60):
+            own[at] = f"{rng.choice(VOCABULARY)}{rng.randrange(30)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_pairs_left_of_a_class_and_its_neighbours(spark, monkeypatch):
+    """A class and many texts around the same passage: few pairs become rows, none that is alike is missing, in blocks of any size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    texts = around_a_passage(random.Random(6), 60, 40)
+    rows = near_dedup.word_rows(spark.createDataFrame(list(enumerate(texts)), "item long, text string"))
+    rows = rows.selectExpr("*", "if(item < 60, 0, item) as class")
+    pairs = near_dedup._over_rare_pairs(near_dedup.rare_pairs(rows, 0.8), rows, 0.8)
+    found = [(r.a, r.b) for r in pairs.collect()]
+    words = near_dedup.scan(texts)
+    cut = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
+    alike = {(i, j) for j in range(60, 100) for i in range(j) if (i < 60 or i != j) and near_dedup.alike(cut[i], cut[j])}
+    assert alike <= set(found) and len(found) == len(set(found)) < 60 * 40 / 4
+    assert all(b >= 60 for _, b in found)
+
+
+def test_blocks_over_several_batches():
+    """Members of a block and the texts that meet it may lie in any batches; every pair is judged once."""
+    rng = np.random.default_rng(2)
+    rows = [(c, p, 0, m, 100 * c + 10 * p + k + 50 * m) for c in range(3) for p in range(2) for m in (False, True) for k in range(rng.integers(1, 9))]
+    rows.append((3, 0, 0, True, 900))  # a part without members
+    n = len(rows)
+    tally = rng.integers(0, 2, (n, near_dedup.TALLY)).astype(np.uint8) * (rng.random((n, 1)) < 0.5)
+    size = rng.integers(400, 2000, n)
+    columns = [np.array(c) for c in zip(*rows)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(columns[k]) for k in range(5)] + [pa.array(size.astype(np.int32)), pa.array([t.tobytes() for t in tally])],
+        names=["class", "part", "time", "meets", "item", "size", "tally"],
+    )
+    expected = set()
+    for i in range(n):
+        for j in range(n):
+            if rows[i][:3] == rows[j][:3] and not rows[i][3] and rows[j][3]:
+                longer, apart = max(size[i], size[j]), tally[i].astype(int) - tally[j]
+                if max(longer - min(size[i], size[j]), apart[apart > 0].sum(), -apart[apart < 0].sum()) <= int(0.2 * longer + 1e-9):
+                    expected.add((min(rows[i][4], rows[j][4]), max(rows[i][4], rows[j][4])))
+    for step in (1, 3, n):
+        out = near_dedup._left_pairs((batch.slice(at, step) for at in range(0, n, step)), 0.8)
+        got = [pair for b in out for pair in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(got) == sorted(expected) and 0 < len(got)
+
+
+def test_batches_are_bounded(spark):
+    """Long texts: no Arrow batch of ours is larger than a piece and a row, however many rows it might have."""
+    def build(piece):
+        yield {"n": [piece.column("text").buffers()[2].size]}
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('long text ', 1000) as text")
+    assert max(r.n for r in common.map_batches(texts, build, "n long").collect()) <= common.PIECE + 10_000
+
+
 def test_line_dedup(spark, docs, empty):
     rows = line_dedup.dedup(docs)
     assert rows.columns == [*docs.columns, "__spans"]
