@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import forget, map_batches, register, stored, table
 from .components import classes
@@ -207,7 +207,8 @@ def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     hubs = words.join(share, words["item"] == share["a"]).select(
         "a", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), F.col("words").alias("words_a")
     )
-    members = salted.join(words.select(F.col("item").alias("b"), F.col("words").alias("words_b")), "b")
+    # Both joins read the words as they are, so they travel once.
+    members = salted.join(words, salted["b"] == words["item"]).select("a", "b", "salt", F.col("words").alias("words_b"))
 
     def run(batch: pa.RecordBatch):
         a, b = batch.column("a"), batch.column("b")
@@ -265,7 +266,7 @@ def _counters(words: DataFrame) -> np.ndarray:
 
 
 def rare_pairs(words: DataFrame, similarity: float) -> DataFrame:
-    """(token, item, class) for the rarest labelled pairs of each text: one more than the edits it allows can touch."""
+    """(token, item, class, size) for the rarest labelled pairs of each text: one more than the edits it allows can touch."""
     counts = words.sparkSession.sparkContext.broadcast(_counters(words.select("words")))
 
     def run(batch: pa.RecordBatch):
@@ -276,31 +277,27 @@ def rare_pairs(words: DataFrame, similarity: float) -> DataFrame:
             tokens.append(own[order[: int(2 * (1 - similarity) * len(own) + 1e-9) + 1]])
             n.append(len(tokens[-1]))
         at = pa.array(np.repeat(np.arange(len(n)), n))
-        yield {"token": np.concatenate(tokens).view(np.int64), **{c: batch.column(c).take(at) for c in ("item", "class")}}
+        yield {"token": np.concatenate(tokens).view(np.int64), **{c: batch.column(c).take(at) for c in ("item", "class", "size")}}
 
-    return map_batches(words.select("item", "words", "class"), run, "token long, item long, class long")
+    return map_batches(words.select("item", "words", "class", "size"), run, "token long, item long, class long, size int")
 
 
 def _over_rare_pairs(tokens: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ``texts`` (item, size, marks, words, class) of different classes that agree in a token and may be alike by lengths and words.
+    """The pairs (a, b) of ``texts`` (item, size, words, class) of different classes that agree in a token and may be alike by lengths and words.
 
-    Classes meet over a token, one row each, with the range of their lengths and the marks that all or any of their texts there have. The
-    texts of the smaller one that have the token then meet the larger class once, whatever tokens they share; no two texts of a class meet.
+    Over a token, the texts of a smaller class that have it meet a larger one as a whole, by the range of its lengths there, and once
+    whatever tokens they share; no two texts of a class meet. Tokens travel with all that this takes, and are dealt out by token only.
     """
-    ends = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    held = tokens.join(ends.where("low < high").select("token"), "token").select("token", "item")
-    shared, path = stored(held.join(texts.drop("words"), "item"), "rare")
-    parts = shared.groupBy("token", "class").agg(
-        F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high"),
-        *[F.bit_and(m).alias(f"all_{m}") for m in MARKS], *[F.bit_or(m).alias(f"any_{m}") for m in MARKS],
-    )
-    one, two = parts.select("token", F.struct(*parts.columns[1:]).alias("one")), parts.select("token", F.struct(*parts.columns[1:]).alias("two"))
-    order = F.struct("one.n", "one.class") < F.struct("two.n", "two.class")
-    most = _most(F.greatest("one.high", "two.high"), similarity)
-    apart = lambda x, y: F.col(f"{x}.low") - F.col(f"{y}.high") > _most(F.col(f"{x}.low"), similarity)
-    fits = ~apart("one", "two") & ~apart("two", "one") & (_lacking("one.all_", "two.any_") <= most) & (_lacking("two.all_", "one.any_") <= most)
-    met = one.join(two, "token").where(order & fits).select("token", F.col("one.class").alias("class"), F.col("two.class").alias("other"))
-    own, own_path = stored(met.join(shared.select("token", "class", "item"), ["token", "class"]).select("item", "other").distinct(), "rare")
+    by_token, by_class = Window.partitionBy("token"), Window.partitionBy("token", "class")
+    ends = tokens.withColumns({"low": F.min("class").over(by_token), "high": F.max("class").over(by_token)}).where("low < high")
+    shared, path = stored(ends.select("token", "item", "class", "size", F.count(F.lit(1)).over(by_class).alias("n")), "rare")
+    parts = shared.select("token", "class", "size").repartition("token").groupBy("token", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high")
+    ).select("token", F.struct("n", "class", "low", "high").alias("two"))
+    longer = F.greatest("size", "two.low")  # of a text and the nearest length, unless it lies between
+    apart = F.greatest(F.col("two.low") - F.col("size"), F.col("size") - F.col("two.high"))
+    met = shared.join(parts, "token").where((F.struct("n", "class") < F.struct("two.n", "two.class")) & (apart <= _most(longer, similarity)))
+    own, own_path = stored(met.select("item", F.col("two.class").alias("other")).distinct(), "rare")
     pairs = _within_edits(own, texts, similarity)
     forget(tokens.sparkSession, path, own_path)
     return pairs
