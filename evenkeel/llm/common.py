@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -51,6 +53,35 @@ def with_fields(schema: T.StructType, fields: str, drop: str = "") -> T.StructTy
     return T.StructType([f for f in schema.fields if f.name != drop] + T.StructType.fromDDL(fields).fields)
 
 
+#: What workers keep between tasks, by the function that makes it.
+_KEPT: list = []
+
+
+def kept_by_workers(size: int):
+    """An ``lru_cache`` that a worker holds for tasks of the same module; a task of another one drops it."""
+    def keep(make):
+        _KEPT.append(lru_cache(maxsize=size)(make))
+        return _KEPT[-1]
+
+    return keep
+
+
+def drop_kept(module: str) -> None:
+    """Drop what tasks of other modules left in this worker: workers live on through later stages."""
+    for cache in _KEPT:
+        if cache.__module__ != module:
+            cache.cache_clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, Arrow's and, where the C library can do it, that of Python and numpy."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def limit_batches(spark: SparkSession) -> None:
     """From now on Spark ends an Arrow batch of this session at ``PIECE`` bytes, so neither the executor nor its worker holds a larger one."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{PIECE}b")
@@ -63,15 +94,16 @@ def map_batches(df: DataFrame, build: Callable[[pa.RecordBatch], Iterator[dict]]
     """
     limit_batches(df.sparkSession)
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    arrow = to_arrow_schema(out)
+    arrow, module = to_arrow_schema(out), build.__module__
 
     def run(batches):
+        drop_kept(module)
         for piece in (piece for batch in batches for piece in _pieces(batch)):
             for columns in build(piece):
                 arrays = [_typed(columns[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
         # The worker stays for later tasks; what this one no longer needs goes back to the system.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, out)
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import forget, map_batches, register, stored, table
+from .common import drop_kept, forget, give_back, map_batches, register, stored, table
 from .components import classes
 from .words import blocks, mix, scan, span_hash
 
@@ -343,6 +343,7 @@ def _within_edits(own: DataFrame, texts: DataFrame, similarity: float) -> DataFr
 
 def _left_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Pairs of the blocks in ``batches``, which are sorted, each block's members before the texts that meet them; a block may span batches."""
+    drop_kept(__name__)
     block, held = None, None
     for batch in batches:
         key = np.stack([batch.column(c).to_numpy() for c in ("class", "part", "time")], axis=1)
@@ -369,7 +370,7 @@ def _left_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
         if held is not None:
             held = tuple(x.copy() for x in held)  # not the whole batch
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _unruled(size: int, tally: np.ndarray, sizes: np.ndarray, tallies: np.ndarray, similarity: float) -> np.ndarray:

@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .common import map_batches, register, stored, table, with_fields
+from .common import kept_by_workers, map_batches, register, stored, table, with_fields
 from .words import Numbering, blocks, span_hash
 
 LIMIT, END_ID, SHARD = 4096, 1, 16_384
@@ -138,7 +138,7 @@ class Encoder:
         ]
 
 
-@lru_cache(maxsize=2)
+@kept_by_workers(2)
 def encoder(path: str) -> Encoder:
     """One for each worker process."""
     return Encoder(path)

@@ -15,7 +15,6 @@ One run of letters, or text without any letter, is one leaf however long, as the
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 from hashlib import blake2b
 
 import public_tokenizers
@@ -24,14 +23,14 @@ import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_batches, register, table, with_fields
+from .common import kept_by_workers, map_batches, register, table, with_fields
 
 LEAF = 512
 _BORDER = regex.compile(r"(?<=\p{L})(?=\P{L})")
 LEAVES = "array<struct<n_chars: int, n_tokens: int, digest: binary>>"
 
 
-@lru_cache(maxsize=2)
+@kept_by_workers(2)
 def encoding(path: str) -> tiktoken.Encoding:
     """The byte-level BPE of a rank file, one for each worker process."""
     with open(path, "rb") as lines:

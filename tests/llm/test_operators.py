@@ -11,6 +11,7 @@ from check_oracle import compare, database
 from conftest import SF_SMALL, SF_TINY
 
 import corpus_pipeline
+import public_tokenizers
 from evenkeel.llm import ORACLE, QUERIES, common, decontaminate, fingerprint, language_id, line_dedup, near_dedup, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `class` string, __at string"
@@ -159,6 +160,29 @@ def test_blocks_over_several_batches():
         assert sorted(got) == sorted(expected) and 0 < len(got)
 
 
+def test_workers_drop_what_other_operators_kept(spark):
+    """A worker that packed does not hold the tokenizer while another operator runs; a second task that packs finds it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string").coalesce(1)
+
+    def held(module):
+        def build(piece):
+            yield {"n": [packing.encoder.cache_info().currsize]}
+
+        build.__module__ = module
+        return build
+
+    for module, n in ((packing.__name__, 1), (near_dedup.__name__, 0)):
+        assert packing.token_pieces(docs, path).count() == 1
+        # every worker of the session that is asked holds one or none
+        assert max(r.n for r in common.map_batches(docs, held(module), "n long").collect()) <= n
+    packing.encoder(path)
+    common.drop_kept(packing.__name__)
+    assert packing.encoder.cache_info().currsize
+    common.drop_kept(near_dedup.__name__)
+    assert not packing.encoder.cache_info().currsize
+
+
 def test_batches_are_bounded(spark):
     """Long texts: no Arrow batch of ours is larger than a piece and a row, however many rows it might have."""
     def build(piece):
