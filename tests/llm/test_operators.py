@@ -299,8 +299,10 @@ def test_odd_rows_of_native_operators(spark, docs, tmp_path):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "q"), (1, 1, "assistant", None), (1, 1, "assistant", None), (4, 0, None, "lone"), (None, 0, "user", "x")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(0, "what is x"), (1, None), (2, docs.where("doc_id = 3").first().text)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     con = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     for name in ORACLE:
         assert compare_rows(spark, con, str(tmp_path), name)
